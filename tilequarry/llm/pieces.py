@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -233,8 +234,8 @@ class Encoder:
         split = [self.vocabulary.words(t) if t else [] for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = {w for words in split for w in words} - self.known.keys()
-        self.known.update(encode_words(self.vocabulary, list(new), self.method))
+        new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
+        self.known.update(encode_words(self.vocabulary, new, self.method))
         return [b"".join([self.known[w] for w in words]) for words in split]
 
     def decode(self, ids: bytes) -> str:
