@@ -150,3 +150,27 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = measured.join(cuts, "stratum", "left").withColumn("base_failed", base).withColumn("failed", failed)
     return out.select("doc_id", *COUNTS, "stratum", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns; the verdict is that of quality_rules."""
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    measured = materialize(measure_documents(docs))
+    cuts, strata = certified_cutoffs(measured, labels.select("doc_id", "quality"), alpha, delta)
+    cuts = cuts.withColumnRenamed("stratum", "_stratum")
+    joined = docs.join(F.broadcast(cuts) if strata <= BROADCAST_STRATA else cuts, stratum == F.col("_stratum"), "left").drop("_stratum")
+    names = docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {c: i for i, c in enumerate(COUNTS)}
+        for pdf in batches:
+            x = np.array([measure(t) for t in pdf["text"]], np.int64).reshape(-1, len(COUNTS))
+            words, repeated = x[:, at["n_words"]], x[:, at["n_repeat_words"]]
+            kept = (words >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * words)
+            for rule, (top, bottom, _) in RULES.items():
+                cut = pdf[f"cut_{rule}"].to_numpy(np.float64)
+                with np.errstate(invalid="ignore"):
+                    kept &= ~(np.where(x[:, at[bottom]] > 0, x[:, at[top]] / np.maximum(x[:, at[bottom]], 1), 0.0) > cut)
+            yield pdf.loc[kept, names]
+
+    return joined.mapInPandas(run, docs.schema)

@@ -7,15 +7,16 @@ links.
 
 Distinct fingerprints are sorted into classes by their number of set bits, and a class is cut into
 chunks by hash. A tile pairs two chunks; pairs of classes whose bit counts differ beyond the radius
-are skipped, as no link can lie there. Each remaining tile is compared in full with numpy
+are skipped, as no link can lie there; small neighbouring classes share a chunk. Each remaining tile is compared in full with numpy
 exclusive-or and bit counts, block by block, and hands on only a spanning forest of its links, at
 most one edge for each row, so a large group of near copies never becomes all its pairs.
 
-The chunk is a 24th of the rows up to CHUNK_ROWS, so a task holds two chunks at most; work grows
+The chunk is a 24th of the rows (500 at least, CHUNK_ROWS at most), so a task holds two chunks; work grows
 with the square of the number of distinct fingerprints, as in any exact comparison.
 
-A null text counts as one without words. Rows that share a doc_id each keep their fingerprint. A
-null doc_id takes part, but never names a component. Extra columns are ignored.
+A null text counts as one without words. Rows that share a doc_id each keep their fingerprint and
+fall into one group. Rows without a doc_id take part; a group of only such rows has a number above
+2^62. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import components, materialize, mix64
 CHUNK_ROWS = 1_000_000
 CHUNKS = 24
 #: Rows of one side that are compared with the other side at a time.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 250_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -82,10 +83,12 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     for i in range(0, len(left), step):
         rows = left[i : i + step]
         near = np.bitwise_count(fp[rows, 0][:, None] ^ cols[0][None, :])
+        if len(cols) > 1:
+            near += np.bitwise_count(fp[rows, 1][:, None] ^ cols[1][None, :])
         a, b = np.nonzero(near <= radius)
-        if len(cols) > 1 and len(a):
+        if len(cols) > 2 and len(a):
             total = near[a, b].astype(np.int32)
-            for k in range(1, len(cols)):
+            for k in range(2, len(cols)):
                 total += np.bitwise_count(fp[rows[a], k] ^ cols[k][b])
             a, b = a[total <= radius], b[total <= radius]
         cut = np.searchsorted(a, np.arange(len(rows) + 1))
@@ -105,15 +108,22 @@ def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
     size = {r["bits"]: r["n"] for r in rows.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(size.values())
     chunk = min(CHUNK_ROWS, max(500, -(-total // CHUNKS)))
-    chunks = {p: -(-n // chunk) for p, n in size.items()}
-    start, tiles = {}, 0
-    for p in sorted(chunks):
-        start[p], tiles = tiles, tiles + chunks[p]
-    # A chunk has a number; a tile is the pair of its chunks' numbers, the smaller first.
-    partners = {p: [start[q] + j for q in sorted(chunks) if abs(p - q) <= radius for j in range(chunks[q])] for p in chunks}
-    if not tiles:
+    # Chunks with the bit counts they hold: a large class is cut into several, small neighbours share one.
+    first, pieces, spans = {}, {}, []
+    held = chunk
+    for p in sorted(size):
+        if size[p] >= chunk or held + size[p] > chunk:
+            first[p], pieces[p] = len(spans), -(-size[p] // chunk)
+            spans += [[p, p] for _ in range(pieces[p])]
+            held = size[p]
+        else:
+            first[p], pieces[p] = len(spans) - 1, 1
+            spans[-1][1] = p
+            held += size[p]
+    partners = {p: [j for j, (lo, hi) in enumerate(spans) if lo - p <= radius and p - hi <= radius] for p in size}
+    if not total:
         return prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    plan = prints.sparkSession.createDataFrame([(p, start[p], chunks[p], partners[p]) for p in chunks], "bits int, first int, chunks int, partners array<int>")
+    plan = prints.sparkSession.createDataFrame([(p, first[p], pieces[p], partners[p]) for p in size], "bits int, first int, chunks int, partners array<int>")
     rows = rows.join(F.broadcast(plan), "bits")  # one row for each bit count, 64 * lanes + 1 at most
     rows = rows.withColumn("own", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("chunks"))).cast("int"))
     rows = rows.select("id", *names, "own", F.explode("partners").alias("other"))
@@ -135,7 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, radius: i
     """Per row: doc_id, fingerprint (16 hex digits a lane) and component_id (smallest doc_id of the group)."""
     names = [f"f{k}" for k in range(lanes)]
     prints = materialize(fingerprints(docs, shingle, lanes))
-    distinct = materialize(prints.groupBy(*names).agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("id")))
+    distinct = materialize(prints.groupBy(*names).agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64(*names), 2) + (1 << 62)).alias("id")))
     comp = components(links(distinct, lanes, radius))
     groups = distinct.join(comp, distinct["id"] == comp["node"], "left")
     groups = groups.select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce("component", "id").alias("component_id"))
