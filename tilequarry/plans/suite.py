@@ -1,4 +1,4 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries and their SQL twins, gathered from the modules of this package."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import annotation_queries, manifest_queries, raster_queries, tile_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "tile_labels_roi"
+for _module in (tile_queries, annotation_queries, raster_queries, manifest_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
+FLAGSHIP = "tiles_per_class"
