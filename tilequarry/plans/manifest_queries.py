@@ -1,3 +1,147 @@
+"""Queries over manifests, samples, splits and run reports."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import manifests as M
+from ..streaming.manifest import append_stream, read_manifest
+from . import derived as D
 from .registry import registry
+from .tile_queries import ALL_LABELLED, labelled
 
 QUERIES, ORACLES, query = registry()
+KEYS = ["l_orderkey", "l_linenumber"]
+REST = ["l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+ORDER = [*REST, "l_quantity", "l_extendedprice", "l_shipdate"]
+TEXT = " || '/' || ".join(f"{c}::VARCHAR" for c in REST)
+CLASSIFIED = f"""rows_ AS (SELECT *, {TEXT} AS t, l_orderkey % 4 = 0 AND l_partkey % 2 = 0 AS old FROM lineitem
+), held AS (SELECT l_orderkey, l_linenumber, arg_min(t, (l_partkey, l_suppkey, l_returnflag, l_linestatus)) AS h FROM rows_ WHERE old GROUP BY ALL
+), seen AS (SELECT r.*, h, row_number() OVER w AS n, first_value(t) OVER w AS f FROM (SELECT * FROM rows_ WHERE NOT old) r LEFT JOIN held USING (l_orderkey, l_linenumber)
+  WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_shipdate)
+), classified AS (SELECT *, CASE WHEN h IS NULL AND n = 1 THEN 'appended' WHEN t = coalesce(h, f) THEN 'identical' ELSE 'conflicting' END AS status FROM seen)"""
+
+
+def manifest(spark, sf):
+    """(existing, incoming): a manifest with one row a key, and later rows, some with the same keys."""
+    rows = D.table(spark, sf, "lineitem")
+    old = F.expr("l_orderkey % 4 = 0 AND l_partkey % 2 = 0")
+    first = rows.where(old).groupBy(*KEYS).agg(F.min(F.struct(*REST)).alias("r")).select(*KEYS, "r.*")
+    return first, rows.where(~old)
+
+
+def classified(spark, sf):
+    existing, incoming = manifest(spark, sf)
+    return M.classify(incoming, existing, KEYS, REST, ORDER)
+
+
+@query(f"WITH {CLASSIFIED} SELECT l_orderkey, l_linenumber, status, count(*) AS n FROM classified GROUP BY ALL")
+def manifest_append_classify(spark, sf):
+    return classified(spark, sf).groupBy(*KEYS, "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT status, count(*) AS n FROM classified GROUP BY status")
+def manifest_merge_report(spark, sf):
+    return classified(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'conflicting' AS reason FROM classified WHERE status = 'conflicting'")
+def manifest_quarantine(spark, sf):
+    return classified(spark, sf).where("status = 'conflicting'").select(*KEYS, "l_partkey", "l_suppkey", F.col("status").alias("reason"))
+
+
+@query(D.with_base("SELECT image_id, CASE WHEN j % 4 = 0 THEN 'run' WHEN j % 4 = 1 AND j % 3 = 0 THEN 'skip_same' WHEN j % 4 = 1 THEN 'skip_different' WHEN j % 4 = 2 AND j % 3 = 0 THEN 'resume' ELSE 'run' END AS action FROM slides", "slides"))
+def skip_resume_decision(spark, sf):
+    """Saved runs against the wanted parameters: complete runs are skipped, an equal unfinished one goes on."""
+    s = D.slides(spark, sf)
+    runs = s.where("j % 4 IN (1, 2)").selectExpr("image_id", "CASE j % 4 WHEN 1 THEN 'complete' ELSE 'in_progress' END AS state", "concat('sig', j % 3) AS signature")
+    j = s.join(runs, "image_id", "left").withColumn("same", F.col("signature") == "sig0")
+    return j.select("image_id", F.when(F.col("state").isNull(), "run").when((F.col("state") == "complete") & F.col("same"), "skip_same").when(F.col("state") == "complete", "skip_different").when(F.col("same"), "resume").otherwise("run").alias("action"))
+
+
+@query("SELECT c_custkey AS image_id, CASE WHEN c_custkey % 6 = 0 THEN -1 ELSE c_custkey // 2 END AS roi_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS mpp, c_mktsegment AS label FROM customer")
+def manifest_samples_single(spark, sf):
+    text = D.table(spark, sf, "customer").selectExpr("cast(c_custkey AS string) AS image_id", "CASE WHEN c_custkey % 6 = 0 THEN '' ELSE cast(c_custkey div 2 AS string) END AS roi_id", "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE cast(c_acctbal AS string) END AS mpp", "c_mktsegment AS label")
+    return text.selectExpr("cast(image_id AS bigint) AS image_id", "coalesce(try_cast(roi_id AS bigint), -1) AS roi_id", "coalesce(try_cast(mpp AS double), double('NaN')) AS mpp", "label")
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS scales, string_agg(scale::VARCHAR, '|' ORDER BY scale) AS list FROM (SELECT DISTINCT l_orderkey, l_partkey % 7 AS l_partkey, l_linenumber % 3 AS scale FROM lineitem) GROUP BY ALL HAVING count(*) = 3")
+def manifest_samples_multi(spark, sf):
+    """Crops of one place at several scales; the first of a scale stays, incomplete sets go."""
+    l = D.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_partkey % 7 AS l_partkey", "l_linenumber % 3 AS scale").distinct()
+    g = l.groupBy("l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("scales"), F.array_join(F.array_sort(F.collect_list("scale")), "|").alias("list"))
+    return g.where("scales = 3")
+
+
+@query("SELECT string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS classes, count(DISTINCT c_mktsegment) AS n FROM customer")
+def class_list(spark, sf):
+    return D.table(spark, sf, "customer").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), "|").alias("classes"), F.count_distinct("c_mktsegment").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS tiles, string_agg(role, '|' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def case_groups(spark, sf):
+    g = D.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("tiles"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return g.select("conv_id", "tiles", F.array_join(F.transform("r", lambda x: x["role"]), "|").alias("roles"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN rn <= floor(n * 0.25) THEN 'test' WHEN rn <= floor(n * 0.25) * 2 THEN 'val' ELSE 'train' END AS section FROM conversations JOIN (SELECT conv_id, row_number() OVER (ORDER BY md5('7|' || conv_id)) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations)) USING (conv_id)")
+def case_split_hash(spark, sf):
+    """Cases split by a seeded order; the place of a case comes from counts of hash buckets, not from one sort."""
+    rows = D.table(spark, sf, "conversations")
+    cases = rows.select("conv_id").distinct().withColumn("h", F.md5(F.concat(F.lit("7|"), F.col("conv_id").cast("string")).cast("binary")))
+    cases = cases.withColumn("bucket", F.substring("h", 1, 2))
+    counts = cases.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # 256 rows at most
+    starts = counts.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("start"), F.sum("n").over(W.partitionBy()).alias("total"))
+    ranked = cases.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("h"))).join(F.broadcast(starts), "bucket")
+    place, part = F.col("r") + F.col("start"), F.floor(F.col("total") * 0.25)
+    section = F.when(place <= part, "test").when(place <= part * 2, "val").otherwise("train")
+    return rows.join(ranked.select("conv_id", section.alias("section")), "conv_id").select("conv_id", "turn", "section")
+
+
+RESULT = """results AS (SELECT image_id, CASE WHEN j % 19 = 0 THEN 'failed' WHEN j % 13 = 0 THEN 'unannotated' WHEN j % 7 = 0 THEN 'skipped' ELSE 'done' END AS status,
+  CASE WHEN j % 3 = 0 THEN 'network' ELSE 'local' END AS tier, CASE WHEN j % 19 = 0 THEN CASE j % 4 WHEN 0 THEN 'IOError: disk ' || j % 5 WHEN 1 THEN 'no pixel size: none' WHEN 2 THEN 'Timeout: slow' ELSE 'odd' END END AS reason FROM slides)"""
+
+
+def results(spark, sf):
+    return D.slides(spark, sf).selectExpr(
+        "image_id",
+        "CASE WHEN j % 19 = 0 THEN 'failed' WHEN j % 13 = 0 THEN 'unannotated' WHEN j % 7 = 0 THEN 'skipped' ELSE 'done' END AS status",
+        "CASE WHEN j % 3 = 0 THEN 'network' ELSE 'local' END AS tier",
+        "CASE WHEN j % 19 = 0 THEN CASE j % 4 WHEN 0 THEN concat('IOError: disk ', j % 5) WHEN 1 THEN 'no pixel size: none' WHEN 2 THEN 'Timeout: slow' ELSE 'odd' END END AS reason",
+    )
+
+
+@query(D.with_base("SELECT coalesce(status, 'all') AS status, coalesce(tier, 'all') AS tier, count(*) AS n FROM results GROUP BY GROUPING SETS ((status), (tier), ())", "slides", RESULT))
+def batch_status_summary(spark, sf):
+    r = results(spark, sf).groupingSets([["status"], ["tier"], []], "status", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return r.select(F.coalesce("status", F.lit("all")).alias("status"), F.coalesce("tier", F.lit("all")).alias("tier"), "n")
+
+
+@query(D.with_base("SELECT type, count(*) AS n FROM (SELECT CASE WHEN contains(reason, ':') AND NOT contains(split_part(reason, ':', 1), ' ') THEN split_part(reason, ':', 1) ELSE reason END AS type FROM results WHERE reason IS NOT NULL) GROUP BY type ORDER BY n DESC, type LIMIT 5", "slides", RESULT))
+def failure_top_reasons(spark, sf):
+    head = F.substring_index("reason", ":", 1)
+    kind = F.when(F.col("reason").contains(":") & ~head.contains(" "), head).otherwise(F.col("reason")).alias("type")
+    return results(spark, sf).where("reason IS NOT NULL").groupBy(kind).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(5)
+
+
+@query(D.with_base("SELECT tier, outcome, count(*) AS tiles FROM labelled JOIN results USING (image_id) WHERE status = 'done' GROUP BY ALL", *ALL_LABELLED, RESULT))
+def tier_breakdown(spark, sf):
+    r = results(spark, sf).where("status = 'done'").select("image_id", "tier")
+    return labelled(spark, sf).groupBy("image_id", "outcome").agg(F.count(F.lit(1)).alias("n")).join(r, "image_id").groupBy("tier", "outcome").agg(F.sum("n").alias("tiles"))
+
+
+@query("SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY ALL")
+def stream_manifest_append(spark, sf):
+    """Events appended by a file stream, twice; the second run adds nothing."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilequarry-")
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = D.table(spark, sf, "events").schema
+    for run in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+        append_stream(stream, f"{base}/manifest", f"{base}/checkpoint{run}", f"run{run}", ["event_id"], ["user_id", "event_type"], ["event_id"])
+    rows = read_manifest(spark, f"{base}/manifest", stream.select("event_id", "user_id", "event_type").schema)
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))

@@ -1,3 +1,135 @@
+"""Queries over rasters and volumes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rasters as R
+from . import derived as D
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
+SET = "mask AS (SELECT vec_id, y, x FROM thumbs WHERE v > 0)"
+GREY = "grey AS (SELECT vec_id, y, x, least(255, greatest(0, 128 + round_even(256 * v, 0)))::INTEGER AS g FROM thumbs)"
+
+
+def mask(spark, sf):
+    return D.thumbs(spark, sf).where("v > 0").select("vec_id", "y", "x")
+
+
+def grey(spark, sf):
+    return D.thumbs(spark, sf).select("vec_id", "y", "x", F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + F.rint(256 * F.col("v")))).cast("int").alias("g"))
+
+
+def table_of_sums(spark, sf):
+    return R.prefix_sums(D.thumbs(spark, sf), "vec_id", (F.col("v") > 0).cast("long"))
+
+
+@query(D.with_base("SELECT vec_id, y, x, sum(r) OVER (PARTITION BY vec_id, x ORDER BY y)::BIGINT AS s FROM (SELECT *, sum((v > 0)::INTEGER) OVER (PARTITION BY vec_id, y ORDER BY x) AS r FROM thumbs)", "thumbs"))
+def sat_prefix(spark, sf):
+    return table_of_sums(spark, sf).select("vec_id", "y", "x", "s")
+
+
+WINDOWS = "(SELECT vec_id, wx, wy FROM (SELECT DISTINCT vec_id FROM thumbs), (VALUES (0), (2), (4)) AS a(wx), (VALUES (0), (3), (5)) AS b(wy))"
+
+
+@query(D.with_base(f"SELECT w.vec_id, wx AS x0, wy AS y0, count(*) FILTER (v > 0) / greatest(1, 3 * 4) AS fraction FROM {WINDOWS} w JOIN thumbs t ON t.vec_id = w.vec_id AND x >= wx AND x < wx + 4 AND y >= wy AND y < wy + 3 GROUP BY ALL", "thumbs"))
+def window_fraction(spark, sf):
+    w = D.table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("x0")).withColumn("y0", F.explode(F.array(F.lit(0), F.lit(3), F.lit(5))))
+    w = w.withColumn("x1", F.col("x0") + 4).withColumn("y1", F.col("y0") + 3)
+    return R.window_sum(table_of_sums(spark, sf), w, "vec_id").select("vec_id", "x0", "y0", (F.col("total") / F.greatest(F.lit(1), F.lit(12))).alias("fraction"))
+
+
+@query(D.with_base("SELECT vec_id, count(*) FILTER (v > 0) = 4 AS inside FROM thumbs WHERE x IN (3, 4) AND y IN (3, 4) GROUP BY vec_id", "thumbs"))
+def center_inside(spark, sf):
+    return D.thumbs(spark, sf).where("x IN (3, 4) AND y IN (3, 4)").groupBy("vec_id").agg((F.count_if(F.col("v") > 0) == 4).alias("inside"))
+
+
+@query(
+    D.with_base(
+        """SELECT vec_id, arg_min(g, (-v, g)) AS threshold FROM (
+  SELECT vec_id, g, ((m0 * (w - w0) - (m - m0) * w0)::DOUBLE * (m0 * (w - w0) - (m - m0) * w0)::DOUBLE) / (w0 * (w - w0)) AS v FROM (
+    SELECT vec_id, g, sum(n) OVER (PARTITION BY vec_id ORDER BY g)::BIGINT AS w0, sum(n * g) OVER (PARTITION BY vec_id ORDER BY g)::BIGINT AS m0,
+      sum(n) OVER (PARTITION BY vec_id)::BIGINT AS w, sum(n * g) OVER (PARTITION BY vec_id)::BIGINT AS m
+    FROM (SELECT vec_id, g, count(*) AS n FROM grey GROUP BY ALL)) WHERE w0 < w) GROUP BY vec_id""",
+        "thumbs",
+        GREY,
+    )
+)
+def otsu_threshold(spark, sf):
+    return R.otsu(grey(spark, sf), "vec_id", "g")
+
+
+@query(D.with_base("SELECT vec_id, (y // 4)::INTEGER AS ty, (x // 4)::INTEGER AS tx, count(*) FILTER (v > 0) / 16 AS tissue FROM thumbs GROUP BY ALL", "thumbs"))
+def tissue_fraction(spark, sf):
+    t = D.thumbs(spark, sf).withColumn("ty", F.expr("cast(y div 4 AS int)")).withColumn("tx", F.expr("cast(x div 4 AS int)"))
+    return t.groupBy("vec_id", "ty", "tx").agg((F.count_if(F.col("v") > 0) / 16).alias("tissue"))
+
+
+DISK = "(SELECT dy, dx FROM unnest(range(-2, 3)) AS a(dy), unnest(range(-2, 3)) AS b(dx) WHERE dy * dy + dx * dx <= 4)"
+
+
+@query(D.with_base(f"SELECT DISTINCT vec_id, (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x FROM mask, {DISK} WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7", "thumbs", SET))
+def dilate_disk(spark, sf):
+    return R.dilate(mask(spark, sf), "vec_id", 2, 8)
+
+
+ERODED = "SELECT a.vec_id, a.y, a.x FROM {m} a JOIN {m} b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 9"
+
+
+@query(D.with_base(ERODED.format(m="mask"), "thumbs", SET))
+def erode_square(spark, sf):
+    return R.erode(mask(spark, sf), "vec_id", 3)
+
+
+@query(D.with_base(ERODED.format(m="grown"), "thumbs", SET, "grown AS (SELECT DISTINCT vec_id, (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x FROM mask, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS o(dy, dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)"))
+def closing(spark, sf):
+    return R.erode(R.dilate(mask(spark, sf), "vec_id", 1, 8), "vec_id", 3)
+
+
+@query(None)
+def components_filter(spark, sf):
+    """Components of at least four pixels, with their size."""
+    c = R.components(mask(spark, sf), "vec_id", 8).groupBy("vec_id", "c").agg(F.count(F.lit(1)).alias("pixels"))
+    return c.where("pixels >= 4")
+
+
+@query(D.with_base("SELECT image_id, y, x, max(shape_id) AS shape_id FROM (SELECT image_id, shape_id, y, unnest(range(x // 16, (x + bw) // 16)) AS x FROM (SELECT image_id, shape_id, x, bw, unnest(range(y // 16, (y + bh) // 16)) AS y FROM shapes)) GROUP BY ALL", "slides", "shapes"))
+def polygon_fill(spark, sf):
+    """Boxes as pixels at a sixteenth; the later shape owns a shared pixel."""
+    s = D.shapes(spark, sf).selectExpr("image_id", "shape_id", "x", "bw", "explode(sequence(y div 16, (y + bh) div 16 - 1)) AS py")
+    s = s.selectExpr("image_id", "shape_id", "py AS y", "explode(sequence(x div 16, (x + bw) div 16 - 1)) AS x")
+    return s.groupBy("image_id", "y", "x").agg(F.max("shape_id").alias("shape_id"))
+
+
+@query(D.with_base("SELECT image_id, v, count(*) AS pixels FROM (SELECT image_id, y, x, arg_max(v, shape_id) AS v FROM (SELECT image_id, shape_id, v, y, unnest(range(x // 16, (x + bw) // 16)) AS x FROM (SELECT image_id, shape_id, x, bw, unnest(range(y // 16, (y + bh) // 16)) AS y, CASE text WHEN 'Gleason 3' THEN 1 WHEN 'g4 cg' THEN 2 ELSE 3 END AS v FROM shapes WHERE text IN ('Gleason 3', 'g4 cg', 'hgpin'))) GROUP BY ALL) GROUP BY ALL", "slides", "shapes"))
+def mask_palette(spark, sf):
+    """Mask values numbered by the order of the filter, as pixel counts."""
+    wanted = F.array(F.lit("Gleason 3"), F.lit("g4 cg"), F.lit("hgpin"))
+    s = D.shapes(spark, sf).withColumn("v", F.array_position(wanted, F.col("text")).cast("int")).where("v > 0")
+    s = s.selectExpr("image_id", "shape_id", "v", "x", "bw", "explode(sequence(y div 16, (y + bh) div 16 - 1)) AS y").selectExpr("image_id", "shape_id", "v", "y", "explode(sequence(x div 16, (x + bw) div 16 - 1)) AS x")
+    return s.groupBy("image_id", "y", "x").agg(F.max_by("v", "shape_id").alias("v")).groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query(D.with_base("SELECT vec_id, (y // 2)::INTEGER AS y2, (x // 2)::INTEGER AS x2, sum(g)::BIGINT AS total FROM grey WHERE y BETWEEN 2 AND 7 AND x BETWEEN 0 AND 5 GROUP BY ALL", "thumbs", GREY))
+def crop_resize_box(spark, sf):
+    g = grey(spark, sf).where("y BETWEEN 2 AND 7 AND x BETWEEN 0 AND 5")
+    return g.groupBy("vec_id", F.expr("cast(y div 2 AS int)").alias("y2"), F.expr("cast(x div 2 AS int)").alias("x2")).agg(F.sum("g").cast("long").alias("total"))
+
+
+@query(D.with_base("SELECT vec_id, 7 - y AS y, x, g FROM grey", "thumbs", GREY))
+def volume_flip(spark, sf):
+    return grey(spark, sf).select("vec_id", (7 - F.col("y")).alias("y"), "x", "g")
+
+
+@query("SELECT p_partkey, -s AS a, o + s * 7 AS t FROM (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice AS o FROM part)")
+def affine_flip(spark, sf):
+    """Flip an axis of eight samples: its step changes sign and the origin moves to the other end."""
+    p = D.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").alias("o"))
+    return p.select("p_partkey", (-F.col("s")).alias("a"), (F.col("o") + F.col("s") * 7).alias("t"))
+
+
+@query("SELECT conv_id, round(regr_slope(z, turn), 6) AS step FROM (SELECT conv_id, turn, (turn * 3 + conv_id % 5)::DOUBLE AS z FROM conversations) GROUP BY conv_id HAVING count(DISTINCT turn) > 1")
+def slice_step_fit(spark, sf):
+    c = D.table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("double").alias("turn"), (F.col("turn") * 3 + F.col("conv_id") % 5).cast("double").alias("z"))
+    return c.groupBy("conv_id").agg(F.round(F.regr_slope("z", "turn"), 6).alias("step"), F.count_distinct("turn").alias("n")).where("n > 1").select("conv_id", "step")
