@@ -109,15 +109,15 @@ def count_cells(docs: DataFrame) -> DataFrame:
 
 def models(counts: DataFrame) -> dict[str, list[np.ndarray]]:
     """Count arrays of both models; their size is fixed by the parameters, whatever the corpus."""
-    got = counts.toPandas()
+    got = counts.select("kind", "cell", F.col("background").cast("float"), F.col("target").cast("float")).toArrow()
+    kinds, cells = got["kind"].to_numpy(), got["cell"].to_numpy()
     sizes = (1 << VOCAB_BITS, 1 << BIGRAM_BITS, (1 << VOCAB_BITS) + 1)
     out: dict[str, list[np.ndarray]] = {}
     for name in ("background", "target"):
         out[name] = []
         for kind, size in enumerate(sizes):
-            part = got[got["kind"] == kind]
             x = np.zeros(size, np.float32)
-            x[part["cell"].to_numpy()] = part[name].to_numpy()
+            x[cells[kinds == kind]] = got[name].to_numpy()[kinds == kind]
             out[name].append(x)
     return out
 
