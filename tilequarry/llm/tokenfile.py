@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_parts, materialize
 
-MAGIC = b"TQF1"
+MAGIC = b"TQF2"
 HEAD = "<4sIIQI"
 BLOCK_IDS = 1024
 #: Ids after which a frame is closed (at the end of a document).
@@ -48,87 +48,94 @@ ONE = 4096
 CACHE_WORDS = 500_000
 
 U = np.uint64
-TOP, BOTTOM = U(1 << 56), U(1 << 48)
+#: The coder's digits are 16 bits wide: the leading one is settled, or the range is cut to settle it.
+DIGIT, TOP, BOTTOM = U(16), U(1 << 48), U(1 << 32)
 
 
 class Model:
-    """The adaptive state of many blocks that advance together (one lane each)."""
+    """The adaptive state of many blocks that advance together (one lane each); row k of an array is predictor k."""
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.base = self.lane << SLOT_BITS
-        self.guess = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]  # order 2, order 1
-        self.sure = [np.zeros(lanes << SLOT_BITS, np.int8) for _ in range(2)]
+        self.base = np.arange(lanes) << SLOT_BITS
+        self.pairs = np.zeros(2 * lanes << SLOT_BITS, np.int32)  # id << 2 | confidence; order 2, then order 1
+        self.second = self.base + (lanes << SLOT_BITS)
         self.times = np.zeros(lanes << SLOT_BITS, np.int16)
         self.top, self.top_times = np.zeros(lanes, np.int32), np.zeros(lanes, np.int16)
         start = np.array([[40, 600, 1600, 2800], [20, 300, 1000, 2200], [60, 100, 150, 200]], np.int32)
-        self.by_context = np.tile(start[:, None, :], (1, lanes, 1))
-        self.overall = np.tile(np.array([[200], [200], [150]], np.int32), (1, lanes))
+        self.by_context = np.repeat(start, lanes, axis=0).ravel()
+        self.context_base = np.arange(3 * lanes).reshape(3, lanes) * 4
+        self.overall = np.repeat(np.array([[200], [200], [150]], np.int32), lanes, axis=1)
         self.weight = np.full((3, lanes), 192, np.int32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.ids, self.level = np.zeros((3, lanes), np.int32), np.zeros((3, lanes), np.int32)
 
-    def predict(self, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For the first n lanes the three candidate ids and each one's share of ONE."""
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first n lanes the three candidate ids, and where each one's share of ONE begins (and the last ends)."""
         mask = (1 << SLOT_BITS) - 1
-        pair = (self.before[:n] * 40503 + self.last[:n] * 2654435) & 0xFFFFFF
-        self.slot = [self.base[:n] + ((pair ^ (pair >> 11)) & mask), self.base[:n] + ((self.last[:n] * 40503 >> 3) & mask)]
-        ids = [self.guess[0][self.slot[0]], self.guess[1][self.slot[1]], self.top[:n]]
-        level = [self.sure[0][self.slot[0]], self.sure[1][self.slot[1]], np.minimum(self.top_times[:n] >> 4, 3)]
-        self.level, self.context, shares, left = level, [], [], np.full(n, ONE, np.int32)
+        last = self.last[:n]
+        pair = (self.before[:n] * 40503 + last * 2654435) & 0xFFFFFF
+        self.slot = np.stack([self.base[:n] + ((pair ^ (pair >> 11)) & mask), self.second[:n] + ((last * 40503 >> 3) & mask)])
+        self.packed = self.pairs.take(self.slot)
+        ids, level = self.ids[:, :n], self.level[:, :n]
+        np.right_shift(self.packed, 2, out=ids[:2])
+        np.bitwise_and(self.packed, 3, out=level[:2])
+        ids[2] = self.top[:n]
+        level[2] = np.minimum(self.top_times[:n] >> 4, 3)
+        self.context = self.context_base[:, :n] + level
+        self.own = self.by_context.take(self.context)
+        overall = self.overall[:, :n]
+        chance = overall + (self.weight[:, :n] * (self.own - overall) >> 8)
+        begin = np.zeros((4, n), np.int32)
+        left = np.full(n, ONE, np.int32)
         for k in range(3):
-            own = self.by_context[k, self.lane[:n], level[k]]
-            self.context.append(own)
-            chance = (self.weight[k, :n] * own + (256 - self.weight[k, :n]) * self.overall[k, :n]) >> 8
-            share = np.clip((left * chance) >> 12, 1, left - 16 + 4 * k)  # something is left for what follows
-            shares.append(share)
-            left = left - share
-        return ids, shares
-
-    def update(self, ids: np.ndarray, guesses: list[np.ndarray]) -> None:
+            share = np.minimum(np.maximum(left * chance[k] >> 12, 1), left - (16 - 4 * k))  # something is left for what follows
+            np.add(begin[k], share, out=begin[k + 1])
+            left -= share
+        return ids, begin
+
+    def update(self, ids: np.ndarray, right: np.ndarray) -> None:
+        """Learn the ids; right says which candidates were equal to them."""
         n = len(ids)
-        lane = self.lane[:n]
-        for k in range(3):
-            goal = np.where(guesses[k] == ids, ONE - 1, 0).astype(np.int32)
-            own, rate = self.context[k], self.overall[k, :n]
-            closer = np.abs(goal - own) < np.abs(goal - rate)
-            self.weight[k, :n] = np.clip(self.weight[k, :n] + np.where(closer, 2, -2), 0, 256)
-            self.by_context[k, lane, self.level[k]] = own + ((goal - own) >> 5)
-            self.overall[k, :n] = rate + ((goal - rate) >> 6)
-        for k in range(2):
-            slot, right = self.slot[k], guesses[k] == ids
-            sure = self.sure[k][slot]
-            replace = ~right & (sure == 0)
-            self.guess[k][slot] = np.where(replace, ids, guesses[k])
-            self.sure[k][slot] = np.where(right, np.minimum(sure + 1, 3), np.where(replace, 1, sure - 1))
+        overall, weight = self.overall[:, :n], self.weight[:, :n]
+        goal = right * np.int32(ONE - 1)
+        off, off_overall = goal - self.own, goal - overall
+        weight += (np.abs(off) < np.abs(off_overall)) * np.int32(4) - np.int32(2)
+        np.minimum(np.maximum(weight, 0, out=weight), 256, out=weight)
+        self.by_context[self.context] = self.own + (off >> 5)
+        overall += off_overall >> 6
+        sure = self.level[:2, :n]
+        missed = np.where(sure == 0, ids << 2 | 1, self.packed - 1)
+        self.pairs[self.slot] = np.where(right[:2], self.packed + (sure < 3), missed)
         slot = self.base[:n] + (ids & ((1 << SLOT_BITS) - 1))
-        times = self.times[slot] + 1
+        times = self.times.take(slot) + np.int16(1)
         self.times[slot] = times
         more = times > self.top_times[:n]
-        self.top[:n] = np.where(more, ids, self.top[:n])
-        self.top_times[:n] = np.where(more, times, self.top_times[:n])
+        np.copyto(self.top[:n], ids, where=more)
+        np.copyto(self.top_times[:n], times, where=more)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
 def lanes_of(ids: np.ndarray) -> tuple[np.ndarray, int]:
-    """The ids as a matrix, one column a block, and the number of steps; only the last block may be short."""
+    """The ids as a matrix, one row a step and one column a block, and the number of steps; only the last block may be short."""
     blocks = max(1, -(-len(ids) // BLOCK_IDS))
     full = np.zeros(blocks * BLOCK_IDS, np.int32)
     full[: len(ids)] = ids
-    return full.reshape(blocks, BLOCK_IDS).T, min(BLOCK_IDS, len(ids))
+    return np.ascontiguousarray(full.reshape(blocks, BLOCK_IDS).T), min(BLOCK_IDS, len(ids))
 
 
 def active(total: int, blocks: int, step: int) -> int:
     return blocks if (blocks - 1) * BLOCK_IDS + step < total else blocks - 1
 
 
-def settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Lanes whose leading byte is settled, or whose range got too small and is cut to settle it."""
+def settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Lanes whose leading digit is settled, or whose range got too small and is cut to settle it."""
     same = (low ^ (low + size)) < TOP
     tight = ~same & (size < BOTTOM)
     if tight.any():
         size[tight] = (U(0) - low[tight]) & (BOTTOM - U(1))
-    return np.flatnonzero(same | tight)
+        same |= tight
+    return np.flatnonzero(same)
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
@@ -136,89 +143,94 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     blocks = columns.shape[1]
     model = Model(blocks)
     low, size = np.zeros(blocks, U), np.full(blocks, U(2**64 - 1), U)
-    out = np.zeros((blocks, 4 * BLOCK_IDS + 16), np.uint8)
-    used = np.zeros(blocks, np.int64)
-
-    def emit(n: int) -> None:
-        while len(at := settle(low[:n], size[:n])):
-            out[at, used[at]] = (low[at] >> U(56)).astype(np.uint8)
-            used[at] += 1
-            low[at] <<= U(8)
-            size[at] <<= U(8)
+    width = 2 * BLOCK_IDS + 8
+    out = np.zeros(blocks * width, ">u2")
+    used = np.arange(blocks) * width
+    lane = np.arange(blocks)
+
+    def emit(at: np.ndarray) -> None:
+        """Write the settled digits of the lanes `at`; only lanes that wrote one can have another."""
+        while len(at):
+            own_low, own_size = low[at], size[at]
+            ready = settled(own_low, own_size)
+            at, own_low, own_size = at[ready], own_low[ready], own_size[ready]
+            place = used[at]
+            out[place] = own_low >> U(48)
+            used[at] = place + 1
+            low[at] = own_low << DIGIT
+            size[at] = own_size << DIGIT
 
     for step in range(steps):
         n = active(len(ids), blocks, step)
         x = columns[step, :n]
-        guesses, shares = model.predict(n)
-        begin, width = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        at, done = np.zeros(n, np.int32), np.zeros(n, bool)
-        for guess, share in zip(guesses, shares, strict=True):
-            hit = ~done & (guess == x)
-            begin, width = np.where(hit, at, begin), np.where(hit, share, width)
-            done |= hit
-            at = at + share
-        begin, width = np.where(done, begin, at), np.where(done, width, ONE - at)
-        unit = size[:n] // U(ONE)
-        low[:n] += unit * begin.astype(U)
-        size[:n] = unit * width.astype(U)
-        emit(n)
-        if len(rest := np.flatnonzero(~done)):
+        guesses, begin = model.predict(n)
+        right = guesses == x
+        first = np.where(right[0], 0, np.where(right[1], 1, np.where(right[2], 2, 3)))
+        start = begin[first, lane[:n]]
+        stop = np.where(first < 3, begin[np.minimum(first + 1, 3), lane[:n]], ONE)
+        unit = size[:n] >> U(12)
+        low[:n] += unit * start.astype(U)
+        size[:n] = unit * (stop - start).astype(U)
+        emit(lane[:n])
+        if len(rest := np.flatnonzero(first == 3)):
             unit = size[rest] // U(vocabulary)
             low[rest] += unit * x[rest].astype(U)
             size[rest] = unit
-            emit(n)
-        model.update(x, guesses)
-    for _ in range(8):
-        out[np.arange(blocks), used] = (low >> U(56)).astype(np.uint8)
+            emit(rest)
+        model.update(x, right)
+    for _ in range(4):
+        out[used] = low >> U(48)
         used += 1
-        low <<= U(8)
-    return [out[i, : used[i]].tobytes() for i in range(blocks)]
+        low <<= DIGIT
+    return [out[i * width : used[i]].tobytes() for i in range(blocks)]
 
 
 def decode_blocks(payload: list[bytes], total: int, vocabulary: int) -> np.ndarray:
     blocks = len(payload)
-    longest = max(map(len, payload)) + 8
-    data = np.zeros((blocks, longest), np.uint8)
+    width = max(map(len, payload)) // 2 + 4
+    data = np.zeros((blocks, width), ">u2")
     for i, p in enumerate(payload):
-        data[i, : len(p)] = np.frombuffer(p, np.uint8)
+        data[i, : len(p) // 2] = np.frombuffer(p, ">u2")
     model = Model(blocks)
     low, size = np.zeros(blocks, U), np.full(blocks, U(2**64 - 1), U)
-    code = data[:, :8].copy().view(">u8").ravel().astype(U)
-    used = np.full(blocks, 8, np.int64)
+    code = data[:, :4].copy().view(">u8").ravel().astype(U)
+    data = data.astype(np.uint16).ravel()
+    lane = np.arange(blocks)
+    used, last = lane * width + 4, lane * width + width - 1
     result = np.zeros((BLOCK_IDS, blocks), np.int32)
 
-    def refill(n: int) -> None:
-        while len(at := settle(low[:n], size[:n])):
-            code[at] = (code[at] << U(8)) | data[at, np.minimum(used[at], longest - 1)].astype(U)
-            used[at] += 1
-            low[at] <<= U(8)
-            size[at] <<= U(8)
+    def refill(at: np.ndarray) -> None:
+        while len(at):
+            own_low, own_size = low[at], size[at]
+            ready = settled(own_low, own_size)
+            at, own_low, own_size = at[ready], own_low[ready], own_size[ready]
+            place = used[at]
+            code[at] = (code[at] << DIGIT) | data[np.minimum(place, last[at])]
+            used[at] = place + 1
+            low[at] = own_low << DIGIT
+            size[at] = own_size << DIGIT
 
     for step in range(min(BLOCK_IDS, total)):
         n = active(total, blocks, step)
-        guesses, shares = model.predict(n)
-        unit = size[:n] // U(ONE)
-        value = np.minimum((code[:n] - low[:n]) // np.maximum(unit, U(1)), U(ONE - 1)).astype(np.int32)
-        x, begin, width = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-        at, found = np.zeros(n, np.int32), np.zeros(n, bool)
-        for guess, share in zip(guesses, shares, strict=True):
-            hit = ~found & (value < at + share)
-            x, begin, width = np.where(hit, guess, x), np.where(hit, at, begin), np.where(hit, share, width)
-            found |= hit
-            at = at + share
-        begin, width = np.where(found, begin, at), np.where(found, width, ONE - at)
-        low[:n] += unit * begin.astype(U)
-        size[:n] = unit * width.astype(U)
-        refill(n)
-        if len(rest := np.flatnonzero(~found)):
+        guesses, begin = model.predict(n)
+        unit = size[:n] >> U(12)
+        value = np.minimum((code[:n] - low[:n]) // unit, U(ONE - 1)).astype(np.int32)
+        first = (value >= begin[1]).astype(np.int64) + (value >= begin[2]) + (value >= begin[3])
+        start = begin[first, lane[:n]]
+        stop = np.where(first < 3, begin[np.minimum(first + 1, 3), lane[:n]], ONE)
+        low[:n] += unit * start.astype(U)
+        size[:n] = unit * (stop - start).astype(U)
+        refill(lane[:n])
+        x = guesses[np.minimum(first, 2), lane[:n]]
+        if len(rest := np.flatnonzero(first == 3)):
             unit = size[rest] // U(vocabulary)
-            literal = np.minimum((code[rest] - low[rest]) // np.maximum(unit, U(1)), U(vocabulary - 1))
+            literal = np.minimum((code[rest] - low[rest]) // unit, U(vocabulary - 1))
             x[rest] = literal.astype(np.int32)
             low[rest] += unit * literal
             size[rest] = unit
-            refill(n)
+            refill(rest)
         result[step, :n] = x
-        model.update(x, guesses)
+        model.update(x, guesses == x)
     return result.T.ravel()[:total]
 
 
