@@ -21,7 +21,6 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -282,16 +281,16 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [re.findall(r"[^ \t-\r]+", t) for t in texts]
+        split = [t.encode().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.known.update(zip(part, [np.array(e.ids, "<i4").tobytes() for e in got], strict=True))
         return [b"".join([self.known[w] for w in words]) for words in split]
 
