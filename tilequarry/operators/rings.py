@@ -65,6 +65,23 @@ def splice_hole(outer: list, hole: list) -> list:
     return [*outer[: i + 1], *hole[j:], *hole[: j + 1], *outer[i:]]
 
 
+def bridge(outer: Column, hole: Column) -> Column:
+    """`splice_hole` in built-in functions: the nearest pair of vertices (the first of equals) joins both rings."""
+    turned = signed_area(close_ring(outer)) * signed_area(close_ring(hole)) > 0
+    rings = F.array(F.struct(open_ring(outer).alias("o"), open_ring(F.when(turned, F.reverse(hole)).otherwise(hole)).alias("h")))
+
+    def nearest(r: Column) -> Column:
+        far = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
+        pairs = F.transform(r["o"], lambda a, i: F.transform(r["h"], lambda b, j: F.struct(far(a, b).alias("d"), i.alias("i"), j.alias("j"))))
+        return F.struct(r["o"].alias("o"), r["h"].alias("h"), F.array_min(F.flatten(pairs)).alias("at"))
+
+    def join(r: Column) -> Column:
+        o, h, i, j = r["o"], r["h"], r["at"]["i"], r["at"]["j"]
+        return F.concat(F.slice(o, 1, i + 1), F.slice(h, j + 1, F.size(h) - j), F.slice(h, 1, j + 1), F.slice(o, i + 1, F.size(o) - i))
+
+    return F.element_at(F.transform(F.transform(rings, nearest), join), 1)
+
+
 def split_bridges(ring: list) -> list[list]:
     """Undo splices: cut out runs of points that begin and end on one point between two visits of another."""
     ring = [p for k, p in enumerate(ring) if k == 0 or p != ring[k - 1]]
