@@ -14,10 +14,12 @@ words. Without any target document all scores are 0. Target ids may repeat. Extr
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ BIGRAM_WEIGHT = 0.6
 ADDED = 0.1
 #: Bytes of text that are hashed together.
 BATCH_BYTES = 4_000_000
+SIZES = (1 << VOCAB_BITS, 1 << BIGRAM_BITS, (1 << VOCAB_BITS) + 1)
+#: Cells whose counts move together, and the groups of tasks whose counts are added first.
+BLOCK, ADDERS = 1 << 14, 64
+COUNTS = "kind int, block int, part int, background binary, target binary"
 
 POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
@@ -85,41 +91,55 @@ def hashed(pdf: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, n
         i = j
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counts by planes of their bytes, most of which are zero."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def add_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    out = {"kind": [key[0]], "block": [key[1]], "part": [0]}
+    return pd.DataFrame(out | {name: [pack(sum(unpack(x) for x in pdf[name]))] for name in ("background", "target")})
+
+
 def count_cells(docs: DataFrame) -> DataFrame:
-    """(kind, cell, background, target): counts over all documents; kind 0 words, 1 bigrams, 2 words before."""
+    """(kind, block, part, background, target): packed counts over all documents of BLOCK cells each.
+
+    Kind 0 words, 1 bigrams, 2 words before. The tasks' blocks are added in two steps, so that no
+    task reads those of all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes = (1 << VOCAB_BITS, 1 << BIGRAM_BITS, (1 << VOCAB_BITS) + 1)
-        count = [[np.zeros(s, np.int64) for s in sizes] for _ in range(2)]
+        count = [[np.zeros(-(-s // BLOCK) * BLOCK, np.int64) for s in SIZES] for _ in range(2)]
         for pdf in batches:
             is_target = pdf["target"].to_numpy(bool)
             for rows, ids, before, cells, first in hashed(pdf):
                 chosen = np.repeat(is_target[rows], np.diff(first))
                 for kind, x in enumerate((ids, cells, before + 1)):
-                    count[0][kind] += np.bincount(x, minlength=sizes[kind])
+                    count[0][kind] += np.bincount(x, minlength=len(count[0][kind]))
                     if chosen.any():
-                        count[1][kind] += np.bincount(x[chosen], minlength=sizes[kind])
+                        count[1][kind] += np.bincount(x[chosen], minlength=len(count[1][kind]))
+        part = TaskContext.get().partitionId() % ADDERS
         for kind in range(3):
-            at = np.flatnonzero(count[0][kind])
-            yield pd.DataFrame({"kind": np.full(len(at), kind, np.int8), "cell": at.astype(np.int32), "background": count[0][kind][at], "target": count[1][kind][at]})
+            for block in range(len(count[0][kind]) // BLOCK):
+                own, target = (c[kind][block * BLOCK : (block + 1) * BLOCK] for c in count)
+                if own.any():
+                    yield pd.DataFrame({"kind": [kind], "block": [block], "part": [part], "background": [pack(own)], "target": [pack(target)]})
 
-    per_task = docs.select("text", "target").mapInPandas(run, "kind byte, cell int, background long, target long")
-    return per_task.groupBy("kind", "cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    per_task = docs.select("text", "target").mapInPandas(run, COUNTS)
+    return per_task.groupBy("kind", "block", "part").applyInPandas(add_blocks, COUNTS).groupBy("kind", "block").applyInPandas(add_blocks, COUNTS)
 
 
 def models(counts: DataFrame) -> dict[str, list[np.ndarray]]:
     """Count arrays of both models; their size is fixed by the parameters, whatever the corpus."""
-    got = counts.select("kind", "cell", F.col("background").cast("float"), F.col("target").cast("float")).toArrow()
-    kinds, cells = got["kind"].to_numpy(), got["cell"].to_numpy()
-    sizes = (1 << VOCAB_BITS, 1 << BIGRAM_BITS, (1 << VOCAB_BITS) + 1)
-    out: dict[str, list[np.ndarray]] = {}
-    for name in ("background", "target"):
-        out[name] = []
-        for kind, size in enumerate(sizes):
-            x = np.zeros(size, np.float32)
-            x[cells[kinds == kind]] = got[name].to_numpy()[kinds == kind]
-            out[name].append(x)
-    return out
+    out = {name: [np.zeros(-(-s // BLOCK) * BLOCK, np.float32) for s in SIZES] for name in ("background", "target")}
+    for r in counts.collect():  # one row for each block
+        for name, arrays in out.items():
+            arrays[r["kind"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = unpack(r[name])
+    return {name: [x[:s] for x, s in zip(arrays, SIZES, strict=True)] for name, arrays in out.items()}
 
 
 def losses(model: list[np.ndarray], ids: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
