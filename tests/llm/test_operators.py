@@ -164,6 +164,34 @@ def test_lm_prefers_the_target(spark):
     assert max(got[i] for i in range(1, 40, 2)) < 0 < min(got[i] for i in range(0, 40, 2))
 
 
+def test_losses_equal_brute_force(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 20_000)
+    chosen = {d for d in texts if d % 3 == 0}
+    words = {d: [w.encode().lower() for w in WORD.findall(t)] for d, t in texts.items()}
+    one, two = [[collections.Counter() for _ in range(2)] for _ in range(2)]
+    for d, w in words.items():
+        for k in range(1 + (d in chosen)):
+            one[k].update(w)
+            two[k].update(zip(w, w[1:], strict=False))
+    all_words = [sum(c.values()) for c in one]
+
+    def loss(k, before, w):
+        share = one[0][w] / all_words[0]
+        if k:
+            share = (1 - lmscore.LEAN) * one[1][w] / all_words[1] + lmscore.LEAN * share
+        lead, both = (one[k][before], two[k][before, w]) if before else (0, 0)
+        return -math.log(lmscore.PAIR_WEIGHT * both / lead + (1 - lmscore.PAIR_WEIGHT) * share if lead else share)
+
+    got = lmscore.score_documents(docs, docs.where("doc_id % 3 = 0").select("doc_id")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = words[r["doc_id"]]
+        means = [math.fsum(loss(k, b, x) for b, x in zip([None, *w], w, strict=False)) / max(len(w), 1) for k in range(2)]
+        assert r["n_words"] == len(w)
+        assert abs(r["background_loss"] - means[0]) < 1e-9 and abs(r["target_loss"] - means[1]) < 1e-9
+        assert abs(r["score"] - (means[1] - means[0])) < 1e-9
+
+
 def test_pieces_equal_the_library(texts):
     import sentencepiece
 

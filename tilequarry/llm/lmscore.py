@@ -1,51 +1,61 @@
 """Cross-entropy difference: which documents read like the target domain.
 
-Two bigram models with unigram back-off, one of the target documents and one of the background (all
-documents), share one vocabulary: words are hashed to 2^VOCAB_BITS ids, bigrams to 2^BIGRAM_BITS
-cells, the same for both. Counts come from every document; tasks count into arrays of that fixed
-size, so what moves is bounded by the parameters for each task and grows with the tasks. A
-document's score is the mean over its words of loss under the target model minus loss under the
-background model: below 0 it reads like the target. The two models are matched: same smoothing, same
-vocabulary, and both are estimated as shares, so their different sizes cancel.
+Two bigram models, one of the target documents and one of the background (all documents), share one
+vocabulary: every word of the corpus. Both count every word and every pair of neighbouring words of
+their documents. A document's score is the mean over its words of loss under the target model minus
+loss under the background model: below 0 it reads like the target. The two are matched: both mix a
+pair's share of what follows its first word with the share of its second word, by PAIR_WEIGHT, and
+work with shares only, so that the models' different sizes cancel. The target's word shares are mixed
+with those of the background by LEAN, so that no word of the corpus is unknown to it.
+
+Documents are dealt to chunks of about CHUNK_BYTES by doc_id, the ids of the target documents with
+them. Each chunk counts its own n-grams and sends them, packed, to buckets of n-grams; a bucket adds
+the counts of all chunks and answers each chunk in the order asked; the chunk then scores its
+documents. The number of chunks and of buckets grows with the text, so a task holds one chunk or the
+n-grams of one bucket whatever the corpus, and nothing goes to the driver but the number of bytes.
+N-grams are known by their bucket and 32 bits; with a bucket for each CHUNK_BYTES of text fewer
+than one in a thousand shares its number with another.
 
 Words are the non-space runs of the ASCII-lower-cased text. A null or empty text scores 0 with 0
-words. Without any target document all scores are 0. Target ids may repeat. Extra columns are ignored.
+words. Without any target document all scores are 0. Target ids may repeat. Rows without a doc_id are
+never targets. Rows with equal doc_id, or with no doc_id and equal text, are scored in one task. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import mix64
 
-VOCAB_BITS = 18
-BIGRAM_BITS = 20
-#: Weight of the bigram estimate and the count added to each word.
-BIGRAM_WEIGHT = 0.6
-ADDED = 0.1
+#: Bytes of text in a chunk, and for which there is one bucket.
+CHUNK_BYTES = 8_000_000
+#: Weight of a pair's share against its second word's, and of the background's word shares in the target's.
+PAIR_WEIGHT, LEAN = 0.6, 0.1
 #: Bytes of text that are hashed together.
-BATCH_BYTES = 4_000_000
-SIZES = (1 << VOCAB_BITS, 1 << BIGRAM_BITS, (1 << VOCAB_BITS) + 1)
-#: Cells whose counts move together, and the groups of tasks whose counts are added first.
-BLOCK, ADDERS = 1 << 14, 64
-COUNTS = "kind int, block int, part int, background binary, target binary"
+BATCH_BYTES = 2_000_000
+ASKED = "chunk int, bucket int, grams binary, background binary, target binary"
+ANSWERED = "chunk int, bucket int, background binary, target binary"
+SCORED = "doc_id long, n_words long, target_loss double, background_loss double, score double"
+#: Stands for all words together.
+TOTAL = np.uint64(0xF1D5A3C7B9E80642)
 
 POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(POWER), -1, 1 << 64))
 KIND = np.array([i in b" \t\n\x0b\x0c\r" for i in range(256)])
 VALUE = mix64(np.arange(256, dtype=np.uint64) | (np.arange(256, dtype=np.uint64) << np.uint64(32)), np.full(256, 7, np.uint64))
 VALUE[65:91] = VALUE[97:123]
+LOW, HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
-def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word ids of all texts in a row, and where each text's words begin (one entry more than texts)."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text's words begin (one entry more than texts)."""
     whole = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = KIND[whole]
     edge = np.diff(space.astype(np.int8))
@@ -59,96 +69,117 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     down[0] = 1
     down = np.multiply.accumulate(down)
     h = (total[stop] - total[start]) * down[start]
-    ids = mix64(h, (stop - start).astype(np.uint64)) >> np.uint64(64 - VOCAB_BITS)
     first = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return ids.astype(np.int64), np.searchsorted(start, first)
+    return mix64(h, (stop - start).astype(np.uint64)), np.searchsorted(start, first)
 
 
-def bigram_cells(ids: np.ndarray) -> np.ndarray:
-    """The cell of each word with the one before it; the word before a text's first is -1 (see counts)."""
-    before = np.concatenate([[-1], ids[:-1]])
-    return pair_cells(before, ids)
-
-
-def pair_cells(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (mix64((before + 1).astype(np.uint64), ids.astype(np.uint64)) >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64)
-
-
-def hashed(pdf: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of rows with their word ids, the ids before them, bigram cells, and where each row begins."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
+def chunk_grams(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: each word's gram, the grams of pairs, whether each word ends a pair, and where each text's words begin."""
+    words, first = [], [0]
     i = 0
-    while i < len(raw):
+    while i < len(texts):
         j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) <= BATCH_BYTES):
-            size += len(raw[j])
+        while j < len(texts) and (j == i or size + len(texts[j]) <= BATCH_BYTES):
+            size += len(texts[j])
             j += 1
-        ids, first = word_ids(raw[i:j])
-        before = np.concatenate([[-1], ids[:-1]])[: len(ids)]
-        heads = first[:-1][first[:-1] < first[1:]]
-        before[heads] = -1
-        yield slice(i, j), ids, before, pair_cells(before, ids), first
+        h, begin = word_hashes(texts[i:j])
+        words.append(h)
+        first += (begin[1:] + first[-1]).tolist()
         i = j
+    word, begin = np.concatenate([np.zeros(0, np.uint64), *words]), np.array(first)
+    paired = np.ones(len(word), bool)
+    paired[begin[:-1][begin[:-1] < begin[1:]]] = False
+    ends = np.flatnonzero(paired)
+    return gram(word, buckets), gram(mix64(word[ends - 1], word[ends]), buckets), paired, begin
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """Counts by planes of their bytes, most of which are zero."""
-    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def gram(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in the upper half and the gram's number within it in the lower one."""
+    return ((h >> HALF) % np.uint64(buckets) << HALF) | (h & LOW)
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def pack(values: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, most of which are zero."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def add_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = {"kind": [key[0]], "block": [key[1]], "part": [0]}
-    return pd.DataFrame(out | {name: [pack(sum(unpack(x) for x in pdf[name]))] for name in ("background", "target")})
-
-
-def count_cells(docs: DataFrame) -> DataFrame:
-    """(kind, block, part, background, target): packed counts over all documents of BLOCK cells each.
+def unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
-    Kind 0 words, 1 bigrams, 2 words before. The tasks' blocks are added in two steps, so that no
-    task reads those of all.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = [[np.zeros(-(-s // BLOCK) * BLOCK, np.int64) for s in SIZES] for _ in range(2)]
-        for pdf in batches:
-            is_target = pdf["target"].to_numpy(bool)
-            for rows, ids, before, cells, first in hashed(pdf):
-                chosen = np.repeat(is_target[rows], np.diff(first))
-                for kind, x in enumerate((ids, cells, before + 1)):
-                    count[0][kind] += np.bincount(x, minlength=len(count[0][kind]))
-                    if chosen.any():
-                        count[1][kind] += np.bincount(x[chosen], minlength=len(count[1][kind]))
-        part = TaskContext.get().partitionId() % ADDERS
-        for kind in range(3):
-            for block in range(len(count[0][kind]) // BLOCK):
-                own, target = (c[kind][block * BLOCK : (block + 1) * BLOCK] for c in count)
-                if own.any():
-                    yield pd.DataFrame({"kind": [kind], "block": [block], "part": [part], "background": [pack(own)], "target": [pack(target)]})
-
-    per_task = docs.select("text", "target").mapInPandas(run, COUNTS)
-    return per_task.groupBy("kind", "block", "part").applyInPandas(add_blocks, COUNTS).groupBy("kind", "block").applyInPandas(add_blocks, COUNTS)
-
-
-def models(counts: DataFrame) -> dict[str, list[np.ndarray]]:
-    """Count arrays of both models; their size is fixed by the parameters, whatever the corpus."""
-    out = {name: [np.zeros(-(-s // BLOCK) * BLOCK, np.float32) for s in SIZES] for name in ("background", "target")}
-    for r in counts.collect():  # one row for each block
-        for name, arrays in out.items():
-            arrays[r["kind"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = unpack(r[name])
-    return {name: [x[:s] for x, s in zip(arrays, SIZES, strict=True)] for name, arrays in out.items()}
-
-
-def losses(model: list[np.ndarray], ids: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    words, pairs, leads = model
-    total = float(words.sum(dtype=np.float64))
-    alone = (words[ids] + ADDED) / (total + ADDED * len(words))
-    lead = leads[before + 1]
-    after = np.where(lead > 0, pairs[cells] / np.maximum(lead, 1), alone)
-    return -np.log(BIGRAM_WEIGHT * after + (1 - BIGRAM_WEIGHT) * alone)
+def none(schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]).empty_table()
+
+
+def ask(key: tuple, docs: pa.Table, targets: pa.Table, buckets: int) -> pa.Table:
+    """The chunk's grams with their counts, a row for each bucket."""
+    if not docs.num_rows:
+        return none(ASKED)
+    word, pair, paired, begin = chunk_grams(docs["text"].to_pylist(), buckets)
+    is_target = pc.is_in(docs["doc_id"], value_set=targets["doc_id"].combine_chunks()).to_numpy()
+    chosen = np.repeat(is_target, np.diff(begin))
+    grams, background = np.unique(np.concatenate([word, pair]), return_counts=True)
+    some, times = np.unique(np.concatenate([word[chosen], pair[chosen[paired]]]), return_counts=True)
+    target = np.zeros(len(grams), np.int64)
+    target[np.searchsorted(grams, some)] = times
+    every = gram(TOTAL, buckets)
+    at = np.searchsorted(grams, every)
+    grams, background, target = (np.insert(a, at, v) for a, v in ((grams, every), (background, len(word)), (target, chosen.sum())))
+    bucket = (grams >> HALF).astype(np.int64)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(grams)], strict=True))
+    number = (grams & LOW).astype(np.int64)
+    return pa.table(
+        {
+            "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()),
+            "bucket": pa.array(bucket[cut], pa.int32()),
+            "grams": pa.array([pack(np.diff(number[a:b], prepend=0)) for a, b in parts], pa.binary()),
+            "background": pa.array([pack(background[a:b]) for a, b in parts], pa.binary()),
+            "target": pa.array([pack(target[a:b]) for a, b in parts], pa.binary()),
+        }
+    )
+
+
+def answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """Counts of all chunks together, for each chunk in the order of its grams."""
+    numbers = [np.cumsum(unpack(x)) for x in asked["grams"].to_pylist()]
+    which, place = np.unique(np.concatenate(numbers), return_inverse=True)
+    ends = np.cumsum([len(x) for x in numbers]).tolist()
+    out = {"chunk": asked["chunk"], "bucket": asked["bucket"]}
+    for name in ("background", "target"):
+        own = np.concatenate([unpack(x) for x in asked[name].to_pylist()])
+        added = np.bincount(place, own, len(which)).astype(np.int64)[place]
+        out[name] = pa.array([pack(added[e - len(x) : e]) for x, e in zip(numbers, ends, strict=True)], pa.binary())
+    return pa.table(out)
+
+
+def score(docs: pa.Table, answered: pa.Table, buckets: int) -> pa.Table:
+    if not docs.num_rows:
+        return none(SCORED)
+    word, pair, paired, begin = chunk_grams(docs["text"].to_pylist(), buckets)
+    grams, place = np.unique(np.concatenate([word, pair]), return_inverse=True)
+    every = np.searchsorted(grams, gram(TOTAL, buckets))
+    answered = answered.sort_by("bucket")
+    count, words = {}, {}
+    for name in ("background", "target"):
+        got = np.concatenate([unpack(x) for x in answered[name].to_pylist()])
+        words[name], count[name] = int(got[every]), np.delete(got, every)[place]
+    n, ends = np.diff(begin), np.flatnonzero(paired)
+    known = count["background"][: len(word)] / max(words["background"], 1)
+    mean = {}
+    for name, c in count.items():
+        own = c[: len(word)]
+        share = known if name == "background" else (1 - LEAN) * own / max(words[name], 1) + LEAN * known
+        chance, lead = share.copy(), own[ends - 1]
+        mixed = PAIR_WEIGHT * c[len(word) :] / np.maximum(lead, 1) + (1 - PAIR_WEIGHT) * share[ends]
+        chance[ends] = np.where(lead > 0, mixed, share[ends])
+        loss = -np.log(chance)
+        running = np.concatenate([[0.0], np.cumsum(loss)])
+        mean[name] = (running[begin[1:]] - running[begin[:-1]]) / np.maximum(n, 1)
+    difference = mean["target"] - mean["background"] if words["target"] else np.zeros(len(n))
+    columns = {"n_words": n.astype(np.int64), "target_loss": mean["target"], "background_loss": mean["background"], "score": difference}
+    return pa.table({"doc_id": docs["doc_id"].cast(pa.int64()), **columns})
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -156,22 +187,15 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
 
     target_ids: doc_id of the target documents, which are part of docs.
     """
-    docs = docs.select("doc_id", "text")
-    marked = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    joined = docs.join(marked, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    shared = docs.sparkSession.sparkContext.broadcast(models(materialize(count_cells(joined))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        known = m["target"][0].any()
-        for pdf in batches:
-            for rows, ids, before, cells, first in hashed(pdf):
-                n = np.diff(first)
-                mean = []
-                for name in ("target", "background"):
-                    run_sum = np.concatenate([[0.0], np.cumsum(losses(m[name], ids, before, cells), dtype=np.float64)])
-                    mean.append((run_sum[first[1:]] - run_sum[first[:-1]]) / np.maximum(n, 1))
-                score = mean[0] - mean[1] if known else np.zeros(len(n))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[rows], "n_words": n, "target_loss": mean[0], "background_loss": mean[1], "score": score})
-
-    return docs.mapInPandas(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-int(size) // CHUNK_BYTES) or 1
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    home = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")
+    home_of_all = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int").alias("chunk")
+    placed = docs.select(home_of_all, "doc_id", "text")
+    by_chunk = placed.groupBy("chunk")
+    asked = by_chunk.cogroup(ids.select(home, "doc_id").groupBy("chunk")).applyInArrow(lambda key, d, t: ask(key, d, t, n), ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(answer, ANSWERED)
+    return by_chunk.cogroup(answered.groupBy("chunk")).applyInArrow(lambda d, a: score(d, a, n), SCORED)
