@@ -286,3 +286,65 @@ def test_pipeline(spark):
     for t in left.values():
         have = " " + " ".join(WORD.findall(t.lower())) + " "
         assert not any(f" {' '.join(w)} " in have for w in words)
+
+
+def shingle_sets(texts, k=5):
+    """Sets of word shingles, brute force."""
+    out = {}
+    for key, t in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[key] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    return out
+
+
+def jaccard_groups(sets):
+    """The first key of each key's component by links of Jaccard 0.8 or more."""
+    group = {k: k for k in sets}
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    keys = list(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) > 0:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {k: root(k) for k in keys}
+
+
+def near_copies():
+    """Texts at chosen similarities: pairs a little over and under 0.8, and copies that repeat shingles."""
+    rng = np.random.default_rng(5)
+    out = []
+    for k in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 204)]
+        # 200 distinct shingles; a new tail of m words leaves 200 - m of them: 178/222 = 0.802, 175/225 = 0.778.
+        m = 22 if k % 2 else 25
+        out += [" ".join(w), " ".join([*w[:-m], *(f"new{k}x{i}" for i in range(m))])]
+    for k in range(10):
+        w = [f"r{x}" for x in rng.integers(0, 5000, 200)]
+        cycle = w[:24] * 6 + w[:4]
+        out += [" ".join([*w[:24], *w[:4], *w[24:]]), " ".join([*cycle, *w[24:]])]
+    return out
+
+
+def test_near_duplicates_have_the_similarity(spark):
+    import corpus_pipeline as C
+
+    texts = dict(enumerate(near_copies()))
+    want = jaccard_groups(shingle_sets(texts))
+    assert len(set(want.values())) == 60 + 30 + 20 - 10
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in C.stage_near_duplicates(spark, d, SF).collect()}
+    assert got == set(want.values())
+
+
+def test_near_duplicates_of_the_corpus(spark, docs, texts):
+    import corpus_pipeline as C
+
+    want = jaccard_groups(shingle_sets(dict(sorted(texts.items()))))
+    assert {r["doc_id"] for r in C.stage_near_duplicates(spark, docs, SF).collect()} == set(want.values())

@@ -17,6 +17,9 @@ with the square of the number of distinct fingerprints, as in any exact comparis
 A null text counts as one without words. Rows that share a doc_id each keep their fingerprint and
 fall into one group. Rows without a doc_id take part; a group of only such rows has a number above
 2^62. Extra columns are ignored.
+
+`similar_sets` is the stricter form for the corpus pipeline: fingerprints of the distinct shingles only
+propose pairs, and a link counts once the shingle sets themselves have the wanted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -33,23 +36,36 @@ from .common import components, materialize, mix64
 
 CHUNK_ROWS = 1_000_000
 CHUNKS = 24
+#: The Jaccard similarity that `similar_sets` demands, as a fraction.
+SIMILAR = (4, 5)
+#: Distance up to which `similar_sets` tries a spanning forest before it looks at all pairs.
+CLOSE = 24
+#: Bytes of shingle sets that one side of a verifying task holds.
+SET_BYTES = 48 << 20
 #: Rows of one side that are compared with the other side at a time.
 BLOCK_CELLS = 250_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int, lanes: int) -> np.ndarray:
-    """The fingerprint as `lanes` 64-bit numbers; lane 0 comes from XXH64 itself, others from a mix of it."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles in order; fewer words than a shingle make one, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return np.zeros(lanes, np.uint64)
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     last = np.cumsum([len(w) + 1 for w in words]) - 1
     first = np.concatenate([[0], last[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     ends = last[shingle - 1 :] if len(words) >= shingle else last[-1:]
-    h = np.fromiter((xxhash.xxh64_intdigest(whole[a:b], 42) for a, b in zip(first[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((xxhash.xxh64_intdigest(whole[a:b], 42) for a, b in zip(first[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of shingle hashes as `lanes` 64-bit numbers; lane 0 comes from XXH64 itself, others from a mix of it."""
+    n = len(h)
+    if not n:
+        return np.zeros(lanes, np.uint64)
     out = np.empty(lanes, np.uint64)
     for k in range(lanes):
         x = h if k == 0 else mix64(h, np.full(n, k, np.uint64))
@@ -61,6 +77,10 @@ def fingerprint(text: str | None, shingle: int, lanes: int) -> np.ndarray:
     return out
 
 
+def fingerprint(text: str | None, shingle: int, lanes: int) -> np.ndarray:
+    return majority(shingles(text, shingle), lanes)
+
+
 def fingerprints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
     """(doc_id, f0 .. f{lanes-1} as signed longs) of every row."""
     names = [f"f{k}" for k in range(lanes)]
@@ -100,10 +120,31 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     return label
 
 
-def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Edges (a, b) between the ids of distinct fingerprints that together connect every linked pair."""
+def pairs_between(fp: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All (left, right) rows within the radius whose labels differ and whose set sizes n allow SIMILAR."""
+    step = max(1, BLOCK_CELLS // max(1, len(right)))
+    cols = fp[right].T.copy()
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(left), step):
+        rows = left[i : i + step]
+        near = np.bitwise_count(fp[rows, 0][:, None] ^ cols[0][None, :])
+        for k in range(1, len(cols)):
+            near += np.bitwise_count(fp[rows, k][:, None] ^ cols[k][None, :])
+        a, b = np.nonzero(near <= radius)
+        a, b = rows[a], right[b]
+        ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * SIMILAR[1] >= np.maximum(n[a], n[b]) * SIMILAR[0])
+        if same:
+            ok &= a < b
+        out_a.append(a[ok])
+        out_b.append(b[ok])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def tiles(prints: DataFrame, lanes: int, radius: int, extra: tuple[str, ...] = ()) -> DataFrame | None:
+    """Rows of every tile (t0, t1) with the chunk `own` they come from; None without rows."""
     names = [f"f{k}" for k in range(lanes)]
     bits = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
+    names = [*names, *extra]
     rows = prints.select("id", *names, bits.cast("int").alias("bits"))
     size = {r["bits"]: r["n"] for r in rows.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(size.values())
@@ -122,12 +163,20 @@ def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
             held += size[p]
     partners = {p: [j for j, (lo, hi) in enumerate(spans) if lo - p <= radius and p - hi <= radius] for p in size}
     if not total:
-        return prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return None
     plan = prints.sparkSession.createDataFrame([(p, first[p], pieces[p], partners[p]) for p in size], "bits int, first int, chunks int, partners array<int>")
     rows = rows.join(F.broadcast(plan), "bits")  # one row for each bit count, 64 * lanes + 1 at most
     rows = rows.withColumn("own", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("chunks"))).cast("int"))
     rows = rows.select("id", *names, "own", F.explode("partners").alias("other"))
-    rows = rows.select("id", *names, "own", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"))
+    return rows.select("id", *names, "own", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"))
+
+
+def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Edges (a, b) between the ids of distinct fingerprints that together connect every linked pair."""
+    names = [f"f{k}" for k in range(lanes)]
+    rows = tiles(prints, lanes, radius)
+    if rows is None:
+        return prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -152,3 +201,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, radius: i
     same = [F.col(n) == F.col(f"_{n}") for n in names]
     text = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
     return prints.join(groups, same).select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def candidates(sets: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """All pairs (a, b) of ids within the radius whose `label` differs and whose sizes `n` allow SIMILAR."""
+    names = [f"f{k}" for k in range(lanes)]
+    rows = tiles(sets, lanes, radius, ("n", "label"))
+    if rows is None:
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf[names].to_numpy(np.int64).view(np.uint64).reshape(len(pdf), lanes)
+        own, ids = pdf["own"].to_numpy(), pdf["id"].to_numpy()
+        left, right = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
+        a, b = pairs_between(fp, pdf["n"].to_numpy(), pdf["label"].to_numpy(), left, right, radius, key[0] == key[1])
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return rows.groupBy("t0", "t1").applyInPandas(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILAR or more.
+
+    Pairs are dealt to cells (bucket of a, bucket of b), and a set goes to the cells where it has a pair, so
+    it travels once for each cell rather than once for each pair.
+    """
+    pairs = materialize(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    n_pairs = pairs.count()
+    held = ids.join(sets, "id").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-held * 8 // SET_BYTES), min(16, int((n_pairs / 5000) ** 0.5)))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "members": [np.unique(shingles(t, shingle)).tobytes() for t in pdf["text"]]})
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        members = {i: np.frombuffer(m, np.uint64) for i, m in zip(right["id"], right["members"], strict=True)}
+        ok = np.zeros(len(left), bool)
+        for j, (a, b) in enumerate(zip(left["a"], left["b"], strict=True)):
+            x, y = members[a], members[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[j] = both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0]
+        return left.loc[ok, ["a", "b"]]
+
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    cells = pairs.withColumn("c0", bucket("a")).withColumn("c1", bucket("b"))
+    packed = materialize(texts.join(ids, "id").dropDuplicates(["id"]).mapInPandas(pack, "id long, members binary"))
+    need = cells.select(F.col("a").alias("id"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).union(cells.select("b", "c0", "c1")).distinct()
+    return materialize(cells.groupBy("c0", "c1").cogroup(materialize(need).join(packed, "id").groupBy("d0", "d1")).applyInPandas(check, "a long, b long"))
+
+
+def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: int) -> DataFrame:
+    """(key, component): components of the rows whose sets of distinct shingles are SIMILAR.
+
+    Equal sets are one node. Close pairs are tried as a spanning forest first, so that a large group of near
+    copies is mostly joined by few verified links; then every pair within the radius that still lies
+    in two components is verified. Only verified links enter components. Node numbers are 64-bit hashes of sets.
+    """
+    names = [f"f{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [np.unique(shingles(t, shingle)) for t in pdf["text"]]
+            f = np.array([majority(h, lanes) for h in rows], np.uint64).reshape(-1, lanes).view(np.int64)
+            out = pd.DataFrame(f, columns=names)
+            out.insert(0, "n", np.array([len(h) for h in rows], np.int64))
+            out.insert(0, "id", np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in rows], np.uint64).view(np.int64))
+            out.insert(0, key, pdf[key].to_numpy())
+            yield out
+
+    kind = docs.schema[key].dataType.simpleString()
+    prints = materialize(docs.select(key, "text").mapInPandas(run, f"{key} {kind}, id long, n long, " + ", ".join(f"{x} long" for x in names)))
+    # Any row of an equal set serves as its text.
+    sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key)))
+    texts = docs.select(key, "text").join(sets.select(key, "id"), key).select("id", "text")
+    first = verified(links(sets, lanes, CLOSE), sets, texts, shingle)
+    label = components(first).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
+    label = materialize(sets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    second = verified(candidates(label, lanes, radius), sets, texts, shingle)
+    comp = components(first.unionByName(second))
+    groups = prints.select(key, "id").join(comp, F.col("id") == F.col("node"), "left")
+    return groups.select(key, F.coalesce("component", "id").alias("component"))
