@@ -348,3 +348,24 @@ def test_near_duplicates_of_the_corpus(spark, docs, texts):
 
     want = jaccard_groups(shingle_sets(dict(sorted(texts.items()))))
     assert {r["doc_id"] for r in C.stage_near_duplicates(spark, docs, SF).collect()} == set(want.values())
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    text = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(5)]
+    rows = [(None, text[0]), (None, text[1]), (7, text[1]), (9, text[2]), (9, text[3]), (9, text[3]), (None, text[4]), (None, text[4])]
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in C.stage_near_duplicates(spark, d, SF).collect()), key=lambda x: x[1])
+    assert got == [(None, text[0]), (7, text[1]), (9, text[2]), (9, text[3]), (None, text[4])]
+
+
+def test_benchmark_stage_judges_each_text(spark):
+    """A contaminated text takes no other text with its doc_id along, null or repeated."""
+    import corpus_pipeline as C
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first()["text"]
+    rows = [(None, item), (None, "clean words"), (3, item), (3, "other clean words")]
+    d = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"]) for r in C.stage_benchmark(spark, d, SF).collect()}
+    assert got == {(None, "clean words"), (3, "other clean words")}
