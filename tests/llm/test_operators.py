@@ -257,6 +257,33 @@ def test_masks_hit_every_fifth_substituted():
             assert any(not {s + o for o in m} & set(bad) for m in decontaminate.MASKS for s in range(n - m[-1]))
 
 
+def test_masks_hit_every_pattern_of_short_items():
+    from itertools import combinations
+
+    for n in range(1, 21):
+        for bad in combinations(range(n), n // 5):
+            assert any(not {s + o for o in m} & set(bad) for m in decontaminate.masks_of(n) for s in range(n - m[-1])), (n, bad)
+
+
+def test_short_items_equal_brute_force(spark):
+    """Items of 1 to 20 words with every single substitution, cut at either end of a text, and copied verbatim."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 21)}
+    texts = [["before", *w, "after"] for w in items.values()] + [w[1:] for w in items.values()] + [w[:-1] for w in items.values()]
+    texts += [["a", *w[:k], "other", *w[k + 1 :], "z"] for w in items.values() for k in range(len(w))]
+    want = {}
+    for d, t in enumerate(texts):
+        for n, w in items.items():
+            share = max(sum(0 <= i + s < len(t) and t[i + s] == x for i, x in enumerate(w)) for s in range(-n, len(t))) / n
+            if share >= 0.8:
+                want[d] = (n, share)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(99, ""), (98, None)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench).collect()
+    assert len(got) == len(texts) and {r["doc_id"]: (r["item_id"], r["best"]) for r in got if r["contaminated"]} == want
+    one = decontaminate.decontaminate(docs, bench.where("item_id = 6")).collect()
+    assert {r["doc_id"] for r in one if r["contaminated"]} == {d for d, (n, _) in want.items() if n == 6}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="c7">
 <nav><a href="/x">menu</a></nav><div class="cookie-notice">We use cookies</div><main><article class="post-12"><h1>Head &amp; line</h1><p>First   <b>part<br>of it.<p>Second&nbsp;part with a <a href="/y">link</a>.
 <form><p>Your mail</p></form><div class="ad">Buy</div><!-- no --><ul><li>one</li><li>two</li></ul><section id="comments"><p>I disagree at length, as readers do.</p></section></article>

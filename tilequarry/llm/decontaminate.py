@@ -5,10 +5,11 @@ the kept ones may differ. Seeds of documents join seeds of benchmark items; each
 alignment (item, shift), and the aligned words are then compared one by one. A document is
 contaminated by an item if at some shift at least `overlap` of the item's words agree with it.
 
-The two masks hit every pattern of up to 20 % substituted words in an item of 10 words or more
-(checked over all patterns of lengths 10 to 20; longer items hold such a stretch), so with the
-default overlap nothing is missed there. Items of 4 to 9 words are sure to be found when they have
-4 unchanged words in a row; items of fewer words and null texts are not searched for.
+The two masks hit every pattern of up to 20 % substituted words in an item of 7 words or more
+(checked over all patterns of lengths 7 to 20; longer items hold such a stretch). Shorter items add masks of
+their own: items of 5 and 6 words, where one word may differ, and items of 1 to 4 words, which must agree in
+all. Documents make the seeds only of masks that some item asks for. So with the default overlap nothing is
+missed at any length. Null texts and items without words are not searched for.
 
 Words are the runs of non-space characters of the lower-cased text. Rows that share a doc_id are
 judged together. Extra columns are ignored; an empty table on either side gives no contamination.
@@ -23,6 +24,15 @@ from .common import materialize
 
 #: Kept word offsets of each mask.
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
+#: Masks of items with fewer words than 7, by their number; all others take MASKS.
+SHORT_MASKS = {
+    1: ((0,),),
+    2: ((0, 1),),
+    3: ((0, 1, 2),),
+    4: ((0, 1, 2, 3),),
+    5: (*MASKS, (0, 2, 3, 4), (0, 1, 3, 4)),
+    6: (*MASKS, (0, 1, 3, 4)),
+}
 OVERLAP = 0.8
 #: Benchmark rows and seeds up to which that side is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
@@ -32,21 +42,36 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), "")
 
 
-def seeds(word_hashes: str) -> Column:
-    """All seeds of an array of word hashes: element i * len(MASKS) + m is mask m at word i."""
+def masks_of(n_words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks by which an item of so many words is found."""
+    return SHORT_MASKS.get(n_words, MASKS)
+
+
+def seeds(word_hashes: str, masks: list[tuple[int, ...]]) -> Column:
+    """All seeds of an array of word hashes: element i * len(masks) + m is mask m at word i."""
     a = F.col(word_hashes)
-    at_word = lambda _, i: F.array(*[F.xxhash64(F.lit(k), *[F.get(a, i + o) for o in mask]) for k, mask in enumerate(MASKS)])
+    # The kept offsets tell masks apart, whatever masks are used besides.
+    at_word = lambda _, i: F.array(*[F.xxhash64(F.lit(str(mask)), *[F.get(a, i + o) for o in mask]) for mask in masks])
     return F.flatten(F.transform(a, at_word))
 
 
-def seed_rows(df: DataFrame, key: str) -> DataFrame:
-    """(key, at, seed): seeds of every word of every row; a seed never reaches past the text's end."""
+def seed_rows(df: DataFrame, key: str, masks: list[tuple[int, ...]], by_length: bool = False) -> DataFrame:
+    """(key, at, seed): seeds of every word of every row; a seed never reaches past the text's end.
+
+    With by_length a row makes only the seeds of its own length's masks.
+    """
     hashed = df.select(key, F.transform(words(), lambda w: F.xxhash64(w)).alias("_h"))
-    flat = hashed.select(key, F.size("_h").alias("_n"), F.posexplode(seeds("_h")).alias("_p", "seed"))
-    mask = F.col("_p") % len(MASKS)
-    reach = F.element_at(F.array(*[F.lit(m[-1]) for m in MASKS]), mask + 1)
-    at = F.floor(F.col("_p") / len(MASKS)).cast("int")
-    return flat.where(at + reach < F.col("_n")).select(key, at.alias("at"), "seed")
+    flat = hashed.select(key, F.size("_h").alias("_n"), F.posexplode(seeds("_h", masks)).alias("_p", "seed"))
+    mask = (F.col("_p") % len(masks)).cast("int")
+    reach = F.element_at(F.array(*[F.lit(m[-1]) for m in masks]), mask + 1)
+    at = F.floor(F.col("_p") / len(masks)).cast("int")
+    flat = flat.where(at + reach < F.col("_n"))
+    if by_length:
+        usual = mask.isin([i for i, m in enumerate(masks) if m in MASKS])
+        for n, own in SHORT_MASKS.items():
+            usual = F.when(F.col("_n") == n, mask.isin([i for i, m in enumerate(masks) if m in own])).otherwise(usual)
+        flat = flat.where(usual)
+    return flat.select(key, at.alias("at"), "seed")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -57,9 +82,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     """Per contaminated doc_id: n_items (items found in it), item_id and best (the largest overlap)."""
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    item_seeds = materialize(seed_rows(items, "item_id").select("item_id", F.col("at").alias("item_at"), "seed"))
+    lengths = [r["n"] for r in items.select(F.least(F.size(words()), F.lit(7)).alias("n")).distinct().collect()]  # 8 rows at most
+    masks = sorted({m for n in lengths if n for m in masks_of(n)}) or list(MASKS)
+    item_seeds = materialize(seed_rows(items, "item_id", masks, by_length=True).select("item_id", F.col("at").alias("item_at"), "seed"))
     n_seeds = item_seeds.count()
-    hits = seed_rows(docs, "doc_id").join(small(item_seeds, n_seeds), "seed")
+    hits = seed_rows(docs, "doc_id", masks).join(small(item_seeds, n_seeds), "seed")
     hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits)
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("_hits"))
