@@ -111,6 +111,23 @@ def test_a_group_larger_than_a_shard(spark):
     assert len(out) == 600 and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+@pytest.mark.parametrize("few", [5_000, 50])
+def test_groups_lie_in_as_few_shards_as_they_can(spark, monkeypatch, few):
+    """One text with a third of the rows, and thousands of small groups: only the first is cut, into six shards."""
+    monkeypatch.setattr(shard, "FEW", few)
+    rows = [(i, "hot") for i in range(16_000)]
+    rows += [(len(rows) + i, f"pair {i // 2}") for i in range(2 * 2250)]
+    rows += [(len(rows) + i, f"five {i // 5}") for i in range(5 * 2250)]
+    rows += [(i, f"own {i}") for i in range(len(rows), 48_000)]
+    out = shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 16).select("doc_id", "shard").collect()
+    assert len(out) == 48_000 and set(collections.Counter(r["shard"] for r in out).values()) == {3000}
+    text, where = dict(rows), collections.defaultdict(set)
+    for r in out:
+        where[text[r["doc_id"]]].add(r["shard"])
+    assert len(where.pop("hot")) == 6
+    assert all(len(w) == 1 for w in where.values())
+
+
 def test_quality_counts(docs, texts):
     for r in quality.measure_documents(docs).collect():
         t = texts[r["doc_id"]]

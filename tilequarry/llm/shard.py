@@ -1,61 +1,90 @@
 """Balanced label propagation: documents into shards of equal counts, equal texts together.
 
-Documents are linked if their texts are equal. Each round, joins and aggregates let every group
-vote: its most frequent shard attracts its other members, and they move as far as the shard's
-quota has room for linked documents; so cut edges fall while no shard outgrows its quota. The state
-is one row for each (group, shard), not for each document. Documents without a link then fill the
-shards up to the quotas, which differ by one row at most (law `rows`).
-
-A group larger than a quota stays spread over as few shards as the rounds reach. A null text is a
-text of its own kind (size 1). Repeated rows are documents of their own. Extra columns are ignored.
+Documents are linked if their texts are equal. Every group votes: of the shards with room for all of it,
+the one that holds most of its members attracts the others. Groups of more than a 1,000th of the rows,
+under 1,000 in number, vote first and in order of size; one that fits no shard fills the emptiest ones,
+so it lies in as few as the room allows. The others vote in rounds of joins and aggregates: room is
+computed anew, a full shard drops out, and the group's next shard is asked, until every group has moved.
+Only groups larger than the room left in any shard are cut. The state is one row for each
+(group, shard), not for each document. Documents without a link then fill the shards up to the quotas,
+which differ by one row at most (law `rows`).
+
+A null text is a text of its own kind (size 1). Repeated rows are documents of their own. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, hash_parts, materialize
 
-ROUNDS = 4
-#: Bins by which requests for a shard are admitted, best first.
-BINS = 512
-
-
-def pick(by: Column, values: list[int]) -> Column:
-    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), by + 1)
-
-
-def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move counts n of (key, shard, n) towards the groups' favourite shards within the quotas."""
-    shards = len(quota)
-    state = materialize(state)
-    for _ in range(rounds):
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+#: Bins by which requests for a shard are admitted, largest groups first, at first and at most.
+BINS, MOST_BINS = 512, 4096
+#: Groups without a shard up to which the driver places the rest one by one.
+FEW = 5_000
+
+
+def place(votes: dict[str, dict[int, int]], room: list[int]) -> list[tuple[str, int, int]]:
+    """Rows (key, shard, n) of groups placed one by one, the largest first; room is reduced."""
+    out = []
+    for key, mine in sorted(votes.items(), key=lambda kv: (-sum(kv[1].values()), kv[0])):
+        left = sum(mine.values())
+        while left:
+            fit = [s for s in range(len(room)) if room[s] >= left]
+            # The most members among shards that take all of it; else as much as the emptiest shard takes.
+            s = max(fit, key=lambda s: (mine.get(s, 0), room[s], -s)) if fit else max(range(len(room)), key=lambda s: (room[s], mine.get(s, 0), -s))
+            n = min(left, room[s])
+            out.append((key, s, n))
+            room[s] -= n
+            left -= n
+    return out
+
+
+def propagate(state: DataFrame, quota: list[int], heavy: int) -> DataFrame:
+    """Move counts n of (key, shard, n) to the groups' best shards within the quotas; groups above heavy first."""
+    spark, shards, room = state.sparkSession, len(quota), list(quota)
+    votes = F.map_from_entries(F.collect_list(F.struct("shard", "n")))
+    groups = materialize(state.groupBy("key").agg(votes.alias("votes"), F.sum("n").cast("long").alias("size")))
+    collect = lambda df: {r["key"]: r["votes"] for r in df.select("key", "votes").collect()}
+    placed = place(collect(groups.where(F.col("size") > heavy)), room)
+    groups, done, bins, turn = groups.where(F.col("size") <= heavy), [], BINS, 0
+    shut: set[int] = set()  # shards that granted nothing when last asked: their groups ask the next one
+    while groups.count() > FEW:
         # Ties go to a shard by hash, so that equal groups don't all ask for the first one.
-        lean = F.pmod(F.xxhash64("key", "shard"), F.lit(1 << 20))
-        wish = state.groupBy("key").agg(F.max_by("shard", F.struct("n", lean)).alias("to"), F.max("n").alias("pull"))
-        ask = state.join(wish, "key")
-        strength = F.least(F.lit(31), F.floor(F.log2("pull"))).cast("int")
-        rank = F.pmod(F.xxhash64("key"), F.lit(BINS // 32)).cast("int")
-        ask = materialize(ask.withColumn("bin", F.when(F.col("to") != F.col("shard"), (31 - strength) * (BINS // 32) + rank)))
-        wanted = ask.where("bin is not null").groupBy("to", "bin").agg(F.sum("n").alias("n")).collect()  # shards * BINS rows at most
-        if not wanted:
-            break
+        choice = [
+            F.when(F.col("size") <= (0 if s in shut else room[s]), F.struct(F.coalesce(F.col("votes")[s], F.lit(0)).alias("n"), F.pmod(F.xxhash64("key", F.lit(s), F.lit(turn)), F.lit(1 << 20)).alias("lean"), F.lit(s).alias("to")))
+            for s in range(shards)
+        ]
+        strength = F.least(F.lit(31), F.floor(F.log2("size"))).cast("int")
+        rank = F.pmod(F.xxhash64("key", F.lit(-1 - turn)), F.lit(bins // 32)).cast("int")
+        ask = groups.withColumn("to", F.array_max(F.array(*choice))["to"]).withColumn("bin", (31 - strength) * (bins // 32) + rank)
+        ask = materialize(ask)
+        wanted = ask.where("to is not null").groupBy("to", "bin").agg(F.sum("size").alias("n")).collect()  # shards * bins rows at most
         grant = []
-        for s in range(shards):
-            room = max(0, quota[s] - load.get(s, 0))
-            for r in sorted((r for r in wanted if r["to"] == s), key=lambda r: r["bin"]):
-                grant.append((s, r["bin"], min(1.0, room / r["n"])))
-                room = max(0, room - r["n"])
-        admitted = state.sparkSession.createDataFrame(grant, "to int, bin int, part double")
-        moved = ask.join(F.broadcast(admitted), ["to", "bin"], "left")
-        go = F.floor(F.col("n") * F.coalesce("part", F.lit(0.0))).cast("long")
-        halves = F.array(F.struct(F.col("shard"), (F.col("n") - go).alias("n")), F.struct(F.col("to").alias("shard"), go.alias("n")))
-        state = moved.select("key", F.explode(halves).alias("x")).select("key", "x.*").where("n > 0")
-        state = materialize(state.groupBy("key", "shard").agg(F.sum("n").cast("long").alias("n")))
-    return state
+        for r in sorted(wanted, key=lambda r: (r["to"], r["bin"])):
+            if r["n"] <= room[r["to"]]:
+                room[r["to"]] -= r["n"]
+                grant.append((r["to"], r["bin"]))
+        if grant:
+            admitted = F.broadcast(spark.createDataFrame(grant, "to int, bin int"))
+            done.append(ask.join(admitted, ["to", "bin"]).select("key", F.col("to").alias("shard"), F.col("size").alias("n")))
+            groups = materialize(ask.join(admitted, ["to", "bin"], "left_anti").select("key", "votes", "size"))
+        idle = {r["to"] for r in wanted} - {s for s, _ in grant}
+        shut |= idle
+        if not wanted:
+            # No shard is left to ask: all are asked again in finer bins.
+            if bins >= MOST_BINS:
+                break
+            shut, bins = set(), bins * 2
+        turn += 1
+    placed += place(collect(groups), room)
+    out = spark.createDataFrame(placed, "key string, shard int, n long")
+    for d in done:
+        out = out.unionByName(d)
+    return materialize(out)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -83,13 +112,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     start = F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int")
     begin = linked.where("copies > 1").groupBy("key", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    state = propagate(begin, quota)
+    state = propagate(begin, quota, max(1, total // 1000))
     load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    # The first state may put more linked documents into a shard than its quota; those overflow.
-    over = {s: max(0, n - quota[s]) for s, n in load.items()}
-    if any(over.values()):
-        state = rebalance(state, quota, load)
-        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
 
     # Linked documents: those of a group that stayed whole take its shard; those of a cut group are dealt by rank.
     ends = F.sum("n").over(W.partitionBy("key").orderBy("shard"))
@@ -114,35 +138,3 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     every = materialize(placed.select(*cols).unionByName(split.select(*cols)).unionByName(singles.select(*cols)))
     out = gapless_rank(every, ["shard"], "doc_id", max(1, parts // shards), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def rebalance(state: DataFrame, quota: list[int], load: dict[int, int]) -> DataFrame:
-    """Move the part of each shard's linked documents that exceeds its quota to shards with room, exactly."""
-    shards = len(quota)
-    over = {s: load.get(s, 0) - quota[s] for s in range(shards) if load.get(s, 0) > quota[s]}
-    free = [(s, quota[s] - load.get(s, 0)) for s in range(shards) if load.get(s, 0) < quota[s]]
-    # Rows of an overfull shard, in a fixed order, give up their last documents; the freed ones fill the room in order.
-    mine = state.where(F.col("shard").isin(list(over)))
-    mine = mine.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(4096)))
-    cells = mine.groupBy("shard", "cell").agg(F.sum("n").alias("m"))
-    ahead = F.coalesce(F.sum("m").over(W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("shard", "cell", ahead.alias("before"))
-    mine = mine.join(cells, ["shard", "cell"])
-    inside = F.sum("n").over(W.partitionBy("shard", "cell").orderBy("key")) - F.col("n")
-    mine = mine.withColumn("lo", F.col("before") + inside).withColumn("hi", F.col("lo") + F.col("n"))
-    offset, at = {}, 0
-    for s, n in sorted(over.items()):
-        offset[s], at = at, at + n
-    keep = pick(F.col("shard"), [quota[s] for s in range(shards)])
-    shift = pick(F.col("shard"), [offset.get(s, 0) for s in range(shards)])
-    spill_lo = F.greatest(F.col("lo"), keep) - keep + shift
-    spill_hi = F.greatest(F.col("hi"), keep) - keep + shift
-    slots, at = [], 0
-    for s, n in free:
-        slots.append((s, at, at + n))
-        at += n
-    stay = F.struct(F.col("shard"), F.greatest(F.lit(0), F.least(F.col("hi"), keep) - F.col("lo")).cast("long").alias("n"))
-    gone = [F.struct(F.lit(s).alias("shard"), F.greatest(F.lit(0), F.least(spill_hi, F.lit(b)) - F.greatest(spill_lo, F.lit(a))).cast("long").alias("n")) for s, a, b in slots]
-    moved = mine.select("key", F.explode(F.array(stay, *gone)).alias("x")).select("key", "x.shard", "x.n").where("n > 0")
-    rest = state.where(~F.col("shard").isin(list(over))).select("key", "shard", "n")
-    return materialize(rest.unionByName(moved).groupBy("key", "shard").agg(F.sum("n").cast("long").alias("n")))
