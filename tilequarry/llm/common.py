@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the only separators between words. bytes.split() splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of text that a batch of `map_frames` holds; a longer text is a batch of its own.
+FRAME_BYTES = 2 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in a local session without one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tilequarry-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -31,6 +44,39 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_batch(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes of strings; one row at least."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for col in batch.columns:
+        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) or pa.types.is_binary(col.type):
+            size += pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType, exact: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """mapInPandas with small batches, in which the columns `exact` stay Arrow arrays.
+
+    A 64-bit id beside a null would otherwise pass through a float and lose its last digits.
+    """
+    fields = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        held = {n: pd.Series(pd.arrays.ArrowExtensionArray(pa.chunked_array([c]))) if n in exact else c.to_pandas() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+        return pd.DataFrame(held)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(frame(part) for batch in batches for part in cut_batch(batch, FRAME_BYTES)):
+            yield from pa.Table.from_pandas(out, schema=fields, preserve_index=False).to_batches()
+
+    return df.mapInArrow(frames, schema)
+
+
 def hash_parts(n_rows: int, per_part: int = 20_000) -> int:
     """Number of buckets so that one holds about per_part rows."""
     return max(1, -(-int(n_rows) // per_part))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_frames, materialize
 
 #: Paths that a host hands to its pages, best first.
 PATHS_PER_HOST = 3
@@ -201,7 +201,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             votes = pd.DataFrame(found, columns=["host", "path", "score"])
             yield votes.groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 
-    cast = pages.select(host().alias("host"), "html").mapInPandas(vote, "host string, path string, votes long, score double")
+    cast = map_frames(pages.select(host().alias("host"), "html"), vote, "host string, path string, votes long, score double")
     total = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum(F.floor("score")).alias("score"))
     place = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
     top = total.withColumn("place", place).where(F.col("place") <= PATHS_PER_HOST)
@@ -220,4 +220,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, list(p) if p is not None else None) for h, p in zip(pdf["html"], pdf["paths"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": pdf["host"]})
 
-    return joined.select("page_id", "url", "html", "host", "paths").mapInPandas(run, "page_id long, url string, text string, n_chars long, host string")
+    return map_frames(joined.select("page_id", "url", "html", "host", "paths"), run, "page_id long, url string, text string, n_chars long, host string", ("page_id",))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_frames
+
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
 SAMPLE_PER_LANG = 400
@@ -95,7 +97,7 @@ def train(docs: DataFrame, usable: Column, per_lang: int = SAMPLE_PER_LANG, cent
                     out.append((lang, at.astype(np.int32).tobytes(), c[at].astype(np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "at", "n"])
 
-    got = sample_training(docs, usable, per_lang).select("lang", "text").mapInPandas(run, "lang string, at binary, n binary").collect()
+    got = map_frames(sample_training(docs, usable, per_lang).select("lang", "text"), run, "lang string, at binary, n binary").collect()
     got = sorted(got, key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     seen = np.zeros(DIM)
     for r in got:
@@ -138,10 +140,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 j = int(np.argmax(near))
                 out.append((m["langs"][j], min(1.0, max(0.0, float(near[j]))), bool(near[j] >= m["limits"][j])))
             res = pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
-            res.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            res.insert(0, "doc_id", pdf["doc_id"].array)
             yield res
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -149,9 +151,12 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
-    """Train on the labelled rows outside fold 2 and predict every row; held_out marks fold 2."""
+def identify_languages(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> DataFrame:
+    """Train on the labelled rows outside fold 2 and predict every row; held_out marks fold 2.
+
+    per_lang bounds the training rows of a language, centroids is their number for each language.
+    """
     docs = docs.select("doc_id", "text", "lang")
-    model = train(docs, fold() != 2)
+    model = train(docs, fold() != 2, per_lang, centroids)
     out = predict(docs, model)
     return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix64
+from .common import components, map_frames, materialize, mix64
 
 CHUNK_ROWS = 1_000_000
 CHUNKS = 24
@@ -41,7 +41,7 @@ SIMILAR = (4, 5)
 #: Distance up to which `similar_sets` tries a spanning forest before it looks at all pairs.
 CLOSE = 24
 #: Bytes of shingle sets that one side of a verifying task holds.
-SET_BYTES = 48 << 20
+SET_BYTES = 24 << 20
 #: Rows of one side that are compared with the other side at a time.
 BLOCK_CELLS = 250_000
 
@@ -89,10 +89,10 @@ def fingerprints(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
         for pdf in batches:
             f = np.array([fingerprint(t, shingle, lanes) for t in pdf["text"]], np.uint64).reshape(-1, lanes).view(np.int64)
             out = pd.DataFrame(f, columns=names)
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return map_frames(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
@@ -247,7 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int)
 
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     cells = pairs.withColumn("c0", bucket("a")).withColumn("c1", bucket("b"))
-    packed = materialize(texts.join(ids, "id").dropDuplicates(["id"]).mapInPandas(pack, "id long, members binary"))
+    packed = materialize(map_frames(texts.join(ids, "id").dropDuplicates(["id"]), pack, "id long, members binary", ("id",)))
     need = cells.select(F.col("a").alias("id"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).union(cells.select("b", "c0", "c1")).distinct()
     return materialize(cells.groupBy("c0", "c1").cogroup(materialize(need).join(packed, "id").groupBy("d0", "d1")).applyInPandas(check, "a long, b long"))
 
@@ -268,11 +268,11 @@ def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: in
             out = pd.DataFrame(f, columns=names)
             out.insert(0, "n", np.array([len(h) for h in rows], np.int64))
             out.insert(0, "id", np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in rows], np.uint64).view(np.int64))
-            out.insert(0, key, pdf[key].to_numpy())
+            out.insert(0, key, pdf[key].array)
             yield out
 
     kind = docs.schema[key].dataType.simpleString()
-    prints = materialize(docs.select(key, "text").mapInPandas(run, f"{key} {kind}, id long, n long, " + ", ".join(f"{x} long" for x in names)))
+    prints = materialize(map_frames(docs.select(key, "text"), run, f"{key} {kind}, id long, n long, " + ", ".join(f"{x} long" for x in names), (key,)))
     # Any row of an equal set serves as its text.
     sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key)))
     texts = docs.select(key, "text").join(sets.select(key, "id"), key).select("id", "text")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_parts, materialize
+from .common import hash_parts, map_frames, materialize
 
 MAGIC = b"TQF2"
 HEAD = "<4sIIQI"
@@ -336,7 +336,7 @@ def write_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     parts = hash_parts(docs.count(), 8_000)
     ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(ordered.mapInPandas(run, "part int, frame int, n_ids long, data binary"))
+    return materialize(map_frames(ordered, run, "part int, frame int, n_ids long, data binary"))
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 out.insert(0, "doc_id", pd.array(keys, dtype="Int64"))
                 yield out
 
-    return files.join(placed, ["part", "frame"]).select("start", "data").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_frames(files.join(placed, ["part", "frame"]).select("start", "data"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str) -> DataFrame:
