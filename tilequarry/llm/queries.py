@@ -43,7 +43,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode_decode(table(spark, sf_dir, "documents"), model, keep=False)
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), model, ids=False, decoded=False)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
