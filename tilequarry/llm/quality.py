@@ -1,15 +1,19 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Each rule rejects a document when one measured share passes a cutoff. The labelled documents of
-good quality are the holdout: a cutoff is certified for a stratum (a language) if the exact
-binomial test rejects "more than alpha / rules of the good documents would be lost" at level
-delta / (strata * rules * cutoffs), Bonferroni's correction over all tests that are made. Of the
-certified cutoffs of a rule the strictest is used; without one the rule is off in that stratum.
-So with probability 1 - delta no stratum loses more than alpha of its good documents.
+Each rule rejects a document when one measured share passes a cutoff. The labelled documents of good
+quality that pass the base rules are the holdout, a quarter and the rest by the hash of the text; equal
+texts of a stratum (a language) count once. Per stratum, the quarter puts all (rule, cutoff) steps into a
+ladder: those that lose fewest documents first, each rule from lenient to strict. The rest climbs it: after each step the exact binomial test asks whether the rules so far lose more than alpha
+of the good documents. Every step loses at least what the steps before it lose, and the first one that
+is not certified ends the climb, so the tests of a ladder need no correction among themselves
+(fixed-sequence testing); over the strata Bonferroni's correction gives each the level delta / strata.
+So with probability 1 - delta no stratum loses more than alpha of its good documents to the cutoffs.
 
 Null text has no words and fails the base rules. A null language is a stratum of its own. A stratum
-without labelled documents has no certified cutoff and keeps what passes the base rules. Repeated
-label rows of a document count once, as good only if all of them say so. Extra columns are ignored.
+without labelled documents, or with too few, has no certified cutoff and keeps what passes the base rules.
+Repeated label rows of a document count once, as good only if all of them say so. Rows that share a
+doc_id share its label; rows without one have none. Texts are measured whole; repeated rows get equal
+verdicts; an empty table gives no rows. Extra columns are ignored (`keep_good` passes them on).
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import SPACE, materialize
+from .common import SPACE, map_frames, materialize
 
 #: rule -> (numerator, denominator, cutoffs from strict to lenient)
 RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
@@ -34,8 +39,11 @@ RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
     "word_length": ("word_chars", "n_words", (8.0, 10.0, 12.0, 16.0, 24.0, 40.0)),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Strata up to which the cutoffs are broadcast; beyond it the join is an ordinary one.
-BROADCAST_STRATA = 10_000
+#: Strata up to which the cutoffs are broadcast; beyond it both sides are shuffled, each stratum dealt to SALTS tasks.
+BROADCAST_STRATA, SALTS = 10_000, 32
+
+#: A stratum's good documents that may be lost, and the chance that some stratum loses more.
+ALPHA, DELTA = 0.02, 0.05
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_lines", "n_upper", "n_exclaim")
@@ -83,16 +91,21 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measure_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, COUNTS) of every document."""
+def measure_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(columns, stratum, COUNTS, _text: a hash of the text) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = pd.DataFrame([measure(t) for t in pdf["text"]], columns=list(COUNTS), dtype="int64")
-            yield pd.concat([pdf[["doc_id", "stratum"]].reset_index(drop=True), rows], axis=1)
+            yield pd.concat([pdf[[*columns, "stratum", "_text"]], rows], axis=1)
 
-    source = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum"), "text")
-    return source.mapInPandas(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+    text = [] if "text" in columns else ["text"]
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("stratum")
+    source = docs.select(*columns, stratum, F.xxhash64("text").alias("_text"), *text)
+    schema = StructType([f for f in source.schema if f.name != "text" or not text])
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    return map_frames(source, run, schema, tuple(c for c in columns if c != "text"))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -114,63 +127,88 @@ def share(rule: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+STEPS = [(r, i) for r, (_, _, cuts) in RULES.items() for i in range(len(cuts))]
+
+
+def ladder(losses: list[int]) -> list[int]:
+    """The place of each of STEPS in the ladder, from what each loses in the first quarter."""
+    worst: dict[tuple[str, int], tuple[int, int]] = {}
+    for (rule, i), lost in zip(STEPS, losses, strict=True):
+        # A rule's cutoffs run from strict to lenient, and a stricter one loses no less.
+        worst[rule, i] = (lost, -i)
+    order = sorted(STEPS, key=lambda s: (*worst[s], s[0]))
+    return [order.index(s) for s in STEPS]
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> tuple[DataFrame, int]:
     """One row (stratum, a cutoff or null for each rule) for each labelled stratum, and their number."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = measured.join(good, "doc_id", "left_semi")
-    lost = {f"{r}_{i}": F.sum((share(r) > c).cast("long")) for r, (_, _, cuts) in RULES.items() for i, c in enumerate(cuts)}
-    counts = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in lost.items()]))
-    strata = counts.count()
-    level = delta / max(1, strata * sum(len(x[2]) for x in RULES.values()))
-    limit = alpha / len(RULES)
+    held = measured.where(~base_failed()).join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "_text"])
+    held = materialize(held.select("stratum", (F.pmod(F.xxhash64("_text", F.lit("ladder")), F.lit(4)) == 0).alias("first"), *[share(r).alias(r) for r in RULES]))
+    over = lambda r, i: F.col(r) > RULES[r][2][i]
+    lost = F.array(*[F.sum((F.col("first") & over(r, i)).cast("long")) for r, i in STEPS])
+    ladders = materialize(held.groupBy("stratum").agg(lost.alias("lost")))
+    strata = ladders.count()
+    level = delta / max(1, strata)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"stratum": pdf["stratum"], "place": [ladder(list(x)) for x in pdf["lost"]]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ladders = map_frames(ladders, build, "stratum string, place array<int>")
+    others = spread_join(held.where("not first"), ladders, "stratum", strata)
+    end = F.lit(len(STEPS))
+    # The step at which each other document is lost.
+    at = F.least(end, *[F.when(over(r, i), F.col("place")[k]).otherwise(end) for k, (r, i) in enumerate(STEPS)])
+    tally = others.groupBy("stratum", at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    tally = tally.groupBy("stratum").agg(F.collect_list(F.struct("at", "n")).alias("tally"))
+
+    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {"stratum": pdf["stratum"]}
-            for rule, (_, _, cuts) in RULES.items():
-                chosen = []
-                for row in range(len(pdf)):
-                    n = int(pdf["n"].iloc[row])
-                    ok = [c for i, c in enumerate(cuts) if binomial_tail(int(pdf[f"{rule}_{i}"].iloc[row]), n, limit) <= level]
-                    chosen.append(min(ok) if ok else None)
-                out[f"cut_{rule}"] = pd.Series(chosen, dtype="float64")
-            yield pd.DataFrame(out)
+            rows = []
+            for stratum, place, tally in zip(pdf["stratum"], pdf["place"], pdf["tally"], strict=True):
+                lost = {t["at"]: t["n"] for t in tally}
+                n, gone, cut = sum(lost.values()), 0, dict.fromkeys(RULES)
+                for k, (rule, i) in sorted(zip(place, STEPS, strict=True)):
+                    gone += lost.get(k, 0)
+                    if binomial_tail(gone, n, alpha) > level:
+                        break
+                    cut[rule] = RULES[rule][2][i]
+                rows.append((stratum, *cut.values()))
+            yield pd.DataFrame(rows, columns=["stratum", *(f"cut_{r}" for r in RULES)]).astype({f"cut_{r}": "float64" for r in RULES})
 
     schema = "stratum string, " + ", ".join(f"cut_{r} double" for r in RULES)
-    return counts.mapInPandas(run, schema), strata
+    return materialize(map_frames(ladders.join(tally, "stratum"), climb, schema)), strata
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Per document: doc_id, the COUNTS, stratum, base_failed, kept and failed (the certified rules it breaks)."""
-    measured = materialize(measure_documents(docs))
+def spread_join(rows: DataFrame, strata: DataFrame, key: str, n: int) -> DataFrame:
+    """Left join of rows with one row for each stratum, of which there are n; no stratum is gathered in one task."""
+    if n <= BROADCAST_STRATA:
+        return rows.join(F.broadcast(strata), key, "left")
+    salted = strata.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(1) * SALTS).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
+def verdicts(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """measured with base_failed, failed (the certified rules a document breaks) and kept."""
     cuts, strata = certified_cutoffs(measured, labels.select("doc_id", "quality"), alpha, delta)
-    if strata <= BROADCAST_STRATA:
-        cuts = F.broadcast(cuts)
     failed = F.array_compact(F.array(*[F.when(share(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = measured.join(cuts, "stratum", "left").withColumn("base_failed", base).withColumn("failed", failed)
-    return out.select("doc_id", *COUNTS, "stratum", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+    out = spread_join(measured, cuts, "stratum", strata).withColumn("base_failed", base_failed()).withColumn("failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Per document: doc_id, the COUNTS, stratum, base_failed, kept and failed (the certified rules it breaks)."""
+    out = verdicts(materialize(measure_documents(docs)), labels, alpha, delta)
+    return out.select("doc_id", *COUNTS, "stratum", "base_failed", "kept", "failed")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns; the verdict is that of quality_rules."""
-    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    measured = materialize(measure_documents(docs))
-    cuts, strata = certified_cutoffs(measured, labels.select("doc_id", "quality"), alpha, delta)
-    cuts = cuts.withColumnRenamed("stratum", "_stratum")
-    joined = docs.join(F.broadcast(cuts) if strata <= BROADCAST_STRATA else cuts, stratum == F.col("_stratum"), "left").drop("_stratum")
     names = docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {c: i for i, c in enumerate(COUNTS)}
-        for pdf in batches:
-            x = np.array([measure(t) for t in pdf["text"]], np.int64).reshape(-1, len(COUNTS))
-            words, repeated = x[:, at["n_words"]], x[:, at["n_repeat_words"]]
-            kept = (words >= MIN_WORDS) & (100 * repeated <= MAX_REPEAT_PERCENT * words)
-            for rule, (top, bottom, _) in RULES.items():
-                cut = pdf[f"cut_{rule}"].to_numpy(np.float64)
-                with np.errstate(invalid="ignore"):
-                    kept &= ~(np.where(x[:, at[bottom]] > 0, x[:, at[top]] / np.maximum(x[:, at[bottom]], 1), 0.0) > cut)
-            yield pdf.loc[kept, names]
-
-    return joined.mapInPandas(run, docs.schema)
+    measured = materialize(measure_documents(docs, tuple(names)))
+    return verdicts(measured, labels, alpha, delta).where("kept").select(*names)
