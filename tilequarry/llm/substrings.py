@@ -19,8 +19,9 @@ Spark groups, counts and joins; a large bucket is counted by partial aggregates
 Bytes covered by any repeated window are removed. Matches never cross documents.
 
 A null text counts as empty. Rows with equal doc_id and text are two places with the same string, so
-they lose what they share. Removal can cut a character; `text` leaves out the bytes of cut
-characters. Texts shorter than WIDTH keep all bytes. Extra columns are ignored.
+they lose what they share; a null or repeated doc_id is passed on as it is. Removal can cut a character;
+`text` leaves out the bytes of cut characters. Texts shorter than WIDTH keep all bytes, long ones are
+worked on whole. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import map_frames, materialize, mix64
 
 WIDTH = 200
 GRAM = 64
@@ -130,7 +131,7 @@ def all_runs(docs: DataFrame) -> DataFrame:
                 rk, th = np.repeat(part["rk"].to_numpy(), n), np.repeat(part["th"].to_numpy(), n)
                 yield pd.DataFrame({"rk": rk, "th": th, "lo": lo, "nw": size, "rel": rel, "anchor": anchor, "kind": kind})
 
-    return docs.select("rk", "th", "text").mapInPandas(run, RUN_SCHEMA)
+    return map_frames(docs.select("rk", "th", "text"), run, RUN_SCHEMA, ())
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -200,8 +201,9 @@ def windows(ctx: DataFrame, requests: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rk, th, spans): byte ranges [from, to) of each document that repeated windows cover."""
-    every = all_runs(docs)
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Counts are written before they are joined: a join of two shuffles can be split where an anchor is very frequent.
+    every = materialize(all_runs(docs))
+    again = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     kept = materialize(every.join(again, "anchor"))
     place = F.struct("rk", "th", "lo")
     kinds = kept.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.min("nw").alias("nw"), F.min("rel").alias("rel"))
@@ -209,7 +211,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     full = kept.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"])
     spans = full.select("rk", "th", F.col("lo").alias("from"), (F.col("lo") + F.col("nw") + WIDTH - 1).alias("to"))
 
-    is_open = kinds.where("n = 1").select("anchor").distinct()
+    is_open = materialize(kinds.where("n = 1").select("anchor").distinct())
     wanted = kinds.join(is_open, "anchor")
     wanted = wanted.select("at.*", "nw", "rel", "anchor", F.least("n", F.lit(2)).cast("int").alias("weight"))
     ctx = materialize(contexts(docs, wanted))
@@ -232,7 +234,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     window_spans = window_spans.select("rk", "th", F.col("start").alias("from"), (F.col("start") + WIDTH).alias("to"))
 
     together = spans.unionByName(block_spans).unionByName(window_spans)
-    return together.groupBy("rk", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    # Equal rows share a key and bring the same spans; a set holds them once.
+    return together.groupBy("rk", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -266,4 +269,4 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
             yield pd.concat([pdf[["doc_id", *columns]].reset_index(drop=True), new], axis=1)
 
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return joined.mapInPandas(run, f"doc_id long{extra}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_frames(joined, run, f"doc_id long{extra}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ("doc_id", *columns))
