@@ -11,8 +11,11 @@ their own: items of 5 and 6 words, where one word may differ, and items of 1 to
 all. Documents make the seeds only of masks that some item asks for. So with the default overlap nothing is
 missed at any length. Null texts and items without words are not searched for.
 
-Words are the runs of non-space characters of the lower-cased text. Rows that share a doc_id are
-judged together. Extra columns are ignored; an empty table on either side gives no contamination.
+Words are the runs of non-space characters of the lower-cased text. Rows that share a doc_id, null
+included, are judged together. Texts are searched whole, and a hit carries only the words beside its item,
+so a long or repetitive text grows with its hits, not with their number times its length. Extra columns
+are ignored; an empty table on either side gives no contamination. Beyond BROADCAST_ROWS both sides are
+shuffled by seed, where Spark splits the partition of a very frequent seed.
 """
 
 from __future__ import annotations
@@ -89,12 +92,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     hits = seed_rows(docs, "doc_id", masks).join(small(item_seeds, n_seeds), "seed")
     hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits)
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("_hits"))
     item_words = items.select("item_id", words().alias("_item"))
-    found = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["doc_id"])).select(docs["doc_id"], words().alias("_doc"), "_hits")
-    found = found.select("doc_id", "_doc", F.explode("_hits").alias("_hit")).select("doc_id", "_doc", "_hit.*")
-    found = found.join(small(item_words, n_seeds), "item_id")
-    agree = F.size(F.filter(F.transform("_item", lambda w, i: w == F.get("_doc", i + F.col("shift"))), lambda x: x))
+    sized = hits.join(small(item_words.select("item_id", F.size("_item").alias("n")), n_seeds), "item_id")
+    # An item_id with several texts has its alignments for each of their lengths.
+    by_doc = sized.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("_hits"))
+    found = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["doc_id"])).select(docs["doc_id"], "text", "_hits")
+    # The words are bound once for a document; a hit takes along only those beside its item, not the text.
+    first = lambda h: F.greatest(h["shift"], F.lit(0))
+    beside = lambda d, h: F.slice(d, first(h).cast("int") + 1, F.greatest(F.lit(0), h["n"] + F.least(h["shift"], F.lit(0))).cast("int"))
+    cut = F.transform(F.array(words()), lambda d: F.transform("_hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["n"].alias("n"), F.least(h["shift"], F.lit(0)).alias("shift"), beside(d, h).alias("_doc"))))
+    found = found.select("doc_id", F.explode(F.flatten(cut)).alias("_hit")).select("doc_id", "_hit.*").distinct()
+    found = found.join(small(item_words, n_seeds), "item_id").where(F.size("_item") == F.col("n"))
+    agree = F.size(F.filter(F.transform("_item", lambda w, i: w == F.get("_doc", (i + F.col("shift")).cast("int"))), lambda x: x))
     found = found.select("doc_id", "item_id", (agree / F.size("_item")).alias("share")).where(F.col("share") >= overlap)
     best = found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share")).groupBy("doc_id")
     return best.agg(
