@@ -1,8 +1,10 @@
 """Tile grids, coverage of tiles by annotation boxes, label rules and sampling.
 
-A tile's window is 8 x 8 analysis pixels, so what a class covers of it fits in two 32-bit masks
-(rows 0-3 and 4-7). Masks of one class are or-ed, which counts a pixel once however many shapes
-cover it, and a tile never becomes 64 rows. Shapes reach tiles by an equi-join on the tile's place.
+A tile's window is some 8 x 8 analysis pixels (4 to 12 a side, as scales round), wherever overlap and
+scale put it. What a class covers of a window fits in three long masks of 4 rows x 12 pixels; larger
+windows are cut into such blocks. Masks of one class are or-ed, which counts a pixel once however many
+shapes cover it, and a tile never becomes its pixels. Boxes reach tiles by arithmetic on the slide's
+scale, so no range join is made, and everything about a tile is gathered by one shuffle on its place.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ class TileParams:
     exclusion: str = "exclusion roi"
     include_all: bool = False
     text_filter: tuple[str, ...] = field(default=())
+    #: Micrometres by which a class is shrunk before a tile's centre may take it; None for half a tile, 0 for no such test.
+    erode_um: float | None = 0.0
 
     def __post_init__(self) -> None:
         if (self.mpp is None) == (self.downsample is None):
@@ -45,7 +49,8 @@ class TileParams:
 
 def scale(slides: DataFrame, p: TileParams) -> DataFrame:
     """Adds status, ds (level-0 pixels of an output pixel), tile0 and ads (analysis downsample)."""
-    ds = F.lit(p.downsample).cast("double") if p.downsample is not None else F.lit(p.mpp) / F.col("pixel_size")
+    px = F.when(F.col("pixel_size") > 0, F.col("pixel_size"))
+    ds = F.lit(p.downsample).cast("double") if p.downsample is not None else F.lit(p.mpp) / px
     status = F.when(ds.isNull(), "no_pixel_size").when(ds < 0.999, "upsampling").otherwise("ok")
     out = slides.withColumn("ds", ds).withColumn("status", status)
     return out.withColumn("tile0", F.rint(p.size * F.col("ds")).cast("long")).withColumn("ads", F.greatest(F.lit(1.0), F.rint(F.col("tile0") / WINDOW)).cast("long"))
@@ -89,70 +94,152 @@ def label_of(shapes: DataFrame, alias: DataFrame, p: TileParams) -> DataFrame:
     return joined.withColumn("excluded", excluded).withColumn("folder", F.when(~F.col("excluded"), folder)).drop("alias")
 
 
-def box_masks(shapes: DataFrame, scaled: DataFrame, margin: int = 0) -> DataFrame:
-    """Each box cut into the tiles it meets: (image_id, col, row, lo, hi), two masks of the window's pixels."""
-    s = shapes.join(scaled.where("status = 'ok'").select("image_id", "ads"), "image_id")
-    s = s.withColumn("ax", F.greatest(F.lit(0), F.expr("x div ads") - margin)).withColumn("ex", F.expr("x div ads + bw div ads - 1") + margin)
-    s = s.withColumn("ay", F.greatest(F.lit(0), F.expr("y div ads") - margin)).withColumn("ey", F.expr("y div ads + bh div ads - 1") + margin)
-    s = s.where("ax <= ex AND ay <= ey")
-    s = s.withColumn("col", F.explode(F.sequence(F.expr("cast(ax div 8 AS int)"), F.expr("cast(ex div 8 AS int)"))))
-    s = s.withColumn("row", F.explode(F.sequence(F.expr("cast(ay div 8 AS int)"), F.expr("cast(ey div 8 AS int)"))))
-    s = s.withColumn("cx", F.greatest(F.lit(0), F.col("ax") - F.col("col") * 8)).withColumn("dx", F.least(F.lit(7), F.col("ex") - F.col("col") * 8))
-    s = s.withColumn("cy", F.greatest(F.lit(0), F.col("ay") - F.col("row") * 8)).withColumn("dy", F.least(F.lit(7), F.col("ey") - F.col("row") * 8))
+#: Pixels of a block's side; a mask holds PER_MASK of its rows.
+BLOCK, PER_MASK = 12, 4
+MASKS = ("m0", "m1", "m2")
+
+
+def window_of(kind: str, p: TileParams) -> tuple[Column, Column]:
+    """Shift of a window's origin against its tile's, in level-0 pixels, and the window's side in analysis pixels."""
+    if kind == "tile":
+        return F.lit(0.0), F.greatest(F.lit(1.0), F.rint(F.col("tile0") / F.col("ads"))).cast("long")
+    r = erode_radius(p)
+    return F.col("tile0") / 2 - r * F.col("ads"), F.greatest(F.lit(1.0), F.rint(2 * r)).cast("long")
+
+
+def erode_radius(p: TileParams) -> Column:
+    """Half-width of the centre box in analysis pixels: half a tile without a size in micrometres or without a pixel size."""
+    half = F.col("tile0") / 2 / F.col("ads")
+    if p.erode_um is None:
+        return half
+    return F.when(F.col("pixel_size") > 0, p.erode_um / (F.col("pixel_size") * F.col("ads"))).otherwise(half) if p.erode_um > 0 else F.lit(0.0)
+
+
+def axis(s: DataFrame, name: str, low: str, high: str, extent: str, shift: Column, side: Column, step: int, reach: int) -> DataFrame:
+    """One row for each window along an axis that comes within reach of [low, high], with its origin `name`_at."""
+    unit, ads = F.col("ds") * step, F.col("ads")
+    first = F.greatest(F.lit(0.0), F.floor(((F.col(low) - reach - side - 1) * ads - shift) / unit))
+    last = F.least(F.floor(F.col(extent) / unit), F.ceil(((F.col(high) + reach + 2) * ads - shift) / unit))
+    s = s.where(first <= last).withColumn(name, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    s = s.withColumn(f"{name}_at", F.rint((F.rint(F.col(name) * unit) + shift) / ads).cast("long"))
+    return s.where((F.col(f"{name}_at") - reach <= F.col(high)) & (F.col(f"{name}_at") + side + reach > F.col(low)))
+
+
+def cut_boxes(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile", margin: int = 0) -> DataFrame:
+    """Boxes and the windows within margin of them: adds col, row, ax, ex, ay, ey (in analysis pixels), col_at, row_at, side, and area (clipped to the slide)."""
+    shift, side = window_of(kind, p)
+    s = shapes.join(scaled.where("status = 'ok'").select("image_id", "ds", "ads", "tile0", "width0", "height0", "pixel_size"), "image_id")
+    for n, size in (("tw", "width0"), ("th", "height0")):
+        s = s.withColumn(n, F.greatest(F.lit(1.0), F.rint(F.col(size) / F.col("ads"))).cast("long"))
+    s = s.withColumn("ax", F.expr("greatest(0, x div ads)")).withColumn("ex", F.expr("least(tw, x div ads + bw div ads) - 1"))
+    s = s.withColumn("ay", F.expr("greatest(0, y div ads)")).withColumn("ey", F.expr("least(th, y div ads + bh div ads) - 1"))
+    s = s.where("ax <= ex AND ay <= ey").withColumn("side", side).withColumn("shift", shift)
+    step = p.size - p.overlap
+    s = axis(s, "col", "ax", "ex", "width0", F.col("shift"), F.col("side"), step, margin)
+    s = axis(s, "row", "ay", "ey", "height0", F.col("shift"), F.col("side"), step, margin)
+    wide, high = (F.least(F.col(f"{n}_at") + F.col("side"), F.col(e)) - F.greatest(F.col(f"{n}_at"), F.lit(0)) for n, e in (("col", "tw"), ("row", "th")))
+    return s.withColumn("area", F.greatest(F.lit(1), wide * high))
+
+
+def box_masks(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile") -> DataFrame:
+    """Each box cut into the windows it meets: adds col, row, block and the masks of the block's pixels."""
+    s = cut_boxes(shapes, scaled, p, kind)
+    s = s.withColumn("cx", F.expr("greatest(0, ax - col_at)")).withColumn("dx", F.expr("least(side - 1, ex - col_at)"))
+    s = s.withColumn("cy", F.expr("greatest(0, ay - row_at)")).withColumn("dy", F.expr("least(side - 1, ey - row_at)"))
+    for n, a, b in (("bx", "cx", "dx"), ("by", "cy", "dy")):
+        s = s.withColumn(n, F.explode(F.expr(f"sequence(cast({a} div {BLOCK} AS int), cast({b} div {BLOCK} AS int))")))
+        s = s.withColumn(a, F.greatest(F.lit(0), F.col(a) - F.col(n) * BLOCK)).withColumn(b, F.least(F.lit(BLOCK - 1), F.col(b) - F.col(n) * BLOCK))
     line = (F.pow(F.lit(2.0), F.col("dx") + 1) - F.pow(F.lit(2.0), F.col("cx"))).cast("long")
 
-    def half(first: int) -> Column:
-        a, b = F.greatest(F.col("cy") - first, F.lit(0)), F.least(F.col("dy") - first, F.lit(3))
-        rows = (F.pow(F.lit(256.0), b + 1) - F.pow(F.lit(256.0), a)).cast("long")
-        return F.when(a <= b, line * F.floor(rows / 255)).otherwise(F.lit(0)).cast("long")
+    def mask(first: int) -> Column:
+        a, b = F.greatest(F.col("cy") - first, F.lit(0)), F.least(F.col("dy") - first, F.lit(PER_MASK - 1))
+        rows = (F.pow(F.lit(2.0**BLOCK), b + 1) - F.pow(F.lit(2.0**BLOCK), a)).cast("long")
+        return F.when(a <= b, line * F.floor(rows / (2**BLOCK - 1))).otherwise(F.lit(0)).cast("long")
+
+    for k, n in enumerate(MASKS):
+        s = s.withColumn(n, mask(k * PER_MASK))
+    return s.withColumn("block", F.col("by") * 1024 + F.col("bx"))
+
 
-    return s.withColumn("lo", half(0)).withColumn("hi", half(4))
+def set_bits(of: dict[str, Column]) -> Column:
+    return F.bit_count(of["m0"]) + F.bit_count(of["m1"]) + F.bit_count(of["m2"])
+
+
+AT = ["image_id", "col", "row"]
 
 
 def covered(masks: DataFrame, *keys: str) -> DataFrame:
-    """Set pixels of the or-ed masks for each tile and key."""
-    px = F.bit_count(F.bit_or("lo")) + F.bit_count(F.bit_or("hi"))
-    return masks.groupBy("image_id", "col", "row", *keys).agg(px.cast("int").alias("px"))
+    """Set pixels of the or-ed masks for each tile and key, and the window's area. All that is said of a tile is dealt by its place."""
+    blocks = masks.repartition(*AT).groupBy(*AT, *keys, "block").agg(*[F.bit_or(m).alias(m) for m in MASKS], F.max("area").alias("area"))
+    return blocks.groupBy(*AT, *keys).agg(F.sum(set_bits({m: F.col(m) for m in MASKS})).cast("int").alias("px"), F.max("area").alias("area"))
+
 
+def near_tiles(shapes: DataFrame, scaled: DataFrame, p: TileParams) -> DataFrame:
+    """Tiles whose window has a pixel within margin_px (a disk) of some shape, excluded ones included."""
+    s = cut_boxes(shapes, scaled, p, margin=p.margin_px)
+    gap = lambda at, low, high: F.greatest(F.lit(0), F.col(low) - (F.col(at) + F.col("side") - 1), F.col(at) - F.col(high))
+    dx, dy = gap("col_at", "ax", "ex"), gap("row_at", "ay", "ey")
+    return s.where(dx * dx + dy * dy <= p.margin_px * p.margin_px).select(*AT)
 
-def label_tiles(tiles: DataFrame, shapes: DataFrame, slides: DataFrame, tissue: DataFrame, alias: DataFrame, p: TileParams) -> DataFrame:
+
+def label_tiles(tiles: DataFrame, shapes: DataFrame, slides: DataFrame, tissue: DataFrame | None, alias: DataFrame, p: TileParams) -> DataFrame:
     """Outcome of every tile, the first rule that applies; label and coverage where it is kept.
 
-    tissue: (image_id, col, row, tissue_px of 64).
+    tissue: (image_id, col, row, tissue_px of 64); None where tiles have that column.
     """
     scaled = scale(slides, p)
     named = label_of(shapes, alias, p)
-    masks = box_masks(named, scaled)
-    by_class = covered(masks.where("folder IS NOT NULL"), "folder")
-    best = by_class.where(F.col("px") >= p.min_coverage * 64).groupBy("image_id", "col", "row")
-    best = best.agg(F.min(F.struct((-F.col("px")).alias("n"), "folder")).alias("best"))
-    excluded = covered(masks.where("excluded")).withColumnRenamed("px", "excl_px")
-    near = covered(box_masks(shapes, scaled, p.margin_px)).withColumnRenamed("px", "near_px")
+    masks = box_masks(named, scaled, p).select(*AT, "folder", "excluded", "block", *MASKS, "area")
+    by_class = covered(masks, "folder", "excluded")
+    enough = F.col("folder").isNotNull() & (F.col("px") >= p.min_coverage * F.col("area")) & (F.col("px") > 0)
+    central = F.lit(True)
+    if p.erode_um is None or p.erode_um > 0:
+        inner = box_masks(named.where("folder IS NOT NULL"), scaled.where(erode_radius(p) >= 1), p, "centre")
+        inner = covered(inner.select(*AT, "folder", "block", *MASKS, "area"), "folder")
+        whole = inner.where("px = area").select(*AT, "folder", F.lit(True).alias("central"))
+        small = scaled.select("image_id", (erode_radius(p) < 1).alias("no_test"))
+        by_class = by_class.join(whole, [*AT, "folder"], "left").join(small, "image_id")
+        central = F.coalesce("central", F.lit(False)) | F.coalesce("no_test", F.lit(True))
+    facts = by_class.groupBy(*AT).agg(
+        F.min(F.when(enough & central, F.struct((-F.col("px") / F.col("area")).alias("n"), "folder"))).alias("best"),
+        F.bool_or(enough & ~central).alias("at_edge"),
+        F.bool_or(F.col("excluded") & (F.col("px") > 0)).alias("excl"),
+    )
+    near = near_tiles(shapes, scaled, p).distinct().withColumn("near", F.lit(True))
     have = shapes.select("image_id").distinct().withColumn("has_shapes", F.lit(True))
-    at = ["image_id", "col", "row"]
-    t = tiles.join(tissue, at, "left").join(best, at, "left").join(excluded, at, "left").join(near, at, "left").join(have, "image_id", "left")
+    t = tiles if tissue is None else tiles.join(tissue, AT, "left")
+    t = t.join(facts, AT, "left").join(near, AT, "left").join(have, "image_id", "left")
     outcome = (
         F.when(F.col("has_shapes").isNull(), "unannotated")
         .when(F.coalesce("tissue_px", F.lit(0)) < p.tissue_thresh * 64, "dropped_no_tissue")
-        .when(F.coalesce("excl_px", F.lit(0)) > 0, "dropped_excluded")
+        .when(F.coalesce("excl", F.lit(False)), "dropped_excluded")
         .when(F.col("best").isNotNull(), F.col("best.folder"))
+        .when(F.coalesce("at_edge", F.lit(False)), "dropped_roi_edge")
     )
     if p.background:
-        outcome = outcome.when(F.coalesce("near_px", F.lit(0)) == 0, p.background)
+        outcome = outcome.when(F.col("near").isNull(), p.background)
     t = t.withColumn("outcome", outcome.otherwise("dropped_unlabeled"))
-    share = F.when(F.col("outcome") == F.col("best.folder"), -F.col("best.n") / 64).otherwise(F.lit(0.0))
-    return t.select(*at, "x0", "y0", "w0", "h0", "outcome", F.coalesce(share, F.lit(0.0)).alias("coverage"), (F.coalesce("tissue_px", F.lit(0)) / 64).alias("tissue_frac"))
+    share = F.when(F.col("outcome") == F.col("best.folder"), -F.col("best.n")).otherwise(F.lit(0.0))
+    return t.select(*AT, "x0", "y0", "w0", "h0", "outcome", F.coalesce(share, F.lit(0.0)).alias("coverage"), (F.coalesce("tissue_px", F.lit(0)) / 64).alias("tissue_frac"))
 
 
 def dominant_shape(shapes: DataFrame, slides: DataFrame, p: TileParams) -> DataFrame:
-    """The most frequent shape of a tile's pixels (the later shape owns a shared pixel; ties to the smaller id)."""
-    m = box_masks(shapes, scale(slides, p))
-    bits = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
-    px = m.select("image_id", "col", "row", "shape_id", "lo", "hi", bits)
-    px = px.where("CASE WHEN bit < 32 THEN shiftright(lo, bit) ELSE shiftright(hi, bit - 32) END % 2 = 1")
-    owner = px.groupBy("image_id", "col", "row", "bit").agg(F.max("shape_id").alias("shape_id"))
-    counts = owner.groupBy("image_id", "col", "row", "shape_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("image_id", "col", "row").agg(F.min(F.struct(-F.col("n"), "shape_id"))["shape_id"].alias("shape_id"))
+    """The most frequent shape of a tile's pixels (the later shape owns a shared pixel; ties to the smaller id).
+
+    A block's shapes are few; they are folded from the latest on, each with the pixels that no later one has.
+    """
+    m = box_masks(shapes, scale(slides, p), p).select(*AT, "shape_id", "block", *MASKS).repartition(*AT)
+    of = m.groupBy(*AT, "block").agg(F.sort_array(F.collect_list(F.struct("shape_id", *MASKS)), asc=False).alias("held"))
+    none = F.struct(*[F.lit(0).cast("long").alias(x) for x in MASKS], F.array().cast("array<struct<shape_id:bigint,n:int>>").alias("own"))
+
+    def fold(state: Column, x: Column) -> Column:
+        free = {k: x[k].bitwiseAND(F.bitwise_not(state[k])) for k in MASKS}
+        own = F.struct(x["shape_id"].cast("long").alias("shape_id"), set_bits(free).cast("int").alias("n"))
+        return F.struct(*[state[k].bitwiseOR(x[k]).alias(k) for k in MASKS], F.concat(state["own"], F.array(own)).alias("own"))
+
+    each = of.select(*AT, F.explode(F.aggregate("held", none, fold)["own"]).alias("o")).select(*AT, "o.*").where("n > 0")
+    counts = each.groupBy(*AT, "shape_id").agg(F.sum("n").alias("n"))
+    return counts.groupBy(*AT).agg(F.min(F.struct(-F.col("n"), "shape_id"))["shape_id"].alias("shape_id"))
 
 
 def draw_key(seed: int, *columns: str) -> Column:
@@ -169,8 +256,12 @@ def cap_labels(kept: DataFrame, per_label: int, background: str, background_cap:
     return one.withColumn("place", again).where(F.col("place") <= per_slide).drop("place")
 
 
-def cap_labels_exact(kept: DataFrame, per_label: int, background: str, background_cap: int, per_slide: int | None, seed: int) -> DataFrame:
-    """The same caps with one Python generator a slide: labels in name order, survivors in row-major order."""
+def cap_labels_exact(kept: DataFrame, per_label: int | None, background: str, background_cap: int | None, per_slide: int | None, seed: int) -> DataFrame:
+    """The same caps with one Python generator a slide: labels in name order, survivors in row-major order. No cap where one is None.
+
+    The generator's order makes a slide one group; only its keys go there.
+    """
+    keys = kept.select("image_id", "col", "row", "outcome")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = random.Random(seed)
@@ -179,10 +270,10 @@ def cap_labels_exact(kept: DataFrame, per_label: int, background: str, backgroun
         for label in sorted({r["outcome"] for r in rows}):
             own = [r for r in rows if r["outcome"] == label]
             cap = background_cap if label == background else per_label
-            out += rng.sample(own, cap) if len(own) > cap else own
+            out += rng.sample(own, cap) if cap is not None and len(own) > cap else own
         out.sort(key=lambda r: (r["row"], r["col"]))
         if per_slide is not None and len(out) > per_slide:
             out = sorted(rng.sample(out, per_slide), key=lambda r: (r["row"], r["col"]))
         return pd.DataFrame(out, columns=pdf.columns)
 
-    return kept.groupBy("image_id").applyInPandas(run, kept.schema)
+    return kept.join(keys.groupBy("image_id").applyInPandas(run, keys.schema), ["image_id", "col", "row", "outcome"], "left_semi")

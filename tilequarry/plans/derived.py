@@ -40,7 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr("p_partkey AS image_id", "p_partkey div 10 AS j")
+    """One slide for each part."""
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS image_id", "p_partkey AS j")
     return part.selectExpr(
         "image_id",
         "j",
@@ -61,10 +62,10 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangles with text and packed colour; slides whose id is divisible by 130 have none."""
-    m = table(spark, sf_dir, "part").count() // 10
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey AS shape_id", "o_orderkey div 10 AS k", "o_custkey AS c", "left(o_orderpriority, 1) AS p")
-    o = o.withColumn("image_id", F.col("k") % m * 10).where("image_id % 130 <> 0").join(slides(spark, sf_dir).select("image_id", "width0", "height0"), "image_id")
+    """One rectangle with text and packed colour for each order; slides whose id is divisible by 13 have none."""
+    m = table(spark, sf_dir, "part").count()
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS shape_id", "o_orderkey AS k", "o_custkey AS c", "left(o_orderpriority, 1) AS p")
+    o = o.withColumn("image_id", F.col("k") % m).where("image_id % 13 <> 0").join(slides(spark, sf_dir).select("image_id", "width0", "height0"), "image_id")
     jitter = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), v + F.col("k") % 25 - 12)).cast("int")
     colour = [F.element_at(F.array(*[F.lit(x[i]) for x in PALETTE]), (F.col("k") % 10 + 1).cast("int")) for i in (1, 2, 3)]
     return o.selectExpr(
@@ -98,7 +99,7 @@ SLIDES_SQL = """slides AS (
       || CASE j % 3 WHEN 0 THEN 'HE' WHEN 1 THEN 'PHH3' ELSE 'CD31' END || '.ome.tiff' END AS image_name,
     600 + 64 * (j % 13) AS width0, 500 + 48 * (j % 11) AS height0,
     CASE WHEN j % 19 = 0 THEN NULL WHEN j % 2 = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS pixel_size
-  FROM (SELECT p_partkey AS image_id, p_partkey // 10 AS j FROM part WHERE p_partkey % 10 = 0)
+  FROM (SELECT p_partkey AS image_id, p_partkey AS j FROM part)
 )"""
 LEVELS_SQL = """levels AS (
   SELECT image_id, width0, height0, pixel_size, l.idx, width0 // l.d AS width, height0 // l.d AS height
@@ -111,10 +112,10 @@ SHAPES_SQL = f"""shapes AS (
       WHEN '4' THEN CASE WHEN k % 3 = 0 THEN 'Exclusion ROI' ELSE 'weird label' END ELSE CASE WHEN k % 7 = 0 THEN NULL ELSE 'hgpin' END END AS text,
     {_channel(1)} AS r, {_channel(2)} AS g, {_channel(3)} AS b
   FROM (
-    SELECT o_orderkey AS shape_id, o_orderkey // 10 AS k, o_custkey AS c, left(o_orderpriority, 1) AS p,
-      ((o_orderkey // 10) % ((SELECT count(*) FROM part) // 10)) * 10 AS image_id
-    FROM orders WHERE o_orderkey % 10 = 0
-  ) JOIN slides USING (image_id) WHERE image_id % 130 <> 0
+    SELECT o_orderkey AS shape_id, o_orderkey AS k, o_custkey AS c, left(o_orderpriority, 1) AS p,
+      o_orderkey % (SELECT count(*) FROM part) AS image_id
+    FROM orders
+  ) JOIN slides USING (image_id) WHERE image_id % 13 <> 0
 )"""
 ALIAS_SQL = "alias AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{f}')" for f, al in LABEL_MAP.items() for a in dict.fromkeys([f.lower(), *al])) + ") AS t(alias, folder))"
 PALETTE_SQL = "palette AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, r, g, b) in enumerate(PALETTE)) + ") AS t(pos, label, pr, pg, pb))"

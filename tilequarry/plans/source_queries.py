@@ -78,7 +78,7 @@ def slice_order(spark, sf):
 
 @query(
     D.with_base(
-        "SELECT image_id, min(reader) FILTER (ok) AS reader FROM (SELECT image_id, reader, bool_and(CASE reader WHEN 0 THEN (image_id // 10 + idx) % 4 <> 0 WHEN 1 THEN idx < 2 OR image_id % 3 = 0 ELSE width > 200 END) AS ok "
+        "SELECT image_id, min(reader) FILTER (ok) AS reader FROM (SELECT image_id, reader, bool_and(CASE reader WHEN 0 THEN (image_id + idx) % 4 <> 0 WHEN 1 THEN idx < 2 OR image_id % 3 = 0 ELSE width > 200 END) AS ok "
         "FROM levels, (VALUES (0), (1), (2)) AS r(reader) GROUP BY ALL) GROUP BY image_id",
         "slides",
         "levels",
@@ -86,7 +86,7 @@ def slice_order(spark, sf):
 )
 def reader_probe(spark, sf):
     """The first reader, in order of preference, that can read every level of a slide."""
-    able = F.expr("CASE reader WHEN 0 THEN (image_id div 10 + idx) % 4 <> 0 WHEN 1 THEN idx < 2 OR image_id % 3 = 0 ELSE width > 200 END")
+    able = F.expr("CASE reader WHEN 0 THEN (image_id + idx) % 4 <> 0 WHEN 1 THEN idx < 2 OR image_id % 3 = 0 ELSE width > 200 END")
     probes = D.levels(spark, sf).select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("reader")).groupBy("image_id", "reader").agg(F.bool_and(able).alias("ok"))
     return probes.groupBy("image_id").agg(F.min(F.when(F.col("ok"), F.col("reader"))).alias("reader"))
 

@@ -36,10 +36,12 @@ NAMED = """named AS (
     CASE WHEN coalesce(lower(trim(text)) = 'exclusion roi', false) THEN NULL ELSE folder END AS folder
   FROM shapes s LEFT JOIN alias ON lower(trim(text)) = alias.alias
 )"""
-PIXELS = """boxed AS (
+BOXED = """boxed AS (
   SELECT n.*, x // ads AS ax, x // ads + bw // ads AS ex, y // ads AS ay, y // ads + bh // ads AS ey
   FROM named n JOIN scaled USING (image_id) WHERE status = 'ok'
-), pixels AS (
+)"""
+#: Here tiles neither overlap nor round: a pixel's tile is its place div 8.
+PIXELS = f"""{BOXED}, pixels AS (
   SELECT image_id, shape_id, roi_id, folder, excluded, px, py, (px // 8)::INTEGER AS col, (py // 8)::INTEGER AS row
   FROM (SELECT *, unnest(range(ay, ey)) AS py FROM (SELECT *, unnest(range(ax, ex)) AS px FROM boxed))
 )"""
@@ -76,19 +78,19 @@ def alias(spark: SparkSession) -> DataFrame:
 
 
 def tissue(spark: SparkSession, sf_dir: str, tiles: DataFrame) -> DataFrame:
-    """Tissue pixels of each tile: raster cells above 0 of the 2 x 2 that it takes, 16 pixels each."""
+    """tiles with the tissue pixels of each: raster cells above 0 of the 2 x 2 that it takes, 16 pixels each."""
     e = D.table(spark, sf_dir, "embeddings")
     n = e.count()
     cells = D.thumbs(spark, sf_dir).where("v > 0").selectExpr("vec_id", "cast(y div 2 AS int) AS tr", "cast(x div 2 AS int) AS tc")
     cells = cells.groupBy("vec_id", "tr", "tc").agg((F.count(F.lit(1)) * 16).cast("int").alias("tissue_px"))
-    at = tiles.selectExpr("image_id", "col", "row", f"image_id % {n} AS vec_id", "row % 4 AS tr", "col % 4 AS tc")
-    return at.join(cells, ["vec_id", "tr", "tc"], "left").select("image_id", "col", "row", F.coalesce("tissue_px", F.lit(0)).alias("tissue_px"))
+    at = tiles.selectExpr("*", f"image_id % {n} AS vec_id", "row % 4 AS tr", "col % 4 AS tc")
+    return at.join(cells, ["vec_id", "tr", "tc"], "left").select(*tiles.columns, F.coalesce("tissue_px", F.lit(0)).alias("tissue_px"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     slides, shapes = D.slides(spark, sf_dir), D.shapes(spark, sf_dir)
     tiles = T.grid(slides, PARAMS)
-    return T.label_tiles(tiles, shapes, slides, tissue(spark, sf_dir, tiles), alias(spark), PARAMS)
+    return T.label_tiles(tissue(spark, sf_dir, tiles), shapes, slides, None, alias(spark), PARAMS)
 
 
 @query(D.with_base("SELECT image_id, status, ds, tile0, ads FROM scaled", "slides", SCALED.format(size=32)))
@@ -240,9 +242,9 @@ def tile_labels_roi(spark, sf):
 def tile_labels_whole(spark, sf):
     slides, shapes = D.slides(spark, sf), D.shapes(spark, sf)
     tiles = T.grid(slides, PARAMS)
-    masks = T.box_masks(T.label_of(shapes, alias(spark), PARAMS).where("excluded"), T.scale(slides, PARAMS))
+    masks = T.box_masks(T.label_of(shapes, alias(spark), PARAMS).where("excluded"), T.scale(slides, PARAMS), PARAMS)
     excluded = masks.select("image_id", "col", "row", F.lit(True).alias("e")).distinct()
-    t = tiles.join(tissue(spark, sf, tiles), ["image_id", "col", "row"], "left").join(excluded, ["image_id", "col", "row"], "left")
+    t = tissue(spark, sf, tiles).join(excluded, ["image_id", "col", "row"], "left")
     return t.select("image_id", "col", "row", F.when(F.coalesce("tissue_px", F.lit(0)) < 32, "dropped_no_tissue").when(F.col("e"), "dropped_excluded").otherwise("whole").alias("outcome"))
 
 
@@ -270,13 +272,14 @@ def dominant_shape(spark, sf):
 @query(
     D.with_base(
         """SELECT g.image_id, g.col, g.row FROM grid g WHERE g.image_id IN (SELECT image_id FROM shapes) AND NOT EXISTS (
-  SELECT 1 FROM boxed b WHERE b.image_id = g.image_id AND b.ax - 5 < g.col * 8 + 8 AND b.ex + 5 > g.col * 8 AND b.ay - 5 < g.row * 8 + 8 AND b.ey + 5 > g.row * 8 AND b.ex > b.ax AND b.ey > b.ay)""",
+  SELECT 1 FROM boxed b WHERE b.image_id = g.image_id AND b.ex > b.ax AND b.ey > b.ay
+    AND pow(greatest(0, b.ax - g.col * 8 - 7, g.col * 8 - b.ex + 1), 2) + pow(greatest(0, b.ay - g.row * 8 - 7, g.row * 8 - b.ey + 1), 2) <= 25)""",
         *ALL_LABELLED[:8],
     )
 )
 def background_margin(spark, sf):
     slides, shapes = D.slides(spark, sf), D.shapes(spark, sf)
-    near = T.box_masks(shapes, T.scale(slides, PARAMS), 5).select("image_id", "col", "row")
+    near = T.near_tiles(shapes, T.scale(slides, PARAMS), T.TileParams(margin_px=5))
     tiles = T.grid(slides, PARAMS).join(shapes.select("image_id").distinct(), "image_id", "left_semi")
     return tiles.join(near, ["image_id", "col", "row"], "left_anti").select("image_id", "col", "row")
 
@@ -298,7 +301,7 @@ def unannotated_slides(spark, sf):
     )
 )
 def roi_counts(spark, sf):
-    m = T.box_masks(D.shapes(spark, sf), T.scale(D.slides(spark, sf), PARAMS))
+    m = T.box_masks(D.shapes(spark, sf), T.scale(D.slides(spark, sf), PARAMS), PARAMS)
     return T.covered(m, "roi_id").groupBy("image_id", "roi_id").agg(F.count(F.lit(1)).alias("tiles"), F.sum("px").cast("long").alias("pixels"))
 
 
@@ -345,6 +348,54 @@ def sample_caps_hash(spark, sf):
     return T.cap_labels(kept, 6, "benign", 5, 12, 7).select("image_id", "col", "row", "outcome")
 
 
+#: Labels where tiles overlap and scales round: every tile's own window, pixel by pixel; {erode} in analysis pixels.
+WINDOWS = """own AS (
+  SELECT g.*, round_even(x0 / ads, 0)::BIGINT AS wx, round_even(y0 / ads, 0)::BIGINT AS wy, greatest(1, round_even(w0 / ads, 0))::BIGINT AS side,
+    greatest(1, round_even(width0 / ads, 0))::BIGINT AS tw, greatest(1, round_even(height0 / ads, 0))::BIGINT AS th, w0 / 2 / ads AS r
+  FROM grid g
+), inner_box AS (
+  SELECT *, round_even((x0 + w0 / 2 - r * ads) / ads, 0)::BIGINT AS ix, round_even((y0 + h0 / 2 - r * ads) / ads, 0)::BIGINT AS iy,
+    greatest(1, round_even(2 * r, 0))::BIGINT AS iside FROM own
+), spread AS (
+  SELECT image_id, folder, excluded, px, py FROM (SELECT *, unnest(range(ay, ey)) AS py FROM (SELECT *, unnest(range(ax, ex)) AS px FROM boxed))
+), flat AS (SELECT DISTINCT image_id, folder, excluded, px, py FROM spread
+), met AS (
+  SELECT o.image_id, o.col, o.row, folder, excluded, count(*) FILTER (px >= wx AND px < wx + side AND py >= wy AND py < wy + side) AS n,
+    count(*) FILTER (px >= ix AND px < ix + iside AND py >= iy AND py < iy + iside) AS inside,
+    any_value((least(wx + side, tw) - greatest(wx, 0)) * (least(wy + side, th) - greatest(wy, 0))) AS area,
+    any_value((least(ix + iside, tw) - greatest(ix, 0)) * (least(iy + iside, th) - greatest(iy, 0))) AS inner_area, any_value(r) AS r
+  FROM inner_box o JOIN flat f ON o.image_id = f.image_id AND px >= least(wx, ix) AND px < greatest(wx + side, ix + iside)
+    AND py >= least(wy, iy) AND py < greatest(wy + side, iy + iside) GROUP BY ALL
+), facts AS (
+  SELECT image_id, col, row, arg_min(folder, (-(n / area), folder)) FILTER (folder IS NOT NULL AND n > 0 AND n >= 0.5 * area AND (r < 1 OR inside = inner_area)) AS best,
+    bool_or(folder IS NOT NULL AND n > 0 AND n >= 0.5 * area AND r >= 1 AND inside < inner_area) AS edge, bool_or(excluded AND n > 0) AS excl, bool_or(n > 0) AS near
+  FROM met GROUP BY ALL
+)"""
+
+
+@query(
+    D.with_base(
+        """SELECT g.image_id, g.col, g.row, CASE WHEN g.image_id NOT IN (SELECT image_id FROM shapes) THEN 'unannotated' WHEN excl THEN 'dropped_excluded'
+  WHEN best IS NOT NULL THEN best WHEN edge THEN 'dropped_roi_edge' WHEN coalesce(near, false) THEN 'dropped_unlabeled' ELSE 'benign' END AS outcome
+FROM grid g LEFT JOIN facts USING (image_id, col, row)""",
+        "slides",
+        "shapes",
+        "alias",
+        SCALED.replace("0.5 / pixel_size", "0.73 / pixel_size").format(size=36),
+        GRID.format(size=36, step=24),
+        NAMED,
+        BOXED,
+        WINDOWS,
+    )
+)
+def labels_overlap_eroded(spark, sf):
+    """Overlapping tiles at a scale that rounds, whose centre must lie half a tile inside a class."""
+    p = T.TileParams(mpp=0.73, size=36, overlap=12, erode_um=None, tissue_thresh=0.0)
+    slides = D.slides(spark, sf)
+    tiles = T.grid(slides, p).withColumn("tissue_px", F.lit(64))
+    return T.label_tiles(tiles, D.shapes(spark, sf), slides, None, alias(spark), p).select("image_id", "col", "row", "outcome")
+
+
 @query(None)
 def sample_caps_exact(spark, sf):
     kept = labelled(spark, sf).where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'")
