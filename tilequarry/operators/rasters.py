@@ -51,9 +51,8 @@ def erode(px: DataFrame, key: str, side: int) -> DataFrame:
 
 
 def components(px: DataFrame, key: str, size: int) -> DataFrame:
-    """4-connected components: the least pixel number of each pixel's component, by rounds of neighbour minima."""
+    """4-connected components: the least pixel number of each pixel's component. A raster (size x size pixels at most) is searched in one group."""
     first = px.select(key, "y", "x", (F.col("y") * size + F.col("x")).cast("long").alias("c"))
-    # Rasters are small and fixed in size; each round halves the distance to the least pixel along rows and columns.
     return first.groupBy(key).applyInPandas(_label, f"{key} long, y int, x int, c long")
 
 

@@ -87,7 +87,15 @@ def closing(spark, sf):
     return R.erode(R.dilate(mask(spark, sf), "vec_id", 1, 8), "vec_id", 3)
 
 
-@query(None)
+@query(
+    D.with_base(
+        """SELECT vec_id, c, count(*) AS pixels FROM (SELECT vec_id, y, x, min(c) AS c FROM reach GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 4""",
+        "thumbs",
+        SET,
+        """reach AS (SELECT vec_id, y, x, (y * 8 + x)::BIGINT AS c FROM mask
+  UNION SELECT m.vec_id, m.y, m.x, r.c FROM reach r JOIN mask m ON m.vec_id = r.vec_id AND abs(m.y - r.y) + abs(m.x - r.x) = 1)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def components_filter(spark, sf):
     """Components of at least four pixels, with their size."""
     c = R.components(mask(spark, sf), "vec_id", 8).groupBy("vec_id", "c").agg(F.count(F.lit(1)).alias("pixels"))
