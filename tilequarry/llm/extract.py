@@ -2,15 +2,19 @@
 
 Every page's containers are scored by the text of their paragraphs, less its links. A container has
 a generalised path: the tags from the root with their classes, runs of digits in a class written as
-one `#`. Each page votes for the path of its best container; Spark sums the votes of a host, and
+one `#`; it is known by its depth, its last step and a hash of the whole, so that deep pages cost no more
+than their elements. Each page votes for the path of its best container; Spark sums the votes of a host, and
 every page is then read again with the winning path of its host. A page without that path uses the
 host's next paths, at last its own best container, else its body.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role, class or id wherever they stand. A block is the text between the borders of
+left out by tag, role, class or id wherever they stand, and so is what `hidden` or an inline style hides.
+A class marks such a part by its last word, or by its first one where that names a part of a page; a form
+that holds an article is none. A block is the text between the borders of
 block elements; its character references are decoded, its white space runs become one space, and
 blocks are joined by an empty line. Null html and pages without text give an empty text; a null url
-has the host ''. Extra columns are ignored, repeated pages are kept.
+has the host ''. Extra columns are ignored, repeated pages are kept, each with the same text, and count
+as votes each. Pages of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,15 +24,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_frames, materialize
+from .common import map_frames, materialize, spread_join
 
 #: Paths that a host hands to its pages, best first.
 PATHS_PER_HOST = 3
-#: Hosts up to which their paths are broadcast; beyond it the join is an ordinary one.
+#: Hosts up to which their paths are broadcast.
 BROADCAST_HOSTS = 200_000
 
 TOKEN = re.compile(
@@ -39,7 +44,7 @@ TOKEN = re.compile(
     r"|<[a-zA-Z][^>]*\Z",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z|\"|')", re.I)
+ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z|\"|')", re.I)
 RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I) for n in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -47,7 +52,7 @@ BLOCK = frozenset(
     " table tbody td template tfoot th thead tr ul svg button".split()
 )
 VOID = frozenset({"hr"})
-DROPPED = frozenset("nav header footer aside form head noscript template select option button menu dialog svg fieldset legend".split())
+DROPPED = frozenset("nav header footer aside head noscript template select option button menu dialog svg fieldset legend".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Whole tokens of a class or id that mark what is no part of an article.
 MARKS = frozenset(
@@ -56,16 +61,33 @@ MARKS = frozenset(
     " subscribe subscription share sharing social related recommended comment comments commentlist reply replies respond disqus"
     " discussion widget login signup toolbar pagination pager skip copyright legal".split()
 )
+#: Of these, words that mark a part of a page also where they begin a name.
+LEADS = MARKS - frozenset("social legal related skip notice notices alert reply replies respond discussion header subscribe".split())
 KEPT = frozenset({"html", "body", "article", "main"})
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)")
 
 
 class Node:
     """An open block element."""
 
-    __slots__ = ("dropped", "parent", "path", "score", "tag")
+    __slots__ = ("depth", "dropped", "form", "holds", "parent", "path", "score", "tag")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.path, self.parent, self.dropped, self.score = tag, path, parent, dropped, 0.0
+    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool) -> None:
+        self.tag, self.parent, self.dropped, self.score = tag, parent, dropped, 0.0
+        self.depth = parent.depth + 1 if parent else 0
+        self.path = f"{self.depth} {step} {xxhash.xxh64_hexdigest(f'{parent.path}/{step}')}" if parent else ""
+        # The outermost form around it, and whether a form holds an article.
+        self.form, self.holds = (parent.form if parent else None) or (self if tag == "form" else None), False
+
+
+def marked(names: str) -> set[str]:
+    """The words of MARKS by which a class or id says what an element is."""
+    found: set[str] = set()
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words:
+            found |= MARKS.intersection(words[-1:]) | LEADS.intersection(words[:1])
+    return found
 
 
 def describe(tag: str, attributes: str) -> tuple[str, bool]:
@@ -77,9 +99,10 @@ def describe(tag: str, attributes: str) -> tuple[str, bool]:
             if name == "class" and value:
                 step += "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(set(value.split())))
             if name in ("class", "id") and tag not in {"html", "body"}:
-                found = MARKS.intersection(re.split(r"[^a-z]+", value))
+                found = marked(value)
                 dropped |= bool(found) and (tag not in KEPT or bool(found & {"comment", "comments", "reply"}))
             dropped |= name == "role" and value in ROLES
+            dropped |= name == "hidden" or (name == "style" and bool(HIDDEN.search(value)))
     return step, dropped
 
 
@@ -134,9 +157,11 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
                     node = node.parent or root
                 if name not in VOID:
                     step, dropped = describe(name, m[3] or m[6] or "")
-                    node = Node(name, f"{node.path}/{step}", node, dropped or node.dropped)
+                    node = Node(name, step, node, dropped or node.dropped)
+                    if name in {"article", "main"} and node.form and not node.dropped:
+                        node.form.holds = True
     flush()
-    return out
+    return [x for x in out if not x[0].form or x[0].form.holds]
 
 
 def home(node: Node) -> Node | None:
@@ -162,7 +187,7 @@ def best_container(parts: list[tuple[Node, str, int]]) -> Node | None:
             if n and n.path:
                 n.score += points * weight
                 scored[id(n)] = n
-    return max(scored.values(), key=lambda n: (n.score, -len(n.path)), default=None)
+    return max(scored.values(), key=lambda n: (n.score, -n.depth, n.path), default=None)
 
 
 def main_text(html: str | None, paths: list[str] | None) -> str:
@@ -212,8 +237,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars, host and paths (what its host agreed on)."""
     pages = pages.select("page_id", "url", "html")
     agreed = materialize(host_paths(pages))
-    few = agreed.count() <= BROADCAST_HOSTS
-    joined = pages.withColumn("host", host()).join(F.broadcast(agreed) if few else agreed, "host", "left")
+    joined = spread_join(pages.withColumn("host", host()), agreed, "host", agreed.count() <= BROADCAST_HOSTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
