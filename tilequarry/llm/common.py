@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Tasks among which `spread_join` deals the rows of a key.
+SALTS = 32
 #: Bytes of text that a batch of `map_frames` holds; a longer text is a batch of its own.
 FRAME_BYTES = 2 << 20
 
@@ -77,6 +79,15 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return df.mapInArrow(frames, schema)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, few: bool) -> DataFrame:
+    """Left join of rows with one row of facts for each key: broadcast if those are few, else dealt so that no key is gathered in one task."""
+    if few:
+        return rows.join(F.broadcast(facts), key, "left")
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # The salt comes from the row's place, so a task that runs again deals its rows alike.
+    return rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+
+
 def hash_parts(n_rows: int, per_part: int = 20_000) -> int:
     """Number of buckets so that one holds about per_part rows."""
     return max(1, -(-int(n_rows) // per_part))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACE, map_frames, materialize
+from .common import SPACE, map_frames, materialize, spread_join
 
 #: rule -> (numerator, denominator, cutoffs from strict to lenient)
 RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
@@ -39,8 +39,8 @@ RULES: dict[str, tuple[str, str, tuple[float, ...]]] = {
     "word_length": ("word_chars", "n_words", (8.0, 10.0, 12.0, 16.0, 24.0, 40.0)),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Strata up to which the cutoffs are broadcast; beyond it both sides are shuffled, each stratum dealt to SALTS tasks.
-BROADCAST_STRATA, SALTS = 10_000, 32
+#: Strata up to which the cutoffs are broadcast.
+BROADCAST_STRATA = 10_000
 
 #: A stratum's good documents that may be lost, and the chance that some stratum loses more.
 ALPHA, DELTA = 0.02, 0.05
@@ -160,7 +160,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delt
             yield pd.DataFrame({"stratum": pdf["stratum"], "place": [ladder(list(x)) for x in pdf["lost"]]})
 
     ladders = map_frames(ladders, build, "stratum string, place array<int>")
-    others = spread_join(held.where("not first"), ladders, "stratum", strata)
+    others = spread_join(held.where("not first"), ladders, "stratum", strata <= BROADCAST_STRATA)
     end = F.lit(len(STEPS))
     # The step at which each other document is lost.
     at = F.least(end, *[F.when(over(r, i), F.col("place")[k]).otherwise(end) for k, (r, i) in enumerate(STEPS)])
@@ -185,19 +185,11 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delt
     return materialize(map_frames(ladders.join(tally, "stratum"), climb, schema)), strata
 
 
-def spread_join(rows: DataFrame, strata: DataFrame, key: str, n: int) -> DataFrame:
-    """Left join of rows with one row for each stratum, of which there are n; no stratum is gathered in one task."""
-    if n <= BROADCAST_STRATA:
-        return rows.join(F.broadcast(strata), key, "left")
-    salted = strata.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(1) * SALTS).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
-
-
 def verdicts(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """measured with base_failed, failed (the certified rules a document breaks) and kept."""
     cuts, strata = certified_cutoffs(measured, labels.select("doc_id", "quality"), alpha, delta)
     failed = F.array_compact(F.array(*[F.when(share(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
-    out = spread_join(measured, cuts, "stratum", strata).withColumn("base_failed", base_failed()).withColumn("failed", failed)
+    out = spread_join(measured, cuts, "stratum", strata <= BROADCAST_STRATA).withColumn("base_failed", base_failed()).withColumn("failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
