@@ -384,6 +384,53 @@ def test_extraction(spark):
     assert extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_extraction_of_odd_pages(spark):
+    """Hidden parts, forms, class words, deep and long pages, repeated and null rows, ids above 2^53 and clashing names."""
+    hidden = '<body><div hidden>no</div><div style="color: red; DISPLAY:none">no, not this long text either, for it is hidden</div><p>short article'
+    form = "<body><form><nav>menu</nav><article><p>Held by a form.</article></form>"
+    social = '<body><div class="article social-issues"><p>Kept words.</div><div class="cookie-notice">We use cookies</div><form><p>Your mail</form>'
+    long = "<p>" + "many words " * 20_000
+    rows = [(BIG, "a", hidden), (BIG, "a", hidden), (2, "http://f.example/", form), (3, "http://s.example/", social), (4, None, "<div>" * 20_000 + "<p>deep"), (5, "", long), (None, "b", None), (None, "b", "<p>x")]
+    d = spark.createDataFrame([(*r, "h", ["p"], "t", 3) for r in rows], "page_id long, url string, html string, host string, paths array<string>, text string, n_chars int").coalesce(1)
+    got = sorted((str(r["page_id"]), r["text"]) for r in extract.extract_pages(d).collect())
+    want = [(BIG, "short article"), (BIG, "short article"), (2, "Held by a form."), (3, "Kept words."), (4, "deep"), (5, long[3:].strip()), (None, ""), (None, "x")]
+    assert got == sorted((str(a), b) for a, b in want)
+    assert extract.extract_pages(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_votes_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(extract, "BROADCAST_HOSTS", few)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.collect()
+    host = lambda r: re.match(r"[A-Za-z+.-]+://([^/?#:]*)", r["url"])[1].lower()
+    votes = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in rows:
+        if best := extract.best_container(extract.blocks(r["html"])):
+            votes[host(r)][best.path].append(math.floor(best.score))
+    agreed = {h: [p for p, _ in sorted(v.items(), key=lambda x: (-len(x[1]), -sum(x[1]), x[0]))][: extract.PATHS_PER_HOST] for h, v in votes.items()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract.extract_pages(pages).collect()}
+    for r in rows:
+        text = extract.main_text(r["html"], agreed.get(host(r)))
+        assert got[r["page_id"]] == (text, len(text))
+
+
+def test_nearest_centroid_equals_brute_force(docs, texts):
+    """Predictions against plain cosines with the model's own centroids, from counts of n-grams kept in dictionaries."""
+    model = langid.train(docs, langid.fold() != 2)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for d, t in list(texts.items())[:60]:
+        c = langid.ngram_counts(t)
+        if c is None:
+            assert got[d]["lang_pred"] == "und"
+            continue
+        v = [math.log1p(n) * w for n, w in zip(c.tolist(), model["idf"].tolist(), strict=True)]
+        size = math.sqrt(math.fsum(x * x for x in v))
+        near = [math.fsum(a * b for a, b in zip(v, row, strict=True) if a) / size for row in model["matrix"].tolist()]
+        assert max(near) == pytest.approx(got[d]["score"], abs=1e-4)
+        assert near[model["langs"].index(got[d]["lang_pred"]) :] and max(x for x, k in zip(near, model["langs"], strict=True) if k == got[d]["lang_pred"]) > max(near) - 1e-4
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
