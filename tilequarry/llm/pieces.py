@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from .common import map_frames
 
 #: Bytes of words and ids that a worker keeps; longer words than KEPT_CHARS are not kept.
-CACHE_BYTES, KEPT_CHARS = 48 << 20, 64
+CACHE_BYTES, KEPT_CHARS = 72 << 20, 64
 #: Bytes that one cached word takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Cells of the word matrix that advance together.
 BATCH_CELLS = 250_000
 INDEX_BITS = 19
 #: Slots for the answers about pairs of pieces.
-PAIR_BITS = 19
+PAIR_BITS = 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 NONE = np.float32(-np.inf)
 
@@ -120,9 +120,15 @@ class Vocabulary:
             return re.findall(r"\n|▁+[^▁\n]*|[^▁\n]+", text)
         return re.findall(r"▁+[^▁]*|[^▁]+", text) if self.splits_at_space else [text]
 
-    def parts(self, word: str) -> list[str]:
-        """A word cut further, which no piece crosses either; many words share them."""
-        return self.cut.findall(word) if self.cut else [word]
+    def parts(self, words: list[str]) -> dict[str, list[str]]:
+        """The words cut further, where no piece crosses either; many words share their parts."""
+        if not (self.cut and self.splits_at_line):
+            return {w: self.cut.findall(w) if self.cut else [w] for w in words}
+        # One pass over all words: a line end, which no word but itself holds, parts them.
+        found = self.cut.findall("\n".join([w for w in words if w != "\n"]))
+        ends = [i for i, p in enumerate(found) if p == "\n"]
+        cuts = zip([0, *[e + 1 for e in ends]], [*ends, len(found)], strict=True)
+        return dict(zip([w for w in words if w != "\n"], [found[a:b] for a, b in cuts], strict=False)) | {w: [w] for w in words if w == "\n"}
 
     def learn_borders(self) -> None:
         """What `compatible` needs of each piece: its order, the pieces of its last merge, its hash, and whether it comes up at all.
@@ -366,7 +372,7 @@ class Encoder:
         if self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
         known = self.known
-        new = {w: self.vocabulary.parts(w) for w in set(chain.from_iterable(split)) if w not in known}
+        new = self.vocabulary.parts([w for w in set(chain.from_iterable(split)) if w not in known])
         got = encode_words(self.vocabulary, [p for p in set(chain.from_iterable(new.values())) if p not in known])
         got.update([(w, b"".join([got[p] if p in got else known[p] for p in parts])) for w, parts in new.items() if len(parts) > 1])
         rare = {w: got.pop(w) for w in [w for w in got if len(w) > KEPT_CHARS]}
