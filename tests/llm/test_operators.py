@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -227,6 +228,31 @@ def test_damaged_block():
         tokenfile.read_frame(bytes(frame))
 
 
+def test_frames_of_all_kinds_of_ids():
+    r = np.random.default_rng(3)
+    for ids in (np.zeros(9000, "<i4"), r.integers(0, 200_000, 20_000), np.arange(70_000), r.zipf(1.3, 30_000) % 49_408, np.array([49_407])):
+        ids = ids.astype("<i4")
+        frame = tokenfile.write_frame([7], [len(ids)], ids)
+        assert (tokenfile.read_frame(frame)[2] == ids).all()
+
+
+def test_frames_are_smaller_than_fixed_width(texts):
+    t = tokenfile.tokens(P.path("word_bpe_49k.json"))
+    ids = np.frombuffer(b"".join(t.encode([x for x in texts.values() if x])), "<i4")
+    assert len(tokenfile.write_frame([1], [len(ids)], ids)) < 1.4 * len(ids)
+
+
+def test_words_of_any_signs_equal_the_library():
+    t = tokenfile.Tokens(P.path("word_bpe_49k.json"))
+    assert t.cuts
+    r = random.Random(4)
+    signs = "abzZÄßé'’sdtmlvre09½²ªµ×÷ÿİ<|>.,#$- \t\n\x00\x1cΣσœ日本\u0301"
+    odd = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(5000)]
+    odd += ["<|endoftext|>a b<|startoftext|>", "don't we'll I'M'S '' 's'd", "", " ", "Ab" * 5000]
+    want = t.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+    assert t.encode(odd) == [np.array(e.ids, "<i4").tobytes() for e in want]
+
+
 def test_lm_prefers_the_target(spark):
     rows = [(i, "alpha beta gamma delta " * 30 if i % 2 else "one two three four " * 30) for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string")

@@ -4,15 +4,16 @@ A file is a row of frames; a frame holds whole documents in ascending doc_id ord
 blocks of BLOCK_IDS ids. Each block starts from a fresh model and has its own checksums, so a damaged
 block costs only itself and is noticed.
 
-The coder mixes three adaptive predictions of the next id: the id that followed the last two ids
-(order 2), the id that followed the last id (order 1) and the block's most frequent id (order 0).
-Each prediction's chance of being right is estimated from the confidence of its context and from its
-overall record; the two estimates are mixed with an adaptive weight. These chances and the remaining
-one for a literal id divide the range of a carry-less range coder. All arithmetic is on integers.
+The coder mixes three adaptive predictions of the next id: order 2 expects the id that followed the last
+two ids, order 1 the id that followed the last id, and order 0 has a chance for every id, by its rank. The weights of the three are learnt for each
+state of confidence of orders 2 and 1; the mixed chances divide the range of a carry-less range coder. Order 0
+codes the class of the id's rank by adaptive shares, and the place in the class evenly. All arithmetic is on
+integers.
 The blocks of a frame advance together in numpy.
 
-Frame layout (little endian): magic, vocabulary size, documents, ids, blocks; then doc_id (int64), null
-flag (uint8) and length (uint32) of each document; then for each block its ids (uint32), bytes
+Frame layout (little endian): magic, distinct ids, documents, ids, blocks; then doc_id (int64), null flag
+(uint8) and length (uint32) of each document; the distinct ids, most frequent first (uint32), by whose ranks
+the blocks name them; then for each block its ids (uint32), bytes
 (uint32), crc32 of its ids and crc32 of its bytes; then the blocks' bytes.
 
 A null text is an empty document, which has only the end id. Documents without a doc_id come first.
@@ -21,11 +22,12 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pandas as pd
@@ -36,84 +38,82 @@ from pyspark.sql import functions as F
 
 from .common import hash_parts, map_frames, materialize
 
-MAGIC = b"TQF2"
+MAGIC = b"TQF3"
 HEAD = "<4sIIQI"
-BLOCK_IDS = 1024
+BLOCK_IDS = 4096
 #: Ids after which a frame is closed (at the end of a document).
 FRAME_IDS = 4_000_000
 END_ID = 2
 SLOT_BITS = 11
-ONE = 4096
-CACHE_WORDS = 500_000
+#: Shares of an id's coding: orders 2, 1 and 0, then the class of its rank in order 0. With 17 bits for the place in a
+#: class these make 38 bits, and a range has 39 at least. A frame may hold 2 ** RANK_BITS distinct ids.
+ONE, CLASS_ONE, RANK_BITS = 1 << 10, 1 << 11, 18
+CACHE_WORDS = 300_000
 
 U = np.uint64
 #: The coder's digits are 16 bits wide: the leading one is settled, or the range is cut to settle it.
-DIGIT, TOP, BOTTOM = U(16), U(1 << 48), U(1 << 32)
+DIGIT, TOP, BOTTOM = U(16), U(1 << 48), U(1 << 39)
+
+
+ONE_BITS, CLASS_BITS = U(10), U(11)
+#: Weights of orders 2 and 1 at the start, by the confidence in each and whether they agree; MOST is the most that both have.
+MOST = np.int32(ONE - 32)
+START_WEIGHTS = np.array([[40 + 180 * (k >> 3) for k in range(32)], [20 + 60 * (k >> 1 & 3) for k in range(32)]], np.int32)
+#: Classes of ranks: 0, 1, 2 to 3, 4 to 7 and so on.
+CLASS_START = np.array([0, *[1 << k for k in range(RANK_BITS)]], np.int64)
+CLASS_WIDTH_BITS = np.array([0, *range(RANK_BITS)], U)
+CLASS_LAST = (U(1) << CLASS_WIDTH_BITS) - U(1)
+CLASS_OF = np.searchsorted(CLASS_START, np.arange(1 << RANK_BITS), "right") - 1
+#: Cumulative shares: equal ones at the start, and for each class those that give it all but a little for every other.
+N_CLASSES = len(CLASS_START)
+START_CLASSES = (np.arange(N_CLASSES + 1) * CLASS_ONE // N_CLASSES).astype(np.int32)
+LEAST_SHARE = 4
+CLASS_GOALS = np.array([[LEAST_SHARE * j + (CLASS_ONE - LEAST_SHARE * N_CLASSES) * (j > k) for j in range(N_CLASSES + 1)] for k in range(N_CLASSES)], np.int32)
 
 
 class Model:
-    """The adaptive state of many blocks that advance together (one lane each); row k of an array is predictor k."""
+    """The adaptive state of many blocks that advance together, one lane each."""
 
     def __init__(self, lanes: int) -> None:
         self.base = np.arange(lanes) << SLOT_BITS
-        self.pairs = np.zeros(2 * lanes << SLOT_BITS, np.int32)  # id << 2 | confidence; order 2, then order 1
         self.second = self.base + (lanes << SLOT_BITS)
-        self.times = np.zeros(lanes << SLOT_BITS, np.int16)
-        self.top, self.top_times = np.zeros(lanes, np.int32), np.zeros(lanes, np.int16)
-        start = np.array([[40, 600, 1600, 2800], [20, 300, 1000, 2200], [60, 100, 150, 200]], np.int32)
-        self.by_context = np.repeat(start, lanes, axis=0).ravel()
-        self.context_base = np.arange(3 * lanes).reshape(3, lanes) * 4
-        self.overall = np.repeat(np.array([[200], [200], [150]], np.int32), lanes, axis=1)
-        self.weight = np.full((3, lanes), 192, np.int32)
+        self.pairs = np.zeros(2 * lanes << SLOT_BITS, np.int32)  # id << 2 | confidence; order 2, then order 1
+        self.weights = np.repeat(START_WEIGHTS[:, None], lanes, axis=1).reshape(2, -1)
+        self.weight_base = np.arange(lanes)
+        self.lanes = lanes
+        self.classes = np.repeat(START_CLASSES[None], lanes, axis=0)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.ids, self.level = np.zeros((3, lanes), np.int32), np.zeros((3, lanes), np.int32)
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the first n lanes the three candidate ids, and where each one's share of ONE begins (and the last ends)."""
+    def predict(self, n: int) -> None:
+        """For the first n lanes the ids that orders 2 and 1 expect, and the weights of the two (order 0 has the rest of ONE)."""
         mask = (1 << SLOT_BITS) - 1
         last = self.last[:n]
-        pair = (self.before[:n] * 40503 + last * 2654435) & 0xFFFFFF
-        self.slot = np.stack([self.base[:n] + ((pair ^ (pair >> 11)) & mask), self.second[:n] + ((last * 40503 >> 3) & mask)])
-        self.packed = self.pairs.take(self.slot)
-        ids, level = self.ids[:, :n], self.level[:, :n]
-        np.right_shift(self.packed, 2, out=ids[:2])
-        np.bitwise_and(self.packed, 3, out=level[:2])
-        ids[2] = self.top[:n]
-        level[2] = np.minimum(self.top_times[:n] >> 4, 3)
-        self.context = self.context_base[:, :n] + level
-        self.own = self.by_context.take(self.context)
-        overall = self.overall[:, :n]
-        chance = overall + (self.weight[:, :n] * (self.own - overall) >> 8)
-        begin = np.zeros((4, n), np.int32)
-        left = np.full(n, ONE, np.int32)
-        for k in range(3):
-            share = np.minimum(np.maximum(left * chance[k] >> 12, 1), left - (16 - 4 * k))  # something is left for what follows
-            np.add(begin[k], share, out=begin[k + 1])
-            left -= share
-        return ids, begin
-
-    def update(self, ids: np.ndarray, right: np.ndarray) -> None:
-        """Learn the ids; right says which candidates were equal to them."""
+        pair = self.before[:n] * 40503 + last * 2654435
+        self.slot2 = self.base[:n] + ((pair >> 7 ^ pair) & mask)
+        self.slot1 = self.second[:n] + ((last * 40503 >> 3) & mask)
+        self.held2, self.held1 = self.pairs.take(self.slot2), self.pairs.take(self.slot1)
+        self.id2, self.id1 = self.held2 >> 2, self.held1 >> 2
+        setting = ((self.held2 & 3) << 3 | (self.held1 & 3) << 1) + (self.id2 == self.id1)
+        self.setting = setting * self.lanes + self.weight_base[:n]
+        self.own2, self.own1 = self.weights[0].take(self.setting), self.weights[1].take(self.setting)
+        self.begin1 = self.own2 + 1
+        self.begin0 = self.begin1 + self.own1 + 1
+
+    def learn(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
+        """Learn the ids; by2 and by1 say which were coded by order 2 and by order 1."""
         n = len(ids)
-        overall, weight = self.overall[:, :n], self.weight[:, :n]
-        goal = right * np.int32(ONE - 1)
-        off, off_overall = goal - self.own, goal - overall
-        weight += (np.abs(off) < np.abs(off_overall)) * np.int32(4) - np.int32(2)
-        np.minimum(np.maximum(weight, 0, out=weight), 256, out=weight)
-        self.by_context[self.context] = self.own + (off >> 5)
-        overall += off_overall >> 6
-        sure = self.level[:2, :n]
-        missed = np.where(sure == 0, ids << 2 | 1, self.packed - 1)
-        self.pairs[self.slot] = np.where(right[:2], self.packed + (sure < 3), missed)
-        slot = self.base[:n] + (ids & ((1 << SLOT_BITS) - 1))
-        times = self.times.take(slot) + np.int16(1)
-        self.times[slot] = times
-        more = times > self.top_times[:n]
-        np.copyto(self.top[:n], ids, where=more)
-        np.copyto(self.top_times[:n], times, where=more)
+        self.weights[0][self.setting] = self.own2 + (by2 * MOST - self.own2 >> 5)
+        self.weights[1][self.setting] = self.own1 + (by1 * MOST - self.own1 >> 5)
+        fresh = ids << 2 | 1
+        right1 = self.id1 == ids
+        self.pairs[self.slot2] = np.where(by2, self.held2 | (self.held2 + 1 & 3), np.where(self.held2 & 3, self.held2 - 1, fresh))
+        self.pairs[self.slot1] = np.where(right1, self.held1 | (self.held1 + 1 & 3), np.where(self.held1 & 3, self.held1 - 1, fresh))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
+    def learn_classes(self, rows: np.ndarray, own: np.ndarray, kind: np.ndarray) -> None:
+        self.classes[rows] = own + (CLASS_GOALS[kind] - own >> 5)
+
 
 def lanes_of(ids: np.ndarray) -> tuple[np.ndarray, int]:
     """The ids as a matrix, one row a step and one column a block, and the number of steps; only the last block may be short."""
@@ -137,7 +137,7 @@ def settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.flatnonzero(same)
 
 
-def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
     columns, steps = lanes_of(ids)
     blocks = columns.shape[1]
     model = Model(blocks)
@@ -147,36 +147,44 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     used = np.arange(blocks) * width
     lane = np.arange(blocks)
 
-    def emit(at: np.ndarray) -> None:
-        """Write the settled digits of the lanes `at`; only lanes that wrote one can have another."""
+    def emit(n: int) -> None:
+        """Write the settled digits of the first n lanes; only lanes that wrote one can have another."""
+        at = settled(low[:n], size[:n])
         while len(at):
-            own_low, own_size = low[at], size[at]
-            ready = settled(own_low, own_size)
-            at, own_low, own_size = at[ready], own_low[ready], own_size[ready]
+            own_low, own_size = low.take(at), size.take(at)
             place = used[at]
             out[place] = own_low >> U(48)
             used[at] = place + 1
-            low[at] = own_low << DIGIT
-            size[at] = own_size << DIGIT
+            low[at] = own_low = own_low << DIGIT
+            own_size <<= DIGIT
+            more = settled(own_low, own_size)
+            size[at] = own_size
+            at = at[more]
 
     for step in range(steps):
         n = active(len(ids), blocks, step)
         x = columns[step, :n]
-        guesses, begin = model.predict(n)
-        right = guesses == x
-        first = np.where(right[0], 0, np.where(right[1], 1, np.where(right[2], 2, 3)))
-        start = begin[first, lane[:n]]
-        stop = np.where(first < 3, begin[np.minimum(first + 1, 3), lane[:n]], ONE)
-        unit = size[:n] >> U(12)
+        model.predict(n)
+        by2 = model.id2 == x
+        by1 = (model.id1 == x) & ~by2
+        start = np.where(by2, 0, np.where(by1, model.begin1, model.begin0))
+        stop = np.where(by2, model.begin1, np.where(by1, model.begin0, ONE))
+        unit = size[:n] >> ONE_BITS
         low[:n] += unit * start.astype(U)
         size[:n] = unit * (stop - start).astype(U)
-        emit(lane[:n])
-        if len(rest := np.flatnonzero(first == 3)):
-            unit = size[rest] // U(vocabulary)
-            low[rest] += unit * x[rest].astype(U)
-            size[rest] = unit
-            emit(rest)
-        model.update(x, right)
+        if len(rows := np.flatnonzero(~(by2 | by1))):
+            rank = x[rows]
+            kind = CLASS_OF.take(rank)
+            own = model.classes.take(rows, axis=0)
+            at = lane[: len(rows)] * (N_CLASSES + 1) + kind
+            start = own.take(at)
+            unit = size[rows] >> CLASS_BITS
+            within = unit * (own.take(at + 1) - start).astype(U) >> CLASS_WIDTH_BITS.take(kind)
+            low[rows] += unit * start.astype(U) + within * (rank - CLASS_START.take(kind)).astype(U)
+            size[rows] = within
+            model.learn_classes(rows, own, kind)
+        emit(n)
+        model.learn(x, by2, by1)
     for _ in range(4):
         out[used] = low >> U(48)
         used += 1
@@ -184,7 +192,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     return [out[i * width : used[i]].tobytes() for i in range(blocks)]
 
 
-def decode_blocks(payload: list[bytes], total: int, vocabulary: int) -> np.ndarray:
+def decode_blocks(payload: list[bytes], total: int, distinct: int) -> np.ndarray:
     blocks = len(payload)
     width = max(map(len, payload)) // 2 + 4
     data = np.zeros((blocks, width), ">u2")
@@ -198,52 +206,71 @@ def decode_blocks(payload: list[bytes], total: int, vocabulary: int) -> np.ndarr
     used, last = lane * width + 4, lane * width + width - 1
     result = np.zeros((BLOCK_IDS, blocks), np.int32)
 
-    def refill(at: np.ndarray) -> None:
+    def refill(n: int) -> None:
+        at = settled(low[:n], size[:n])
         while len(at):
-            own_low, own_size = low[at], size[at]
-            ready = settled(own_low, own_size)
-            at, own_low, own_size = at[ready], own_low[ready], own_size[ready]
+            own_low, own_size = low.take(at), size.take(at)
             place = used[at]
             code[at] = (code[at] << DIGIT) | data[np.minimum(place, last[at])]
             used[at] = place + 1
-            low[at] = own_low << DIGIT
-            size[at] = own_size << DIGIT
+            low[at] = own_low = own_low << DIGIT
+            own_size <<= DIGIT
+            more = settled(own_low, own_size)
+            size[at] = own_size
+            at = at[more]
 
     for step in range(min(BLOCK_IDS, total)):
         n = active(total, blocks, step)
-        guesses, begin = model.predict(n)
-        unit = size[:n] >> U(12)
+        model.predict(n)
+        unit = size[:n] >> ONE_BITS
         value = np.minimum((code[:n] - low[:n]) // unit, U(ONE - 1)).astype(np.int32)
-        first = (value >= begin[1]).astype(np.int64) + (value >= begin[2]) + (value >= begin[3])
-        start = begin[first, lane[:n]]
-        stop = np.where(first < 3, begin[np.minimum(first + 1, 3), lane[:n]], ONE)
+        by2 = value < model.begin1
+        literal = value >= model.begin0
+        by1 = ~(by2 | literal)
+        start = np.where(by2, 0, np.where(by1, model.begin1, model.begin0))
+        stop = np.where(by2, model.begin1, np.where(by1, model.begin0, ONE))
         low[:n] += unit * start.astype(U)
         size[:n] = unit * (stop - start).astype(U)
-        refill(lane[:n])
-        x = guesses[np.minimum(first, 2), lane[:n]]
-        if len(rest := np.flatnonzero(first == 3)):
-            unit = size[rest] // U(vocabulary)
-            literal = np.minimum((code[rest] - low[rest]) // unit, U(vocabulary - 1))
-            x[rest] = literal.astype(np.int32)
-            low[rest] += unit * literal
-            size[rest] = unit
-            refill(rest)
+        x = np.where(by2, model.id2, model.id1)
+        if len(rows := np.flatnonzero(literal)):
+            own = model.classes.take(rows, axis=0)
+            unit = size[rows] >> CLASS_BITS
+            own_low = low[rows]
+            ahead = code[rows] - own_low
+            value = np.minimum(ahead // unit, U(CLASS_ONE - 1)).astype(np.int32)
+            kind = (own[:, 1:-1] <= value[:, None]).sum(axis=1)
+            at = lane[: len(rows)] * (N_CLASSES + 1) + kind
+            start = own.take(at)
+            skipped = unit * start.astype(U)
+            within = unit * (own.take(at + 1) - start).astype(U) >> CLASS_WIDTH_BITS.take(kind)
+            offset = np.minimum((ahead - skipped) // within, CLASS_LAST.take(kind))
+            low[rows] = own_low + skipped + within * offset
+            size[rows] = within
+            x[rows] = np.minimum(CLASS_START.take(kind) + offset.astype(np.int64), distinct - 1)
+            model.learn_classes(rows, own, kind)
+        refill(n)
         result[step, :n] = x
-        model.update(x, guesses == x)
+        model.learn(x, by2, by1)
     return result.T.ravel()[:total]
 
 
 def write_frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    vocabulary = int(ids.max()) + 1 if len(ids) else 1
-    coded = encode_blocks(ids, vocabulary) if len(ids) else []
+    times = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    alphabet = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    if len(alphabet) > 1 << RANK_BITS:
+        raise ValueError(f"more than {1 << RANK_BITS} distinct ids in a frame")
+    rank = np.zeros(len(times), np.int32)
+    rank[alphabet] = np.arange(len(alphabet))
+    coded = encode_blocks(rank[ids]) if len(ids) else []
     raw = ids.astype("<u4")
     table = [(len(p := raw[i * BLOCK_IDS : (i + 1) * BLOCK_IDS]), len(c), zlib.crc32(p.tobytes()), zlib.crc32(c)) for i, c in enumerate(coded)]
     return b"".join(
         [
-            struct.pack(HEAD, MAGIC, vocabulary, len(doc_ids), len(ids), len(coded)),
+            struct.pack(HEAD, MAGIC, len(alphabet), len(doc_ids), len(ids), len(coded)),
             np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], np.uint8).tobytes(),
             np.array(lengths, "<u4").tobytes(),
+            alphabet.astype("<u4").tobytes(),
             np.array(table, "<u4").tobytes(),
             *coded,
         ]
@@ -252,13 +279,14 @@ def write_frame(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
 
 def read_frame(frame: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     """doc ids, lengths and ids of a frame; ValueError for a block that is not what was written."""
-    magic, vocabulary, docs, total, blocks = struct.unpack_from(HEAD, frame)
+    magic, distinct, docs, total, blocks = struct.unpack_from(HEAD, frame)
     if magic != MAGIC:
         raise ValueError("not a token frame")
     at = struct.calcsize(HEAD)
     keys, at = np.frombuffer(frame, "<i8", docs, at), at + 8 * docs
     null, at = np.frombuffer(frame, np.uint8, docs, at), at + docs
     lengths, at = np.frombuffer(frame, "<u4", docs, at), at + 4 * docs
+    alphabet, at = np.frombuffer(frame, "<u4", distinct, at), at + 4 * distinct
     table, at = np.frombuffer(frame, "<u4", 4 * blocks, at).reshape(-1, 4), at + 16 * blocks
     payload = []
     for _, size, _, check in table.tolist():
@@ -266,7 +294,7 @@ def read_frame(frame: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
         at += size
         if zlib.crc32(payload[-1]) != check:
             raise ValueError(f"block {len(payload) - 1} is damaged")
-    ids = decode_blocks(payload, total, vocabulary) if total else np.zeros(0, np.int32)
+    ids = alphabet.astype(np.int32)[decode_blocks(payload, total, distinct)] if total else np.zeros(0, np.int32)
     raw = ids.astype("<u4")
     for i, (n, _, check, _) in enumerate(table.tolist()):
         if zlib.crc32(raw[i * BLOCK_IDS : i * BLOCK_IDS + n].tobytes()) != check:
@@ -275,23 +303,76 @@ def read_frame(frame: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
 
 
 class Tokens:
-    """Encodes texts word by word with a tokenizer that never joins across ASCII white space."""
+    """Encodes texts word by word with a tokenizer that never joins across ASCII white space.
+
+    Words of ASCII and Latin-1 letters alone, which no normalisation but lower case touches, are cut into the
+    tokenizer's own pre-tokens: many words share them, and thousands are encoded as one text. A pre-token's last id,
+    and no other, ends a word, so the ids are told apart again. All other words go to the tokenizer one by one.
+    """
+
+    #: Words that may be cut; "<" could begin a special token.
+    PLAIN = re.compile(r"[!-;=-~À-ÿ]+")
+    PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+|\n")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+        self.cuts = self.splits_alike()
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def splits_alike(self) -> bool:
+        """Whether this tokenizer cuts and ends words as `PRE_TOKEN` does; if not, no word is cut."""
+        steps, normalizer = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        sample = "".join(map(chr, [*range(0x21, 0x3C), *range(0x3D, 0x7F), *range(0xC0, 0x100)])) + " don't we'll i'd 3x+1 a'b 'sa ''s"
+        low = sample.lower()
+        if steps is None or normalizer is None or normalizer.normalize_str(sample) != low:
+            return False
+        if [low[a:b] for _, (a, b) in steps.pre_tokenize_str(low)] != self.PRE_TOKEN.findall(low):
+            return False
+        found = list(dict.fromkeys(self.PRE_TOKEN.findall(low)))
+        return all(self.ends[e.ids].tolist() == [False] * (len(e.ids) - 1) + [True] for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 10_000):
+            got = self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)
+            out += [np.array(e.ids, "<i4").tobytes() for e in got]
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [bool(self.cuts and self.PLAIN.fullmatch(t)) for t in texts]
+        odd = [w for w, p in zip(words, plain, strict=True) if not p]
+        self.known.update(zip(odd, self.ids_of([w.decode() for w in odd]), strict=True))
+        whole = list(compress(words, plain))
+        if not whole:
+            return
+        found = self.PRE_TOKEN.findall("\n".join(compress(texts, plain)).lower())
+        new = [p for p in set(found) if p not in self.parts and p != "\n"]
+        for i in range(0, len(new), 5_000):
+            part = new[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            stops = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            self.parts.update(zip(part, [raw[a:b] for a, b in pairwise(stops)], strict=True))
+        at = 0
+        for w in whole:
+            stop = found.index("\n", at) if at < len(found) and w is not whole[-1] else len(found)
+            self.known[w] = b"".join([self.parts[p] for p in found[at:stop]]) if stop - at > 1 else self.parts[found[at]]
+            at = stop + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, [np.array(e.ids, "<i4").tobytes() for e in got], strict=True))
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        self.learn([w for w in set(chain.from_iterable(split)) if w not in self.known])
         return [b"".join([self.known[w] for w in words]) for words in split]
 
 
