@@ -1,5 +1,7 @@
 """Tile selection on a hand-made slide: population, rules and the pinned seeded sample."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,9 +57,69 @@ def test_contradictory_parameters(bad):
         T.TileParams(**bad)
 
 
-def test_splice_and_split():
-    outer = [(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
-    hole = [(6.0, 6.0), (14.0, 6.0), (14.0, 14.0), (6.0, 14.0), (6.0, 6.0)]
-    ring = R.splice_hole(outer, hole)
-    parts = R.split_bridges(ring)
-    assert len(parts) == 2 and set(parts[1]) == set(hole)
+SQUARE = [(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
+
+
+def square(x, y, side):
+    return [(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]
+
+
+def points(ring):
+    return [{"x": float(a), "y": float(b)} for a, b in ring]
+
+
+def bridged(spark, outer, holes):
+    kind = "array<struct<x:double,y:double>>"
+    row = spark.createDataFrame([(points(outer), [points(h) for h in holes])], f"o {kind}, h array<{kind}>").select(R.bridge_all(F.col("o"), F.col("h")).alias("r")).first()
+    return [(p["x"], p["y"]) for p in row["r"]]
+
+
+def test_holes_come_back_from_one_ring(spark):
+    # Each is nearest to a vertex of the outer ring; a hole that is joined to another hole stays part of that one.
+    holes = [square(2.0, 2.0, 3.0), square(2.0, 15.0, 3.0), square(16.0, 3.0, 2.0)]
+    parts = R.split_bridges(bridged(spark, SQUARE, holes))
+    assert len(parts) == 4 and set(parts[0]) == set(SQUARE)
+    assert {frozenset(p) for p in parts[1:]} == {frozenset(h) for h in holes} and all(p[0] == p[-1] for p in parts[1:])
+
+
+def test_degenerate_holes_are_left_out(spark):
+    assert bridged(spark, SQUARE, [[(5.0, 5.0), (6.0, 6.0)]]) == SQUARE[:-1]
+
+
+def test_spurs_and_seams_are_no_holes():
+    ring = [(0, 0), (10, 0), (10, 5), (11, 5), (12, 5), (11, 5), (10, 5), (10, 10), (0, 10)]
+    assert R.split_bridges(ring) == [ring]
+    assert R.split_bridges([(0, 0), (10, 0), (10, 10), (5, 10), (5, 10), (0, 10), (0, 0), (0, 0)])[1:] == []
+
+
+def test_every_pair_of_visits_counts():
+    # The vertex a is visited three times; only the second and third enclose a ring.
+    a = (0, 0)
+    ring = [a, (1, 9), (2, 8), a, (3, 3), (4, 3), (4, 4), (3, 3), a, (9, 9)]
+    assert R.split_bridges(ring) == [[a, (1, 9), (2, 8), a, (9, 9)], [(3, 3), (4, 4), (4, 3), (3, 3)]]
+
+
+def test_points_of_a_long_text(spark):
+    text = " ".join(f"{i},{i * 2}.5" for i in range(4000))
+    began = time.time()
+    row = spark.createDataFrame([(text,), ("1,2 x 3",), ("",), (None,)], "t string").select(R.parse_points(F.col("t")).alias("p"), R.signed_area(R.parse_points(F.col("t"))).alias("a")).collect()
+    assert [r["p"] if r["p"] is None else len(r["p"]) for r in row] == [4000, 1, 0, None] and row[0]["p"][3999] == (3999.0, 7998.5)
+    assert time.time() - began < 5
+
+
+def test_a_class_without_coverage_is_at_the_edge(spark):
+    slides = spark.createDataFrame([(1, 32, 16, 1.0)], "image_id long, width0 long, height0 long, pixel_size double")
+    shapes = spark.createDataFrame([(1, 7, 0, 0, 16, 16, "g3")], "image_id long, shape_id long, x long, y long, bw long, bh long, text string")
+    alias = spark.createDataFrame([("g3", "G3")], "alias string, folder string")
+    got = {}
+    for low in (0.0, 0.5):
+        p = T.TileParams(mpp=1.0, size=16, min_coverage=low, erode_um=None, tissue_thresh=0.0)
+        t = T.label_tiles(T.grid(slides, p).withColumn("tissue_px", F.lit(64)), shapes, slides, None, alias, p)
+        got[low] = {r["col"]: r["outcome"] for r in t.collect()}
+    assert got == {0.0: {0: "G3", 1: "dropped_roi_edge"}, 0.5: {0: "G3", 1: "benign"}}
+
+
+def test_background_takes_the_cap_of_labels(spark):
+    kept = spark.range(10).selectExpr("1L AS image_id", "cast(id AS int) AS col", "0 AS row", "'benign' AS outcome")
+    assert T.cap_labels_exact(kept, 3, "benign", None, None, 7).count() == T.cap_labels(kept, 3, "benign", None, None, 7).count() == 3
+    assert T.cap_labels(kept, None, "benign", None, None, 7).count() == 10

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: File extensions and their media types.
-MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff"}
+MEDIA_TYPES = {"jp2": "image/jp2", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff"}
 
 
 def select_images(images: DataFrame, links: DataFrame | None = None, *, image: int | None = None, dataset: int | None = None, project: int | None = None, group: int | None = None) -> DataFrame:
     """Images by exactly one of image, dataset, project or group. links: (image_id, dataset_id, project_id), an image may be linked more than once."""
     given = {k: v for k, v in (("image_id", image), ("dataset_id", dataset), ("project_id", project), ("group_id", group)) if v is not None}
     if len(given) != 1:
-        raise ValueError("give exactly one of image, dataset, project and group")
+        raise ValueError("an image, a dataset, a project or a group is needed, and only one of them")
     ((column, value),) = given.items()
     if column in ("image_id", "group_id"):
         return images.where(F.col(column) == value)

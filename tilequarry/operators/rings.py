@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is mentioned in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_points(text: Column) -> Column:
     """Points of `x,y x,y`; tokens that are no numbers are skipped and an odd last number is left out."""
     numbers = F.filter(F.transform(F.split(F.trim(F.regexp_replace(text, ",", " ")), r"\s+"), lambda t: t.try_cast("double")), lambda v: v.isNotNull())
-    pairs = F.filter(F.transform(numbers, lambda v, i: F.struct(v.alias("x"), F.get(numbers, i + 1).alias("y"), (i % 2 == 0).alias("k"))), lambda p: p["k"] & p["y"].isNotNull())
-    return F.transform(pairs, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    pair = lambda n: F.transform(F.sequence(F.lit(1), F.floor(F.size(n) / 2).cast("int")), lambda i: F.struct(F.get(n, 2 * i - 2).alias("x"), F.get(n, 2 * i - 1).alias("y")))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    return F.when(text.isNotNull(), bound(numbers, lambda n: F.when(F.size(n) >= 2, pair(n)).otherwise(none)))
 
 
 def format_number(v: Column) -> Column:
@@ -36,8 +44,8 @@ def open_ring(ring: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Half the sum over consecutive points; the closing edge counts only if the ring is closed."""
-    cross = F.transform(ring, lambda p, i: p["x"] * F.get(ring, i + 1)["y"] - F.get(ring, i + 1)["x"] * p["y"])
-    return F.aggregate(F.filter(cross, lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v) / 2
+    cross = lambda r: F.transform(r, lambda p, i: p["x"] * F.get(r, i + 1)["y"] - F.get(r, i + 1)["x"] * p["y"])
+    return F.aggregate(F.filter(bound(ring, cross), lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v) / 2
 
 
 def rectangle(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -50,61 +58,85 @@ def ellipse(x: Column, y: Column, rx: Column, ry: Column, n: int = 64) -> Column
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.round(x + rx * F.cos(angle(i)), 2).alias("x"), F.round(y + ry * F.sin(angle(i)), 2).alias("y")))
 
 
-def splice_hole(outer: list, hole: list) -> list:
-    """One ring from an outer ring and a hole, joined by a bridge between their nearest vertices."""
-
-    def area(r: list) -> float:
-        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])) / 2
-
-    shut = lambda r: r if r[0] == r[-1] else [*r, r[0]]
-    free = lambda r: r[:-1] if len(r) > 1 and r[0] == r[-1] else r
-    if area(shut(outer)) * area(shut(hole)) > 0:
-        hole = hole[::-1]
-    outer, hole = free(outer), free(hole)
-    _, i, j = min(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2, i, j) for i, a in enumerate(outer) for j, b in enumerate(hole))
-    return [*outer[: i + 1], *hole[j:], *hole[: j + 1], *outer[i:]]
-
-
 def bridge(outer: Column, hole: Column) -> Column:
-    """`splice_hole` in built-in functions: the nearest pair of vertices (the first of equals) joins both rings."""
-    turned = signed_area(close_ring(outer)) * signed_area(close_ring(hole)) > 0
-    rings = F.array(F.struct(open_ring(outer).alias("o"), open_ring(F.when(turned, F.reverse(hole)).otherwise(hole)).alias("h")))
+    """One ring from an outer ring and a hole, wound the other way, joined at their nearest vertices (the first pair of equals).
+
+    Which way a ring winds is judged as it is given: an open one lacks its closing edge.
+    """
+    turned = (signed_area(hole) >= 0) == (signed_area(outer) >= 0)
+    rings = F.struct(open_ring(outer).alias("o"), open_ring(hole).alias("h"), turned.alias("t"))
+    rings = bound(rings, lambda r: F.struct(r["o"].alias("o"), F.when(r["t"], F.reverse(r["h"])).otherwise(r["h"]).alias("h")))
 
     def nearest(r: Column) -> Column:
         far = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
-        pairs = F.transform(r["o"], lambda a, i: F.transform(r["h"], lambda b, j: F.struct(far(a, b).alias("d"), i.alias("i"), j.alias("j"))))
-        return F.struct(r["o"].alias("o"), r["h"].alias("h"), F.array_min(F.flatten(pairs)).alias("at"))
+        pairs = F.transform(r["o"], lambda a, i: F.array_min(F.transform(r["h"], lambda b, j: F.struct(far(a, b).alias("d"), i.alias("i"), j.alias("j")))))
+        return F.struct(r["o"].alias("o"), r["h"].alias("h"), F.array_min(pairs).alias("at"))
 
     def join(r: Column) -> Column:
         o, h, i, j = r["o"], r["h"], r["at"]["i"], r["at"]["j"]
         return F.concat(F.slice(o, 1, i + 1), F.slice(h, j + 1, F.size(h) - j), F.slice(h, 1, j + 1), F.slice(o, i + 1, F.size(o) - i))
 
-    return F.element_at(F.transform(F.transform(rings, nearest), join), 1)
+    return bound(bound(rings, nearest), join)
+
+
+#: Points that a ring needs.
+MIN_RING = 3
+
+
+def bridge_all(outer: Column, holes: Column) -> Column:
+    """An outer ring with all its holes folded in, one after the other, as one open ring; holes of fewer than MIN_RING points are left out.
+
+    The ring grows from hole to hole, and each is joined where it is nearest to what has grown.
+    """
+    usable = F.filter(holes, lambda h: F.size(h) >= MIN_RING)
+    return open_ring(F.aggregate(F.coalesce(usable, F.array().cast("array<array<struct<x:double,y:double>>>")), outer, bridge))
+
+
+def without_repeats(ring: list) -> list:
+    return [p for k, p in enumerate(ring) if k == 0 or p != ring[k - 1]]
+
+
+def find_slit(ring: list) -> tuple[int, int] | None:
+    """Two visits of one vertex between which a closed ring of at least four points runs.
+
+    Vertices are tried in the order of their first visit, and for one of them all pairs of visits, the
+    earliest start and then the earliest end first. The visits are listed by the point before them, where the
+    end of such a ring is looked up.
+    """
+    visits: dict = {}
+    ends: dict = {}
+    for k, p in enumerate(ring):
+        visits.setdefault(p, []).append(k)
+        if k:
+            ends.setdefault((p, ring[k - 1]), []).append(k)
+    for p, starts in visits.items():
+        if len(starts) < 2:
+            continue
+        for start in starts:
+            if start + 1 < len(ring):
+                fit = ends.get((p, ring[start + 1]), [])
+                at = bisect_left(fit, start + 5)
+                if at < len(fit):
+                    return start, fit[at]
+    return None
 
 
 def split_bridges(ring: list) -> list[list]:
-    """Undo splices: cut out runs of points that begin and end on one point between two visits of another."""
-    ring = [p for k, p in enumerate(ring) if k == 0 or p != ring[k - 1]]
-    holes: list[list] = []
-    found = True
-    while found:
-        found = False
-        seen: dict = {}
-        for k, p in enumerate(ring):
-            start = seen.get(p)
-            if start is not None and k - start >= 4 and ring[start + 1] == ring[k - 1] and not (start == 0 and k == len(ring) - 1):
-                holes.append(ring[start + 1 : k])
-                ring = ring[: start + 1] + ring[k + 1 :]
-                found = True
-                break
-            seen.setdefault(p, k)
+    """The outer ring, then the holes that were bridged into it, closed and wound the other way."""
+    ring, holes = without_repeats(ring), []
+    while (slit := find_slit(ring)) is not None:
+        start, end = slit
+        hole = without_repeats(ring[start + 1 : end][::-1])
+        holes.append(hole if hole[0] == hole[-1] else [*hole, hole[0]])
+        ring = without_repeats([*ring[: start + 1], *ring[end:]])
     return [ring, *holes]
 
 
 def _unbridge(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda r: [[{"x": a, "y": b} for a, b in part] for part in split_bridges([(p["x"], p["y"]) for p in r])])
+    points = lambda part: [{"x": a, "y": b} for a, b in part]
+    return rings.map(lambda r: None if r is None else [points(part) for part in split_bridges([(p["x"], p["y"]) for p in r])])
 
 
 def unbridge(ring: Column) -> Column:
-    """The ring and the holes that were spliced into it."""
+    """The ring and the holes that were bridged into it."""
     return F.pandas_udf(_unbridge, "array<array<struct<x:double,y:double>>>")(ring)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rings import ellipse
+
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -59,6 +61,11 @@ def ring_spans(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, F.element_at(F.transform(held, spans), 1))
 
 
+def filled(shapes: DataFrame, ring: str) -> DataFrame:
+    """The rows whose ring has a pixel inside."""
+    return shapes.withColumn("_n", F.size(ring_spans(F.col(ring)))).where("_n > 0").drop("_n")
+
+
 def fill(shapes: DataFrame, ring: str, *keys: str) -> DataFrame:
     """(keys, y, x) for every pixel inside each row's ring."""
     spans = shapes.select(*keys, F.explode(ring_spans(F.col(ring))).alias("s"))
@@ -77,8 +84,9 @@ def first_given(values: Column) -> Column:
 
 
 def shape_spec(kind: Column, x: Column, y: Column, w: Column, h: Column, points: Column) -> Column:
-    """A server's shape as a kind and points: boxes and ellipses become polygons, other kinds none."""
+    """A server's shape as a kind and points: boxes and ellipses (x, y the centre, w, h the radii) become polygons, other kinds none."""
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h), point(x, y))
     known = F.when(kind == "rectangle", F.struct(F.lit("polygon").alias("kind"), box.alias("points")))
     known = known.when(kind == "point", F.struct(F.lit("point").alias("kind"), F.array(point(x, y)).alias("points")))
+    known = known.when(kind == "ellipse", F.struct(F.lit("polygon").alias("kind"), ellipse(x, y, w, h).alias("points")))
     return known.when(kind.isin("polygon", "polyline"), F.struct(kind.alias("kind"), points.alias("points")))

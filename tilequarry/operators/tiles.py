@@ -1,15 +1,19 @@
-"""Tile grids, coverage of tiles by annotation boxes, label rules and sampling.
+"""Tile grids, coverage of tiles by annotation boxes and rings, label rules and sampling.
 
 A tile's window is some 8 x 8 analysis pixels (4 to 12 a side, as scales round), wherever overlap and
 scale put it. What a class covers of a window fits in three long masks of 4 rows x 12 pixels; larger
 windows are cut into such blocks. Masks of one class are or-ed, which counts a pixel once however many
-shapes cover it, and a tile never becomes its pixels. Boxes reach tiles by arithmetic on the slide's
+shapes cover it, and a tile never becomes its pixels. Shapes reach tiles by arithmetic on the slide's
 scale, so no range join is made, and everything about a tile is gathered by one shuffle on its place.
+
+A shape is a box (x, y, bw, bh) or, where it has a `ring` that is not null, the even-odd inside of that ring. A ring
+becomes the spans of its rows, is dealt to rows of windows with only the spans of those rows, then to the windows.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shapes import ring_spans
+
 WINDOW = 8
 
 
@@ -31,7 +37,9 @@ class TileParams:
     min_coverage: float = 0.5
     tissue_thresh: float = 0.5
     background: str | None = "benign"
+    #: Distance that the background keeps from every shape: in analysis pixels, or in micrometres where margin_um is given.
     margin_px: int = 0
+    margin_um: float | None = None
     exclusion: str = "exclusion roi"
     include_all: bool = False
     text_filter: tuple[str, ...] = field(default=())
@@ -115,30 +123,100 @@ def erode_radius(p: TileParams) -> Column:
     return F.when(F.col("pixel_size") > 0, p.erode_um / (F.col("pixel_size") * F.col("ads"))).otherwise(half) if p.erode_um > 0 else F.lit(0.0)
 
 
-def axis(s: DataFrame, name: str, low: str, high: str, extent: str, shift: Column, side: Column, step: int, reach: int) -> DataFrame:
+def axis(s: DataFrame, name: str, low: str, high: str, extent: str, step: int, reach: str) -> DataFrame:
     """One row for each window along an axis that comes within reach of [low, high], with its origin `name`_at."""
-    unit, ads = F.col("ds") * step, F.col("ads")
-    first = F.greatest(F.lit(0.0), F.floor(((F.col(low) - reach - side - 1) * ads - shift) / unit))
-    last = F.least(F.floor(F.col(extent) / unit), F.ceil(((F.col(high) + reach + 2) * ads - shift) / unit))
+    unit, ads, shift, side, near = F.col("ds") * step, F.col("ads"), F.col("shift"), F.col("side"), F.col(reach)
+    first = F.greatest(F.lit(0.0), F.floor(((F.col(low) - near - side - 1) * ads - shift) / unit))
+    last = F.least(F.floor(F.col(extent) / unit), F.ceil(((F.col(high) + near + 2) * ads - shift) / unit))
     s = s.where(first <= last).withColumn(name, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     s = s.withColumn(f"{name}_at", F.rint((F.rint(F.col(name) * unit) + shift) / ads).cast("long"))
-    return s.where((F.col(f"{name}_at") - reach <= F.col(high)) & (F.col(f"{name}_at") + side + reach > F.col(low)))
+    return s.where((F.col(f"{name}_at") - near <= F.col(high)) & (F.col(f"{name}_at") + side + near > F.col(low)))
 
 
-def cut_boxes(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile", margin: int = 0) -> DataFrame:
-    """Boxes and the windows within margin of them: adds col, row, ax, ex, ay, ey (in analysis pixels), col_at, row_at, side, and area (clipped to the slide)."""
+def on_slide(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile", margin: Column | None = None) -> DataFrame:
+    """Shapes with their slide's scale, its size in analysis pixels (tw, th), and what kind of window is asked for."""
     shift, side = window_of(kind, p)
     s = shapes.join(scaled.where("status = 'ok'").select("image_id", "ds", "ads", "tile0", "width0", "height0", "pixel_size"), "image_id")
     for n, size in (("tw", "width0"), ("th", "height0")):
         s = s.withColumn(n, F.greatest(F.lit(1.0), F.rint(F.col(size) / F.col("ads"))).cast("long"))
+    return s.withColumn("side", side).withColumn("shift", shift).withColumn("margin", F.lit(0) if margin is None else margin)
+
+
+def margin_of(p: TileParams) -> Column:
+    """Margin in analysis pixels; one in micrometres counts only where the pixel size is known."""
+    if p.margin_um is None:
+        return F.lit(p.margin_px)
+    return F.when(F.col("pixel_size") > 0, F.ceil(p.margin_um / (F.col("pixel_size") * F.col("ads")))).otherwise(0).cast("int")
+
+
+def with_area(s: DataFrame) -> DataFrame:
+    """Adds the window's area as far as it lies on the slide."""
+    wide, high = (F.least(F.col(f"{n}_at") + F.col("side"), F.col(e)) - F.greatest(F.col(f"{n}_at"), F.lit(0)) for n, e in (("col", "tw"), ("row", "th")))
+    return s.withColumn("area", F.greatest(F.lit(1), wide * high))
+
+
+def box_pixels(s: DataFrame) -> DataFrame:
+    """Boxes with their first and last analysis pixels (ax, ex, ay, ey); those without one are left out."""
     s = s.withColumn("ax", F.expr("greatest(0, x div ads)")).withColumn("ex", F.expr("least(tw, x div ads + bw div ads) - 1"))
     s = s.withColumn("ay", F.expr("greatest(0, y div ads)")).withColumn("ey", F.expr("least(th, y div ads + bh div ads) - 1"))
-    s = s.where("ax <= ex AND ay <= ey").withColumn("side", side).withColumn("shift", shift)
+    return s.where("ax <= ex AND ay <= ey")
+
+
+def cut_boxes(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile", margin: Column | None = None) -> DataFrame:
+    """Boxes and the windows within margin of them: adds col, row, ax, ex, ay, ey (in analysis pixels), col_at, row_at, side, and area (clipped to the slide)."""
+    s = box_pixels(on_slide(shapes, scaled, p, kind, margin))
     step = p.size - p.overlap
-    s = axis(s, "col", "ax", "ex", "width0", F.col("shift"), F.col("side"), step, margin)
-    s = axis(s, "row", "ay", "ey", "height0", F.col("shift"), F.col("side"), step, margin)
-    wide, high = (F.least(F.col(f"{n}_at") + F.col("side"), F.col(e)) - F.greatest(F.col(f"{n}_at"), F.lit(0)) for n, e in (("col", "tw"), ("row", "th")))
-    return s.withColumn("area", F.greatest(F.lit(1), wide * high))
+    s = axis(s, "col", "ax", "ex", "width0", step, "margin")
+    return with_area(axis(s, "row", "ay", "ey", "height0", step, "margin"))
+
+
+def with_spans(s: DataFrame) -> DataFrame:
+    """Rings as the spans (y, x_from, x_to) of their analysis pixels, clipped to the slide, in order of y."""
+    small = F.transform("ring", lambda q: F.struct((q["x"] / F.col("ads")).alias("x"), (q["y"] / F.col("ads")).alias("y")))
+    clip = lambda q: F.struct(q["y"].alias("y"), F.greatest(q["x_from"], F.lit(0)).alias("x_from"), F.least(q["x_to"], F.col("tw")).alias("x_to"))
+    inside = lambda q: (q["y"] >= 0) & (q["y"] < F.col("th")) & (q["x_from"] < q["x_to"])
+    spans = F.filter(F.transform(ring_spans(small), clip), inside)
+    # A generated column is computed once; a plain one would be again in every filter that mentions it.
+    return s.withColumn("spans", F.explode(F.array(spans))).where(F.size("spans") > 0)
+
+
+def cut_rings(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile", margin: Column | None = None) -> DataFrame:
+    """Rings and the windows within margin of them: adds col, row, col_at, row_at, side, area, and the spans within margin of the window's rows."""
+    s = with_spans(on_slide(shapes, scaled, p, kind, margin)).drop("ring")
+    s = s.withColumn("ay", F.element_at("spans", 1)["y"]).withColumn("ey", F.element_at("spans", -1)["y"])
+    step = p.size - p.overlap
+    s = axis(s, "row", "ay", "ey", "height0", step, "margin")
+    beside = F.filter("spans", lambda q: (q["y"] >= F.col("row_at") - F.col("margin")) & (q["y"] < F.col("row_at") + F.col("side") + F.col("margin")))
+    s = s.withColumn("spans", F.explode(F.array(beside))).where(F.size("spans") > 0)
+    s = s.withColumn("ax", F.array_min(F.transform("spans", lambda q: q["x_from"]))).withColumn("ex", F.array_max(F.transform("spans", lambda q: q["x_to"])) - 1)
+    return with_area(axis(s, "col", "ax", "ex", "width0", step, "margin"))
+
+
+def bits(a: Column, b: Column) -> Column:
+    """A long whose bits a to b - 1 are set, for bounds up to 62."""
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    return power(b) - power(a)
+
+
+def ring_masks(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile") -> DataFrame:
+    """Each ring cut into the windows it meets: adds col, row, block and the masks of the block's pixels."""
+    s = cut_rings(shapes, scaled, p, kind)
+    last = f"cast((side - 1) div {BLOCK} AS int)"
+    s = s.withColumn("bx", F.explode(F.expr(f"sequence(0, {last})"))).withColumn("by", F.explode(F.expr(f"sequence(0, {last})")))
+    clamp = lambda v: F.greatest(F.lit(0), F.least(v - F.col("col_at") - F.col("bx") * BLOCK, F.lit(BLOCK), F.col("side") - F.col("bx") * BLOCK))
+
+    def mask(first: int) -> Column:
+        def add(held: Column, q: Column) -> Column:
+            r, a, b = q["y"] - F.col("row_at") - F.col("by") * BLOCK - first, clamp(q["x_from"]), clamp(q["x_to"])
+            here = (r >= 0) & (r < PER_MASK) & (q["y"] < F.col("row_at") + F.col("side")) & (a < b)
+            return F.when(here, held.bitwiseOR(F.call_function("shiftleft", bits(a, b), (r * BLOCK).cast("int")))).otherwise(held)
+
+        return F.aggregate("spans", F.lit(0).cast("long"), add)
+
+    # The masks are generated together, so that the filter on them does not compute them again.
+    s = s.withColumn("m", F.explode(F.array(F.struct(*[mask(k * PER_MASK).alias(n) for k, n in enumerate(MASKS)]))))
+    s = s.select("*", "m.*").where(" OR ".join(f"{m} <> 0" for m in MASKS))
+    return s.drop("m", "spans").withColumn("block", F.col("by") * 1024 + F.col("bx"))
 
 
 def box_masks(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile") -> DataFrame:
@@ -161,6 +239,19 @@ def box_masks(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "
     return s.withColumn("block", F.col("by") * 1024 + F.col("bx"))
 
 
+def both_kinds(shapes: DataFrame, boxes: Callable[[DataFrame], DataFrame], rings: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `boxes` makes of the boxes among shapes together with what `rings` makes of the rings."""
+    if "ring" not in shapes.columns:
+        return boxes(shapes)
+    return boxes(shapes.where("ring IS NULL").drop("ring")).unionByName(rings(shapes.where("ring IS NOT NULL")))
+
+
+def shape_masks(shapes: DataFrame, scaled: DataFrame, p: TileParams, kind: str = "tile") -> DataFrame:
+    """Each shape cut into the windows it meets: its columns but the geometry, with col, row, block, masks and area."""
+    keep = [c for c in shapes.columns if c not in ("ring", "x", "y", "bw", "bh")] + ["col", "row", "block", *MASKS, "area"]
+    return both_kinds(shapes, lambda s: box_masks(s, scaled, p, kind).select(*keep), lambda s: ring_masks(s, scaled, p, kind).select(*keep))
+
+
 def set_bits(of: dict[str, Column]) -> Column:
     return F.bit_count(of["m0"]) + F.bit_count(of["m1"]) + F.bit_count(of["m2"])
 
@@ -175,11 +266,21 @@ def covered(masks: DataFrame, *keys: str) -> DataFrame:
 
 
 def near_tiles(shapes: DataFrame, scaled: DataFrame, p: TileParams) -> DataFrame:
-    """Tiles whose window has a pixel within margin_px (a disk) of some shape, excluded ones included."""
-    s = cut_boxes(shapes, scaled, p, margin=p.margin_px)
-    gap = lambda at, low, high: F.greatest(F.lit(0), F.col(low) - (F.col(at) + F.col("side") - 1), F.col(at) - F.col(high))
-    dx, dy = gap("col_at", "ax", "ex"), gap("row_at", "ay", "ey")
-    return s.where(dx * dx + dy * dy <= p.margin_px * p.margin_px).select(*AT)
+    """Tiles whose window has a pixel within the margin (a disk) of some shape, excluded ones included."""
+    reach = margin_of(p)
+    gap = lambda at, low, high: F.greatest(F.lit(0), low - (F.col(at) + F.col("side") - 1), F.col(at) - high)
+
+    def close(low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> Column:
+        dx, dy = gap("col_at", low_x, high_x), gap("row_at", low_y, high_y)
+        return dx * dx + dy * dy <= F.col("margin") * F.col("margin")
+
+    def boxes(s: DataFrame) -> DataFrame:
+        return cut_boxes(s, scaled, p, margin=reach).where(close(*[F.col(c) for c in ("ax", "ex", "ay", "ey")])).select(*AT)
+
+    def rings(s: DataFrame) -> DataFrame:
+        return cut_rings(s, scaled, p, margin=reach).where(F.exists("spans", lambda q: close(q["x_from"], q["x_to"] - 1, q["y"], q["y"]))).select(*AT)
+
+    return both_kinds(shapes, boxes, rings)
 
 
 def label_tiles(tiles: DataFrame, shapes: DataFrame, slides: DataFrame, tissue: DataFrame | None, alias: DataFrame, p: TileParams) -> DataFrame:
@@ -189,12 +290,12 @@ def label_tiles(tiles: DataFrame, shapes: DataFrame, slides: DataFrame, tissue:
     """
     scaled = scale(slides, p)
     named = label_of(shapes, alias, p)
-    masks = box_masks(named, scaled, p).select(*AT, "folder", "excluded", "block", *MASKS, "area")
+    masks = shape_masks(named, scaled, p).select(*AT, "folder", "excluded", "block", *MASKS, "area")
     by_class = covered(masks, "folder", "excluded")
     enough = F.col("folder").isNotNull() & (F.col("px") >= p.min_coverage * F.col("area")) & (F.col("px") > 0)
     central = F.lit(True)
     if p.erode_um is None or p.erode_um > 0:
-        inner = box_masks(named.where("folder IS NOT NULL"), scaled.where(erode_radius(p) >= 1), p, "centre")
+        inner = shape_masks(named.where("folder IS NOT NULL"), scaled.where(erode_radius(p) >= 1), p, "centre")
         inner = covered(inner.select(*AT, "folder", "block", *MASKS, "area"), "folder")
         whole = inner.where("px = area").select(*AT, "folder", F.lit(True).alias("central"))
         small = scaled.select("image_id", (erode_radius(p) < 1).alias("no_test"))
@@ -204,17 +305,25 @@ def label_tiles(tiles: DataFrame, shapes: DataFrame, slides: DataFrame, tissue:
         F.min(F.when(enough & central, F.struct((-F.col("px") / F.col("area")).alias("n"), "folder"))).alias("best"),
         F.bool_or(enough & ~central).alias("at_edge"),
         F.bool_or(F.col("excluded") & (F.col("px") > 0)).alias("excl"),
+        F.count_if(F.col("folder").isNotNull()).alias("met"),
     )
     near = near_tiles(shapes, scaled, p).distinct().withColumn("near", F.lit(True))
     have = shapes.select("image_id").distinct().withColumn("has_shapes", F.lit(True))
     t = tiles if tissue is None else tiles.join(tissue, AT, "left")
     t = t.join(facts, AT, "left").join(near, AT, "left").join(have, "image_id", "left")
+    at_edge = F.coalesce("at_edge", F.lit(False))
+    if p.min_coverage == 0 and (p.erode_um is None or p.erode_um > 0):
+        # A class that does not touch the tile has enough coverage too, and its centre test fails.
+        classes = masks.where("folder IS NOT NULL").select("image_id", "folder").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("classes"))
+        tested = classes.join(scaled.where(erode_radius(p) >= 1).select("image_id"), "image_id", "left_semi")
+        t = t.join(tested, "image_id", "left")
+        at_edge = at_edge | (F.coalesce("met", F.lit(0)) < F.coalesce("classes", F.lit(0)))
     outcome = (
         F.when(F.col("has_shapes").isNull(), "unannotated")
         .when(F.coalesce("tissue_px", F.lit(0)) < p.tissue_thresh * 64, "dropped_no_tissue")
         .when(F.coalesce("excl", F.lit(False)), "dropped_excluded")
         .when(F.col("best").isNotNull(), F.col("best.folder"))
-        .when(F.coalesce("at_edge", F.lit(False)), "dropped_roi_edge")
+        .when(at_edge, "dropped_roi_edge")
     )
     if p.background:
         outcome = outcome.when(F.col("near").isNull(), p.background)
@@ -228,7 +337,7 @@ def dominant_shape(shapes: DataFrame, slides: DataFrame, p: TileParams) -> DataF
 
     A block's shapes are few; they are folded from the latest on, each with the pixels that no later one has.
     """
-    m = box_masks(shapes, scale(slides, p), p).select(*AT, "shape_id", "block", *MASKS).repartition(*AT)
+    m = shape_masks(shapes, scale(slides, p), p).select(*AT, "shape_id", "block", *MASKS).repartition(*AT)
     of = m.groupBy(*AT, "block").agg(F.sort_array(F.collect_list(F.struct("shape_id", *MASKS)), asc=False).alias("held"))
     none = F.struct(*[F.lit(0).cast("long").alias(x) for x in MASKS], F.array().cast("array<struct<shape_id:bigint,n:int>>").alias("own"))
 
@@ -247,17 +356,27 @@ def draw_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]).cast("binary"))
 
 
-def cap_labels(kept: DataFrame, per_label: int, background: str, background_cap: int, per_slide: int, seed: int) -> DataFrame:
-    """Seeded caps for each label (its own for the background), then for each slide."""
+def cap_flags(tiles: DataFrame, able: str, per_label: int | None, background: str, background_cap: int | None, per_slide: int | None, seed: int) -> DataFrame:
+    """Adds kept: whether a tile that is able survives the seeded caps for each label, then for each slide.
+
+    No cap where one is None; the background's is then that of a label.
+    """
     key = draw_key(seed, "image_id", "col", "row")
-    place = F.row_number().over(W.partitionBy("image_id", "outcome").orderBy(key))
-    one = kept.withColumn("place", place).where(F.col("place") <= F.when(F.col("outcome") == background, background_cap).otherwise(per_label))
-    again = F.row_number().over(W.partitionBy("image_id").orderBy(key))
-    return one.withColumn("place", again).where(F.col("place") <= per_slide).drop("place")
+    t = tiles.withColumn("able", F.expr(able))
+    place = F.row_number().over(W.partitionBy("image_id", "outcome", "able").orderBy(key))
+    cap = F.lit(per_label) if background_cap is None else F.when(F.col("outcome") == background, background_cap).otherwise(F.lit(per_label))
+    t = t.withColumn("kept", F.col("able") & F.coalesce(place <= cap, F.lit(True)))
+    again = F.row_number().over(W.partitionBy("image_id", "kept").orderBy(key))
+    return t.withColumn("kept", F.col("kept") & F.coalesce(again <= F.lit(per_slide), F.lit(True))).drop("able")
+
+
+def cap_labels(kept: DataFrame, per_label: int | None, background: str, background_cap: int | None, per_slide: int | None, seed: int) -> DataFrame:
+    """The rows that survive the seeded caps."""
+    return cap_flags(kept, "true", per_label, background, background_cap, per_slide, seed).where("kept").drop("kept")
 
 
 def cap_labels_exact(kept: DataFrame, per_label: int | None, background: str, background_cap: int | None, per_slide: int | None, seed: int) -> DataFrame:
-    """The same caps with one Python generator a slide: labels in name order, survivors in row-major order. No cap where one is None.
+    """The same caps with one Python generator a slide: labels in name order, survivors in row-major order. No cap where one is None; the background's is then that of a label.
 
     The generator's order makes a slide one group; only its keys go there.
     """
@@ -269,7 +388,7 @@ def cap_labels_exact(kept: DataFrame, per_label: int | None, background: str, ba
         out = []
         for label in sorted({r["outcome"] for r in rows}):
             own = [r for r in rows if r["outcome"] == label]
-            cap = background_cap if label == background else per_label
+            cap = background_cap if label == background and background_cap is not None else per_label
             out += rng.sample(own, cap) if cap is not None and len(own) > cap else own
         out.sort(key=lambda r: (r["row"], r["col"]))
         if per_slide is not None and len(out) > per_slide:

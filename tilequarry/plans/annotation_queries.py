@@ -193,11 +193,11 @@ def ring_close_area(spark, sf):
     return s.select("shape_id", F.size(R.close_ring(R.open_ring(F.col("ring")))).alias("closed"), F.size(R.open_ring(F.col("ring"))).alias("opened"), R.signed_area(F.col("ring")).alias("area"))
 
 
-@query(D.with_base("SELECT shape_id, i::INTEGER AS i, round(round(x + bw / 2 * cos(2 * pi() * i / 64), 2), 1) AS px, round(round(y + bh / 2 * sin(2 * pi() * i / 64), 2), 1) AS py FROM shapes, unnest([0, 8, 16, 32, 48]) AS t(i)", "slides", "shapes"))
+@query(D.with_base("SELECT shape_id, i::INTEGER AS i, round(x + bw / 2 * cos(2 * pi() * i / 64), 2) + 0.0 AS px, round(y + bh / 2 * sin(2 * pi() * i / 64), 2) + 0.0 AS py FROM shapes, unnest(range(64)) AS t(i)", "slides", "shapes"))
 def ellipse_ring(spark, sf):
     ring = R.ellipse(F.col("x").cast("double"), F.col("y").cast("double"), F.col("bw") / 2, F.col("bh") / 2)
-    s = D.shapes(spark, sf).select("shape_id", F.posexplode(ring).alias("i", "p")).where("i IN (0, 8, 16, 32, 48)")
-    return s.select("shape_id", "i", F.round("p.x", 1).alias("px"), F.round("p.y", 1).alias("py"))
+    s = D.shapes(spark, sf).select("shape_id", F.posexplode(ring).alias("i", "p"))
+    return s.select("shape_id", "i", (F.col("p.x") + 0.0).alias("px"), (F.col("p.y") + 0.0).alias("py"))
 
 
 @query(D.with_base("SELECT shape_id, x || ',' || y || ' ' || (x + bw) || ',' || y || ' ' || (x + bw) || ',' || (y + bh) || ' ' || x || ',' || (y + bh) || ' ' || x || ',' || y AS text FROM shapes", "slides", "shapes"))
@@ -205,9 +205,9 @@ def rect_ring(spark, sf):
     return D.shapes(spark, sf).select("shape_id", R.format_points(R.rectangle(*[F.col(c) for c in ("x", "y", "bw", "bh")])).alias("text"))
 
 
-@query(D.with_base("SELECT shape_id, 2 AS rings, bw * bh - (bw - 20) * (bh - 20) AS area FROM shapes", "slides", "shapes"))
+@query(D.with_base("SELECT shape_id, 2 AS rings, bw * bh + (bw - 20) * (bh - 20) AS area FROM shapes", "slides", "shapes"))
 def unbridge_ring(spark, sf):
-    """Box with a box-shaped hole, bridged to one ring and taken apart again."""
+    """Box with a box-shaped hole, bridged to one ring and taken apart again; the hole comes back wound the other way, here like the box."""
     s = D.shapes(spark, sf).select("shape_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "bw", "bh")])
     outer, hole = R.rectangle(F.col("x"), F.col("y"), F.col("bw"), F.col("bh")), R.rectangle(F.col("x") + 10, F.col("y") + 10, F.col("bw") - 20, F.col("bh") - 20)
     # The hole runs the other way round; its first vertex is nearest to the outer ring's first.
@@ -217,6 +217,34 @@ def unbridge_ring(spark, sf):
     return parts.select("shape_id", F.size("parts").alias("rings"), area.cast("long").alias("area"))
 
 
+HOLES = 3
+
+
+@query(
+    D.with_base(
+        "SELECT shape_id, i::INTEGER AS ring, CASE i WHEN 0 THEN 4 ELSE 5 END AS points, CASE i WHEN 0 THEN (bw * bh)::DOUBLE ELSE (4 * i * 4 * i)::DOUBLE END AS area, "
+        "CASE WHEN i = 0 THEN 4 + 18 END AS bridged FROM shapes, unnest(range(4)) AS t(i)",
+        "slides",
+        "shapes",
+    )
+)
+def bridge_several(spark, sf):
+    """Boxes with three square holes folded into one ring and taken apart again; holes come back closed."""
+    s = D.shapes(spark, sf).select("shape_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "bw", "bh")])
+    outer = R.rectangle(F.col("x"), F.col("y"), F.col("bw"), F.col("bh"))
+    # Each is nearest to a corner of its own.
+    left, right, low, high = F.col("x") + 5, F.col("x") + F.col("bw") - 5, F.col("y") + 5, F.col("y") + F.col("bh") - 5
+    holes = [R.rectangle(a, b, F.lit(n), F.lit(n)) for a, b, n in ((left, low, 4.0), (right - 8, low, 8.0), (left, high - 12, 12.0))]
+    ring = s.select("shape_id", R.bridge_all(outer, F.array(*holes)).alias("ring"))
+    parts = ring.select("shape_id", F.size("ring").alias("n"), R.unbridge(F.col("ring")).alias("parts"))
+    area = lambda r: F.abs(R.signed_area(R.close_ring(r)))
+    # Holes in order of their size.
+    each = F.transform("parts", lambda r: F.struct(area(r).alias("area"), F.size(r).alias("points")))
+    ordered = F.concat(F.slice(each, 1, 1), F.array_sort(F.slice(each, 2, HOLES)))
+    out = parts.select("shape_id", "n", F.posexplode(ordered).alias("ring", "p"))
+    return out.select("shape_id", "ring", "p.points", "p.area", F.when(F.col("ring") == 0, F.col("n")).alias("bridged"))
+
+
 FEATURE = "struct<type:string,id:string,geometry:struct<type:string,coordinates:array<array<array<double>>>>,properties:struct<objectType:string,classification:struct<name:string,colorRGB:int>>>"
 
 

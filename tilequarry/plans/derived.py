@@ -80,6 +80,17 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("image_id", "roi_id", "shape_id", "k", "x", "y", "bw", "bh", "text", *[jitter(v).alias(n) for v, n in zip(colour, "rgb", strict=True)])
 
 
+def ring_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shapes, of which a third stay boxes, a third are their diamonds, and a third have a hole in their middle, bridged."""
+    s = shapes(spark, sf_dir)
+    x, y, w, h = (F.col(c).cast("double") for c in ("x", "y", "bw", "bh"))
+    diamond = [(x + w / 2, y), (x + w, y + h / 2), (x + w / 2, y + h), (x, y + h / 2)]
+    near, far = (x + w / 4, y + h / 4), (x + w / 2, y + h / 2)
+    keyhole = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y), near, (near[0], far[1]), far, (far[0], near[1]), near, (x, y)]
+    made = [F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ring]) for ring in (diamond, keyhole)]
+    return s.withColumn("ring", F.when(F.col("shape_id") % 3 == 1, made[0]).when(F.col("shape_id") % 3 == 2, made[1]))
+
+
 def thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, y, x, v): the 8 x 8 raster of each embedding in long form."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
@@ -117,6 +128,31 @@ SHAPES_SQL = f"""shapes AS (
     FROM orders
   ) JOIN slides USING (image_id) WHERE image_id % 13 <> 0
 )"""
+#: Pixels of ring_shapes, at the slide's analysis scale: boxes as elsewhere, rings by the crossings of each row.
+RING_PIXELS_SQL = """corners AS (
+  SELECT n.image_id, shape_id, ads, tw, th, i,
+    CASE WHEN shape_id % 3 = 1 THEN [x + bw / 2, x + bw, x + bw / 2, x][i + 1]
+      ELSE [x, x + bw, x + bw, x, x, x + bw / 4, x + bw / 4, x + bw / 2, x + bw / 2, x + bw / 4, x][i + 1] END / ads AS px,
+    CASE WHEN shape_id % 3 = 1 THEN [y, y + bh / 2, y + bh, y + bh / 2][i + 1]
+      ELSE [y, y, y + bh, y + bh, y, y + bh / 4, y + bh / 2, y + bh / 2, y + bh / 4, y + bh / 4, y][i + 1] END / ads AS py,
+    CASE WHEN shape_id % 3 = 1 THEN 4 ELSE 11 END AS n
+  FROM shapes n JOIN (SELECT *, greatest(1, round_even(width0 / ads, 0))::BIGINT AS tw, greatest(1, round_even(height0 / ads, 0))::BIGINT AS th FROM scaled WHERE status = 'ok') USING (image_id),
+    unnest(range(11)) AS t(i) WHERE shape_id % 3 > 0 AND (i < 4 OR shape_id % 3 = 2)
+), edges AS (
+  SELECT a.image_id, a.shape_id, a.tw, a.th, a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_ FROM corners a JOIN corners b ON a.shape_id = b.shape_id AND b.i = (a.i + 1) % a.n
+), crossed AS (
+  SELECT image_id, shape_id, tw, th, yy, ax + (yy - ay) * (bx - ax) / (by_ - ay) AS xx
+  FROM (SELECT *, unnest(range(ceil(least(ay, by_))::BIGINT, ceil(greatest(ay, by_))::BIGINT)) AS yy FROM edges)
+), spans AS (
+  SELECT image_id, shape_id, tw, th, yy, ceil(xx)::BIGINT AS a, ceil(lead(xx) OVER w)::BIGINT AS b, row_number() OVER w AS k FROM crossed WINDOW w AS (PARTITION BY shape_id, yy ORDER BY xx)
+), ring_pixels AS (
+  SELECT image_id, shape_id, yy AS py, unnest(range(greatest(a, 0), least(b, tw))) AS px FROM spans WHERE k % 2 = 1 AND yy >= 0 AND yy < th
+), box_pixels AS (
+  SELECT image_id, shape_id, py, unnest(range(ax, ex)) AS px FROM (
+    SELECT image_id, shape_id, ax, ex, unnest(range(ay, ey)) AS py FROM boxed WHERE shape_id % 3 = 0)
+), every_pixel AS (
+  SELECT p.*, folder, excluded FROM (SELECT * FROM ring_pixels UNION ALL SELECT image_id, shape_id, py, px FROM box_pixels) p JOIN named USING (image_id, shape_id)
+)"""
 ALIAS_SQL = "alias AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{f}')" for f, al in LABEL_MAP.items() for a in dict.fromkeys([f.lower(), *al])) + ") AS t(alias, folder))"
 PALETTE_SQL = "palette AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, (n, r, g, b) in enumerate(PALETTE)) + ") AS t(pos, label, pr, pg, pb))"
 THUMBS_SQL = """thumbs AS (

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import manifests as M
+from ..sources.scratch import fresh_path, materialize
 from ..streaming.manifest import append_stream, read_manifest
 from . import derived as D
 from .registry import registry
@@ -44,6 +42,26 @@ def manifest_append_classify(spark, sf):
     return classified(spark, sf).groupBy(*KEYS, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows keyed by a path that every third one lacks; those go by order and line.
+BLANK = """rows_ AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN '' ELSE 'p' || l_orderkey || '_' || l_linenumber % 2 END AS path, l_partkey || '/' || l_suppkey AS t FROM lineitem
+), keyed AS (SELECT *, CASE WHEN coalesce(path, '') = '' THEN 'f' || l_orderkey || '/' || l_linenumber ELSE path END AS key FROM rows_
+), first AS (SELECT key, arg_min(t, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS t FROM keyed GROUP BY key
+), again AS (SELECT k.path IS NULL OR k.path = '' AS blank, CASE WHEN k.t = f.t THEN 'identical' ELSE 'conflicting' END AS status FROM keyed k JOIN first f USING (key))"""
+
+
+@query(f"WITH {BLANK} SELECT blank, status, count(*) AS n FROM again GROUP BY ALL")
+def manifest_blank_keys(spark, sf):
+    """Rows sent a second time, some without a key: nothing is appended again."""
+    path = F.expr("CASE l_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('p', l_orderkey, '_', l_linenumber % 2) END")
+    rows = D.table(spark, sf, "lineitem").withColumn("path", path)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    columns, fallback = ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]
+    none = spark.createDataFrame([], rows.select("path", *columns, *fallback).schema)
+    held = M.classify(rows, none, ["path"], columns, order, fallback).where("status = 'appended'").select(*none.columns)
+    again = M.classify(rows, materialize(held), ["path"], columns, order, fallback)
+    return again.groupBy((F.coalesce("path", F.lit("")) == "").alias("blank"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {CLASSIFIED} SELECT status, count(*) AS n FROM classified GROUP BY status")
 def manifest_merge_report(spark, sf):
     return classified(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -137,8 +155,7 @@ def tier_breakdown(spark, sf):
 @query("SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY ALL")
 def stream_manifest_append(spark, sf):
     """Events appended by a file stream, twice; the second run adds nothing."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilequarry-")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     schema = D.table(spark, sf, "events").schema
     for run in range(2):
         stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")

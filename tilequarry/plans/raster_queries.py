@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rasters as R
+from ..operators import tissue as TI
 from . import derived as D
 from .registry import registry
 
@@ -141,3 +142,44 @@ def affine_flip(spark, sf):
 def slice_step_fit(spark, sf):
     c = D.table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("double").alias("turn"), (F.col("turn") * 3 + F.col("conv_id") % 5).cast("double").alias("z"))
     return c.groupBy("conv_id").agg(F.round(F.regr_slope("z", "turn"), 6).alias("step"), F.count_distinct("turn").alias("n")).where("n > 1").select("conv_id", "step")
+
+
+#: Sixteen small rasters side by side as one of 32 x 32 pixels in colour; every ninth is flat.
+MOSAIC = """mosaic AS (
+  SELECT vec_id // 16 AS image, (vec_id % 16 // 4 * 8 + y)::INTEGER AS y, (vec_id % 4 * 8 + x)::INTEGER AS x,
+    220 AS r, CASE WHEN vec_id // 16 % 9 = 8 THEN 200 ELSE 220 - g * 3 // 4 END AS g, CASE WHEN vec_id // 16 % 9 = 8 THEN 200 ELSE 220 - g // 2 END AS b FROM grey
+), signal AS (
+  SELECT image, y, x, (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) AS s FROM mosaic
+), ends AS (SELECT image, min(s) AS low, max(s) AS high, max(s) - min(s) AS span FROM signal GROUP BY image HAVING max(s) - min(s) >= 1e-6
+), binned AS (SELECT image, least(255, floor((s - low) / span * 256))::INTEGER AS bin, count(*) AS n FROM signal JOIN ends USING (image) GROUP BY ALL
+), upto AS (
+  SELECT image, bin, sum(n) OVER (PARTITION BY image ORDER BY bin)::BIGINT AS w0, sum(n * bin) OVER (PARTITION BY image ORDER BY bin)::BIGINT AS m0,
+    sum(n) OVER (PARTITION BY image)::BIGINT AS w, sum(n * bin) OVER (PARTITION BY image)::BIGINT AS m FROM binned
+), best AS (
+  SELECT image, arg_min(bin, (-((m0 * (w - w0) - (m - m0) * w0)::DOUBLE * (m0 * (w - w0) - (m - m0) * w0)::DOUBLE) / (w0 * (w - w0)), bin)) AS bin FROM upto WHERE w0 < w GROUP BY image
+), marked AS (SELECT image, y, x FROM signal JOIN ends USING (image) JOIN best USING (image) WHERE s > low + (bin + 0.5) * span / 256
+), plus AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS o(dy, dx)
+), here AS (SELECT image, max(y) + 1 AS h, max(x) + 1 AS w FROM signal GROUP BY image
+), grown AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM marked JOIN here USING (image), plus WHERE y + dy >= 0 AND y + dy < h AND x + dx >= 0 AND x + dx < w
+), closed AS (
+  SELECT g.image, g.y, g.x FROM grown g JOIN here USING (image), plus LEFT JOIN grown o ON o.image = g.image AND o.y = g.y + dy AND o.x = g.x + dx
+  GROUP BY g.image, g.y, g.x, h, w HAVING count(o.image) = 5 - (g.y = 0)::INTEGER - (g.x = 0)::INTEGER - (g.y = h - 1)::INTEGER - (g.x = w - 1)::INTEGER
+), rows_ AS (SELECT image, y, min(x) AS a, max(x) + 1 AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS k FROM closed) GROUP BY image, y, k
+), touch AS (SELECT p.image, p.y AS y, p.a AS a, q.y AS y2, q.a AS a2 FROM rows_ p JOIN rows_ q ON p.image = q.image AND abs(p.y - q.y) = 1 AND p.a < q.b AND q.a < p.b
+), reach AS (SELECT image, y, a, y * 1000 + a AS c FROM rows_
+  UNION SELECT t.image, t.y2, t.a2, r.c FROM reach r JOIN touch t ON t.image = r.image AND t.y = r.y AND t.a = r.a
+), named AS (SELECT image, y, a, min(c) AS c FROM reach GROUP BY ALL
+), parts AS (SELECT *, sum(b - a) OVER (PARTITION BY image, c) AS pixels FROM named JOIN rows_ USING (image, y, a))"""
+
+
+@query(D.with_base("SELECT image, y::BIGINT AS y, a::BIGINT AS a, b::BIGINT AS b FROM parts WHERE pixels >= 16", "thumbs", GREY, MOSAIC).replace("WITH ", "WITH RECURSIVE ", 1))
+def tissue_chain(spark, sf):
+    """Tissue of colour rasters as runs: saturation, Otsu, closing, components of at least 16 pixels; flat rasters have none."""
+    flat = F.expr("vec_id div 16 % 9 = 8")
+    m = grey(spark, sf).select(
+        F.expr("vec_id div 16").alias("image"),
+        F.expr("cast(vec_id % 16 div 4 * 8 + y AS int)").alias("y"),
+        F.expr("cast(vec_id % 4 * 8 + x AS int)").alias("x"),
+        TI.saturation(F.lit(220), F.when(flat, 200).otherwise(F.expr("220 - g * 3 div 4")), F.when(flat, 200).otherwise(F.expr("220 - g div 2"))).alias("s"),
+    )
+    return TI.tissue_mask(m, "image", "s").select("image", F.col("y").cast("long").alias("y"), "a", "b")

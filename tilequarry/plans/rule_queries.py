@@ -75,9 +75,9 @@ def level_scales(spark, sf):
     return v.select("image_id", "idx", "s.mpp", "s.power", C.output_mpp(None, F.col("pixel_size"), F.lit(2.0)).alias("out_mpp"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '' ELSE CASE page_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'xyz' END END AS ext, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS type, '../b/c/' || page_id AS path FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '' ELSE CASE page_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE CASE WHEN page_id % 8 = 2 THEN 'jp2' ELSE 'xyz' END END END AS ext, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN CASE WHEN page_id % 8 = 2 THEN 'image/jp2' ELSE 'application/octet-stream' END ELSE 'application/octet-stream' END AS type, '../b/c/' || page_id AS path FROM pages")
 def media_types(spark, sf):
-    name = F.concat(F.lit("dir.v1/p"), F.col("page_id"), F.get(F.array(F.lit(".PNG"), F.lit(".tar.Jpeg"), F.lit(".xyz"), F.lit("")), (F.col("page_id") % 4).cast("int")))
+    name = F.concat(F.lit("dir.v1/p"), F.col("page_id"), F.get(F.array(F.lit(".PNG"), F.lit(".tar.Jpeg"), F.when(F.col("page_id") % 8 == 2, ".JP2").otherwise(".xyz"), F.lit("")), (F.col("page_id") % 4).cast("int")))
     ext = C.extension(name)
     return D.table(spark, sf, "pages").select("page_id", ext.alias("ext"), C.media_type(ext).alias("type"), C.rebase(F.col("page_id").cast("string"), "/a/b/c", "/a/x").alias("path"))
 
@@ -89,16 +89,28 @@ def scale_membership(spark, sf):
     return D.table(spark, sf, "part").select("p_partkey", C.has_scale(scales, wanted).alias("held"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a', 255, 122, 0), (1, 'c', 1, 2, 3)) AS t(pos, label, pr, pg, pb)")
+@query(
+    D.with_base(
+        """SELECT (row_number() OVER (ORDER BY first) - 1)::INTEGER AS pos, label, r AS pr, g AS pg, b AS pb FROM (
+  SELECT min(shape_id) AS first, arg_max(coalesce(text, ''), shape_id) AS label, r, g, b FROM shapes GROUP BY r, g, b)""",
+        "slides",
+        "shapes",
+    )
+)
 def palette_config(spark, sf):
-    """A palette with a hexadecimal colour and one that is named twice."""
-    return config.palette(spark, [{"hex": "#FF7a00", "text": "a"}, {"rgb": [1, 2, 3], "text": "b"}, {"hex": "010203", "text": "c"}])
+    """A palette from the shapes' colours, written alternately as hexadecimal text and as numbers; the last name of a colour stays, in its first place."""
+    s = D.shapes(spark, sf)
+    text = F.format_string("%s%02x%02X%02x", F.when(F.col("shape_id") % 3 == 0, "#").otherwise(""), "r", "g", "b")
+    entries = s.select(F.col("shape_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("shape_id") % 2 == 0, text).alias("hex"), F.when(F.col("shape_id") % 2 == 1, F.array("r", "g", "b")).alias("rgb"))
+    return config.palette_of(entries)
 
 
-@query("SELECT * FROM (VALUES ('g3', 'G3'), ('gleason 3', 'G3'), ('g4', 'G4')) AS t(alias, folder)")
+@query("SELECT lower(trim(alias)) AS alias, arg_min(folder, c_custkey) AS folder FROM (SELECT c_custkey, ' ' || c_mktsegment || ' ' || c_nationkey % 7 AS alias, 'F' || c_custkey % 10 AS folder FROM customer) GROUP BY ALL")
 def label_config(spark, sf):
     """The first folder that registers an alias has it."""
-    return config.label_map(spark, {"G3": ["Gleason 3 "], "G4": ["gleason 3", "g3"]})
+    c = D.table(spark, sf, "customer")
+    alias = F.concat(F.lit(" "), "c_mktsegment", F.lit(" "), (F.col("c_nationkey") % 7).cast("string"))
+    return config.label_map_of(c.select(F.col("c_custkey").alias("pos"), alias.alias("alias"), F.concat(F.lit("F"), F.col("c_custkey") % 10).alias("folder")))
 
 
 @query(D.with_base("SELECT shape_id, (n + 4) // 5 AS points, fx, fy FROM (SELECT shape_id, 2 * (bw // 4 + 1) + 2 * (bh // 4 + 1) AS n, (x // 4)::DOUBLE AS fx, (y // 4)::DOUBLE AS fy FROM shapes)", "slides", "shapes"))
@@ -171,12 +183,12 @@ def mask_rgb(spark, sf):
 @query(D.with_base("SELECT image_id, shape_id FROM shapes WHERE shape_id IN (SELECT shape_id FROM filled)", "slides", "shapes", RINGS))
 def ids_in_mask(spark, sf):
     """Shapes that own or share a pixel of the mask."""
-    return D.shapes(spark, sf).join(S.fill(rings(spark, sf), "ring", "shape_id"), "shape_id", "left_semi").select("image_id", "shape_id")
+    return S.filled(rings(spark, sf), "ring").select("image_id", "shape_id")
 
 
 @query(D.with_base("SELECT image_id, count(DISTINCT shape_id) AS shapes FROM filled GROUP BY image_id", "slides", "shapes", RINGS))
 def rendered_shapes(spark, sf):
-    return S.fill(rings(spark, sf), "ring", "image_id", "shape_id").groupBy("image_id").agg(F.count_distinct("shape_id").alias("shapes"))
+    return S.filled(rings(spark, sf), "ring").groupBy("image_id").agg(F.count_distinct("shape_id").alias("shapes"))
 
 
 @query(D.with_base("SELECT image_id, roi_id, arg_min(text, shape_id) FILTER (length(trim(text)) > 0) AS label, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY image_id, roi_id) AS n FROM shapes) GROUP BY ALL", "slides", "shapes"))
@@ -186,12 +198,25 @@ def first_label(spark, sf):
     return g.select("image_id", "roi_id", S.first_given(F.transform("h", lambda x: x["text"])).alias("label"), "n")
 
 
-@query(D.with_base("SELECT shape_id, CASE shape_id % 3 WHEN 0 THEN 'polygon' WHEN 1 THEN 'point' END AS kind, CASE shape_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 1 END AS points, CASE WHEN shape_id % 3 < 2 THEN x::DOUBLE END AS fx, 'roi-' || roi_id AS source_id FROM shapes", "slides", "shapes"))
+@query(
+    D.with_base(
+        """SELECT shape_id, CASE WHEN k % 6 IN (0, 1, 2) THEN 'polygon' WHEN k % 6 = 3 THEN 'polyline' WHEN k % 6 = 4 THEN 'point' END AS kind, [5, 64, 4, 3, 1, NULL][(k % 6)::INTEGER + 1]::INTEGER AS points,
+  CASE k % 6 WHEN 1 THEN round(x + bw / 2, 2) WHEN 5 THEN NULL ELSE x END::DOUBLE AS fx,
+  CASE k % 6 WHEN 0 THEN y WHEN 1 THEN round(y + bh / 2 * sin(2 * pi() * 63 / 64), 2) WHEN 2 THEN y + bh WHEN 3 THEN y + bh WHEN 4 THEN y END::DOUBLE AS ly, 'roi-' || roi_id AS source_id FROM shapes""",
+        "slides",
+        "shapes",
+    )
+)
 def shape_specs(spark, sf):
-    kind = F.get(F.array(F.lit("rectangle"), F.lit("point"), F.lit("label")), (F.col("shape_id") % 3).cast("int"))
-    spec = S.shape_spec(kind, F.col("x"), F.col("y"), F.col("bw"), F.col("bh"), F.lit(None).cast("array<struct<x:double,y:double>>"))
-    s = D.shapes(spark, sf).withColumn("s", spec)
-    return s.select("shape_id", "s.kind", F.when(F.col("s").isNotNull(), F.size("s.points")).alias("points"), F.get("s.points", F.lit(0))["x"].alias("fx"), F.concat(F.lit("roi-"), F.col("roi_id")).alias("source_id"))
+    """What a server's shapes say, of all kinds; x, y are an ellipse's centre and w, h its radii."""
+    kind = F.get(F.array(*[F.lit(k) for k in ("rectangle", "ellipse", "polygon", "polyline", "point", "label")]), (F.col("k") % 6).cast("int"))
+    x, y, w, h = (F.col(c).cast("double") for c in ("x", "y", "bw", "bh"))
+    corners = F.array(S.point(x, y), S.point(x + w, y), S.point(x + w, y + h), S.point(x, y + h))
+    points = F.when(F.col("k") % 6 == 2, corners).when(F.col("k") % 6 == 3, F.concat(F.slice(corners, 1, 1), F.slice(corners, 3, 2)))
+    round_ = F.col("k") % 6 == 1
+    s = D.shapes(spark, sf).withColumn("s", S.shape_spec(kind, x, y, F.when(round_, w / 2).otherwise(w), F.when(round_, h / 2).otherwise(h), points))
+    first, last = F.get("s.points", F.lit(0)), F.element_at("s.points", -1)
+    return s.select("shape_id", "s.kind", F.when(F.col("s").isNotNull(), F.size("s.points")).alias("points"), first["x"].alias("fx"), last["y"].alias("ly"), F.concat(F.lit("roi-"), F.col("roi_id")).alias("source_id"))
 
 
 KEPT = """kept AS (SELECT image_id, outcome FROM (
@@ -210,9 +235,7 @@ KEPT = """kept AS (SELECT image_id, outcome FROM (
     )
 )
 def slide_report(spark, sf):
-    every = labelled(spark, sf)
-    kept = T.cap_labels(every.where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'"), 6, "benign", 5, 12, 7)
-    return P.slide_report(every, kept)
+    return P.slide_report(T.cap_flags(labelled(spark, sf), "outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'", 6, "benign", 5, 12, 7))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import erosion as E
 from ..operators import tiles as T
 from . import derived as D
 from .registry import registry
@@ -359,12 +360,16 @@ WINDOWS = """own AS (
 ), spread AS (
   SELECT image_id, folder, excluded, px, py FROM (SELECT *, unnest(range(ay, ey)) AS py FROM (SELECT *, unnest(range(ax, ex)) AS px FROM boxed))
 ), flat AS (SELECT DISTINCT image_id, folder, excluded, px, py FROM spread
+), asked AS (
+  SELECT image_id, folder, excluded, px, py, col, unnest(range(greatest(0, ceil((py - reach) * ads / step))::BIGINT, floor((py + 2) * ads / step)::BIGINT + 1)) AS row FROM (
+    SELECT *, unnest(range(greatest(0, ceil((px - reach) * ads / step))::BIGINT, floor((px + 2) * ads / step)::BIGINT + 1)) AS col FROM (
+      SELECT f.*, ads, 24 * ds AS step, round_even(tile0 / ads, 0)::BIGINT + 2 AS reach FROM flat f JOIN scaled USING (image_id)))
 ), met AS (
   SELECT o.image_id, o.col, o.row, folder, excluded, count(*) FILTER (px >= wx AND px < wx + side AND py >= wy AND py < wy + side) AS n,
     count(*) FILTER (px >= ix AND px < ix + iside AND py >= iy AND py < iy + iside) AS inside,
     any_value((least(wx + side, tw) - greatest(wx, 0)) * (least(wy + side, th) - greatest(wy, 0))) AS area,
     any_value((least(ix + iside, tw) - greatest(ix, 0)) * (least(iy + iside, th) - greatest(iy, 0))) AS inner_area, any_value(r) AS r
-  FROM inner_box o JOIN flat f ON o.image_id = f.image_id AND px >= least(wx, ix) AND px < greatest(wx + side, ix + iside)
+  FROM inner_box o JOIN asked f ON o.image_id = f.image_id AND o.col = f.col AND o.row = f.row AND px >= least(wx, ix) AND px < greatest(wx + side, ix + iside)
     AND py >= least(wy, iy) AND py < greatest(wy + side, iy + iside) GROUP BY ALL
 ), facts AS (
   SELECT image_id, col, row, arg_min(folder, (-(n / area), folder)) FILTER (folder IS NOT NULL AND n > 0 AND n >= 0.5 * area AND (r < 1 OR inside = inner_area)) AS best,
@@ -400,3 +405,84 @@ def labels_overlap_eroded(spark, sf):
 def sample_caps_exact(spark, sf):
     kept = labelled(spark, sf).where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'")
     return T.cap_labels_exact(kept, 6, "benign", 5, None, 7).select("image_id", "col", "row", "outcome")
+
+
+RING_LABELS = LABELLED.replace("FROM pixels", "FROM ring_tiles")
+RING_TILES = "ring_tiles AS (SELECT *, (px // 8)::INTEGER AS col, (py // 8)::INTEGER AS row FROM every_pixel)"
+
+
+@query(
+    D.with_base(
+        "SELECT image_id, col, row, outcome, CASE WHEN outcome = f THEN n / 64 ELSE 0.0 END::DOUBLE AS coverage FROM labelled",
+        "slides", "shapes", "alias", "thumbs", SCALED.format(size=32), GRID.format(size=32, step=32), NAMED, BOXED, D.RING_PIXELS_SQL, RING_TILES, TISSUE, RING_LABELS,
+    )
+)
+def ring_labels(spark, sf):
+    """Labels of tiles by boxes, diamonds and boxes with a hole."""
+    slides = D.slides(spark, sf)
+    tiles = tissue(spark, sf, T.grid(slides, PARAMS))
+    return T.label_tiles(tiles, D.ring_shapes(spark, sf), slides, None, alias(spark), PARAMS).select("image_id", "col", "row", "outcome", "coverage")
+
+
+@query(
+    D.with_base(
+        "SELECT image_id, col, row, arg_min(shape_id, (-n, shape_id)) AS shape_id FROM (SELECT image_id, col, row, shape_id, count(*) AS n FROM "
+        "(SELECT image_id, col, row, px, py, max(shape_id) AS shape_id FROM ring_tiles GROUP BY ALL) GROUP BY ALL) GROUP BY ALL",
+        "slides", "shapes", "alias", SCALED.format(size=32), NAMED, BOXED, D.RING_PIXELS_SQL, RING_TILES,
+    )
+)
+def dominant_ring(spark, sf):
+    return T.dominant_shape(D.ring_shapes(spark, sf), D.slides(spark, sf), PARAMS)
+
+
+@query(
+    D.with_base(
+        """SELECT g.image_id, g.col, g.row FROM grid g WHERE g.image_id IN (SELECT image_id FROM shapes) AND NOT EXISTS (
+  SELECT 1 FROM reached r WHERE r.image_id = g.image_id AND r.col = g.col AND r.row = g.row)""",
+        "slides", "shapes", "alias", SCALED.format(size=32), GRID.format(size=32, step=32), NAMED, BOXED, D.RING_PIXELS_SQL,
+        """reached AS (
+  SELECT DISTINCT image_id, col, row FROM (
+    SELECT *, unnest(range(greatest(0, py - m) // 8, (py + m) // 8 + 1)) AS row FROM (
+      SELECT *, unnest(range(greatest(0, px - m) // 8, (px + m) // 8 + 1)) AS col FROM (
+        SELECT DISTINCT image_id, px, py, CASE WHEN pixel_size > 0 THEN ceil(9 / (pixel_size * ads)) ELSE 0 END::BIGINT AS m FROM every_pixel JOIN scaled USING (image_id))))
+  WHERE pow(greatest(0, col * 8 - px, px - col * 8 - 7), 2) + pow(greatest(0, row * 8 - py, py - row * 8 - 7), 2) <= m * m
+)""",
+    )
+)
+def background_margin_um(spark, sf):
+    """Tiles that keep nine micrometres from every shape of any kind."""
+    slides, shapes = D.slides(spark, sf), D.ring_shapes(spark, sf)
+    near = T.near_tiles(shapes, T.scale(slides, PARAMS), T.TileParams(margin_um=9.0)).distinct()
+    tiles = T.grid(slides, PARAMS).join(shapes.select("image_id").distinct(), "image_id", "left_semi")
+    return tiles.join(near, ["image_id", "col", "row"], "left_anti").select("image_id", "col", "row")
+
+
+#: What a square of s pixels keeps of each class, by windows over pixels; {um} null for half a tile.
+SHRUNK = """sides AS (
+  SELECT image_id, greatest(1, round_even(2 * r, 0))::BIGINT AS s FROM (
+    SELECT image_id, CASE WHEN {um} IS NULL THEN tile0 / 2 / ads ELSE {um} / (pixel_size * ads) END AS r FROM scaled WHERE status = 'ok') WHERE r >= 1
+), union_ AS (SELECT DISTINCT image_id, folder, px, py, s FROM every_pixel JOIN sides USING (image_id) WHERE folder IS NOT NULL
+), along AS (
+  SELECT *, count(*) OVER (PARTITION BY image_id, folder, py ORDER BY px RANGE BETWEEN s // 2 PRECEDING AND s - 1 - s // 2 FOLLOWING) AS n FROM union_
+), down AS (
+  SELECT *, count(*) OVER (PARTITION BY image_id, folder, px ORDER BY py RANGE BETWEEN s // 2 PRECEDING AND s - 1 - s // 2 FOLLOWING) AS k FROM along WHERE n = s
+), left_ AS (SELECT image_id, folder, px, py FROM down WHERE k = s
+), owner AS (SELECT image_id, px, py, max(shape_id) AS shape_id, arg_max(folder, shape_id) AS folder FROM (
+  SELECT image_id, px, py, shape_id, coalesce(folder, '') AS folder FROM every_pixel) GROUP BY ALL
+), ours AS (SELECT * FROM owner JOIN sides USING (image_id) WHERE folder <> '')"""
+SHRUNK_BASE = ("slides", "shapes", "alias", SCALED.replace("0.5 / pixel_size", "0.73 / pixel_size").format(size=36), NAMED, BOXED, D.RING_PIXELS_SQL)
+LOST_SHAPES = "SELECT DISTINCT image_id, shape_id, folder FROM ours WHERE shape_id NOT IN (SELECT o.shape_id FROM ours o JOIN left_ l USING (image_id, folder, px, py))"
+
+
+@query(D.with_base(LOST_SHAPES, *SHRUNK_BASE, SHRUNK.format(um="NULL")))
+def erosion_loss_half_tile(spark, sf):
+    """Shapes of which nothing is left when their class is shrunk by half a tile (an even side)."""
+    p = T.TileParams(mpp=0.73, size=36, erode_um=None)
+    return E.erosion_loss(D.ring_shapes(spark, sf), D.slides(spark, sf), alias(spark), p)
+
+
+@query(D.with_base(LOST_SHAPES, *SHRUNK_BASE, SHRUNK.format(um="9.0::DOUBLE")))
+def erosion_loss_um(spark, sf):
+    """The same by nine micrometres, where sides are odd or even as the slides' scales round."""
+    p = T.TileParams(mpp=0.73, size=36, erode_um=9.0)
+    return E.erosion_loss(D.ring_shapes(spark, sf), D.slides(spark, sf), alias(spark), p)

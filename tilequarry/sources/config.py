@@ -1,4 +1,4 @@
-"""Small configuration files as DataFrames: palettes, label maps and directory rules. They are parsed once, on the driver."""
+"""Palettes, label maps and directory rules as DataFrames: from small files, parsed once on the driver, or from tables of entries."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def parse(text: str, name: str) -> object:
@@ -49,3 +51,22 @@ def directory_rules(spark: SparkSession, groups: dict[str, list[dict]]) -> DataF
     """(group_id, pos, pattern, base, template) of each group's ordered rules; named groups take Java's spelling."""
     rows = [(int(g), i, re.sub(r"\(\?P<", "(?<", r["regex"]), r["base_dir"], r.get("formatted_dir", "")) for g, rules in groups.items() for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, "group_id int, pos int, pattern string, base string, template string")
+
+
+def palette_of(entries: DataFrame) -> DataFrame:
+    """(pos, label, pr, pg, pb) from a table of entries (pos, text, hex, rgb); a later entry of one colour renames it in place, an entry without a colour is an error.
+
+    A palette has at most 2^24 colours, so its numbering is one task's.
+    """
+    digits = F.regexp_extract("hex", "^#?([0-9a-fA-F]{6})$", 1)
+    channel = lambda k: F.coalesce(F.get("rgb", F.lit(k)), F.conv(F.substring(digits, 2 * k + 1, 2), 16, 10).cast("int"))
+    known = F.col("rgb").isNotNull() | (F.length(digits) == 6)
+    r = F.when(F.coalesce(known, F.lit(False)), channel(0)).otherwise(F.raise_error(F.concat(F.lit("an entry needs rgb or hex: "), F.coalesce("text", F.lit("")))))
+    colours = entries.select("pos", "text", r.alias("pr"), channel(1).alias("pg"), channel(2).alias("pb"))
+    held = colours.groupBy("pr", "pg", "pb").agg(F.min("pos").alias("first"), F.max_by("text", "pos").alias("label"))
+    return held.select((F.row_number().over(W.orderBy("first")) - 1).alias("pos"), "label", "pr", "pg", "pb")
+
+
+def label_map_of(entries: DataFrame) -> DataFrame:
+    """(alias, folder) from a table of entries (pos, alias, folder); the first folder that registers an alias has it."""
+    return entries.groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.min_by("folder", "pos").alias("folder"))
