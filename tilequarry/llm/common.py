@@ -106,7 +106,8 @@ def gapless_rank(df: DataFrame, keys: list[str], order: str, buckets: int, name:
     ahead = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_s"))
     inside = spread.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(order)) - 1)
-    return inside.join(starts, [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_s")).cast("long")).drop("_b", "_r", "_s")
+    # One row of starts for each key and bucket; without a key they are as few as the buckets.
+    return inside.join(starts if keys else F.broadcast(starts), [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_s")).cast("long")).drop("_b", "_r", "_s")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ their own: items of 5 and 6 words, where one word may differ, and items of 1 to
 all. Documents make the seeds only of masks that some item asks for. So with the default overlap nothing is
 missed at any length. Null texts and items without words are not searched for.
 
-Words are the runs of non-space characters of the lower-cased text. Rows that share a doc_id, null
-included, are judged together. Texts are searched whole, and a hit carries only the words beside its item,
+Words are the runs of non-space characters of the lower-cased text. Every row is judged by its own text,
+equal texts once, whatever its doc_id, which may be null or repeated. Texts are searched whole, and a hit carries only the words beside its item,
 so a long or repetitive text grows with its hits, not with their number times its length. Extra columns
 are ignored; an empty table on either side gives no contamination. Beyond BROADCAST_ROWS both sides are
 shuffled by seed, where Spark splits the partition of a very frequent seed.
@@ -82,7 +82,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Per contaminated doc_id: n_items (items found in it), item_id and best (the largest overlap)."""
+    """Per contaminated doc_id: n_items (items found in it), item_id and best (the largest overlap). Rows that share a doc_id are taken for one text."""
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     lengths = [r["n"] for r in items.select(F.least(F.size(words()), F.lit(7)).alias("n")).distinct().collect()]  # 8 rows at most
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     sized = hits.join(small(item_words.select("item_id", F.size("_item").alias("n")), n_seeds), "item_id")
     # An item_id with several texts has its alignments for each of their lengths.
     by_doc = sized.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("_hits"))
-    found = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["doc_id"])).select(docs["doc_id"], "text", "_hits")
+    found = docs.join(by_doc, "doc_id").select("doc_id", "text", "_hits")
     # The words are bound once for a document; a hit takes along only those beside its item, not the text.
     first = lambda h: F.greatest(h["shift"], F.lit(0))
     beside = lambda d, h: F.slice(d, first(h).cast("int") + 1, F.greatest(F.lit(0), h["n"] + F.least(h["shift"], F.lit(0))).cast("int"))
@@ -113,9 +113,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Per document: doc_id, contaminated, n_items, item_id (null if clean), best (0 if clean)."""
-    bad = materialize(contamination(docs, benchmark, overlap)).withColumnRenamed("doc_id", "_id")
-    out = docs.select("doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    """Per row: doc_id, contaminated, n_items, item_id (null if clean), best (0 if clean)."""
+    keyed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("_text"))
+    texts = keyed.where("text IS NOT NULL").select(F.col("_text").alias("doc_id"), "text")
+    bad = materialize(contamination(texts, benchmark, overlap)).withColumnRenamed("doc_id", "_text")
+    out = keyed.select("doc_id", "_text").join(bad, "_text", "left")
     return out.select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),

@@ -153,7 +153,8 @@ FROM d LEFT JOIN one USING (rid)
     # Every pair of equal words at most a quarter of the text apart; pairs at one distance that follow each other are a run.
     "op12_periodic_runs": rf"""
 WITH {CRC_TABLE}, d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> ''), []) AS w0,
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> ''), []) AS w0,
     CASE WHEN doc_id IS NOT NULL THEN {crc_sql("doc_id::VARCHAR")} END AS h FROM documents, crc_table
 ), e AS (SELECT *, len(w0)::BIGINT AS n, (h // 10)::BIGINT AS g FROM d
 ), f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM e
@@ -206,20 +207,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id
 """,
     "op10_decontamination": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
-), dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), dw AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
 ), bw AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n FROM b
 ), pairs AS (
-  SELECT doc_id, item_id, dw.pos - bw.pos AS shift, count(*) / any_value(n) AS share
+  SELECT rid, item_id, dw.pos - bw.pos AS shift, count(*) / any_value(n) AS share
   FROM dw JOIN bw USING (word) GROUP BY ALL HAVING count(*) / any_value(n) >= 0.8
-), best AS (SELECT doc_id, item_id, max(share) AS share FROM pairs GROUP BY ALL
+), best AS (SELECT rid, item_id, max(share) AS share FROM pairs GROUP BY ALL
 ), one AS (
-  SELECT doc_id, count(*) AS n_items, arg_min(item_id, (-share, item_id)) AS item_id, max(share) AS best FROM best GROUP BY doc_id
+  SELECT rid, count(*) AS n_items, arg_min(item_id, (-share, item_id)) AS item_id, max(share) AS best FROM best GROUP BY rid
 )
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, item_id::BIGINT AS item_id,
   coalesce(best, 0.0)::DOUBLE AS best
-FROM documents LEFT JOIN one USING (doc_id)
+FROM d LEFT JOIN one USING (rid)
 """,
 }
