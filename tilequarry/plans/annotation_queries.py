@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rings as R
+from ..operators import rules as RU
 from ..operators import tiles as T
 from . import derived as D
 from .registry import registry
@@ -120,6 +121,40 @@ def fs_rule_first_match(spark, sf):
     return first.select("image_id", F.when(F.col("rule").isNull(), None).when(F.col("rule.template").contains("{3}"), F.concat(he, F.lit("/"), F.expr("CASE WHEN rule.template LIKE '%{3}' THEN regexp_extract(image_name, rule.pattern, 3) END"))).otherwise(he).alias("dir"))
 
 
+def rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rules a region of the world, which is a group: a directory that ends with a case's number, then a plain one; group 2 has a base that is not there."""
+    r = D.table(spark, sf, "region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("int").alias("group_id"), F.concat(F.lit("/data/"), "r_name").alias("home"))
+
+    def rule(pos: int, pattern: str, base: Column, template: str, suffix: int | None, names: list[str]) -> DataFrame:
+        groups = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("number")) for k, n in enumerate(names, 1)])
+        return r.select("group_id", F.lit(pos).alias("pos"), F.lit(pattern).alias("pattern"), base.alias("base"), F.lit(template).alias("template"), F.lit(suffix).cast("int").alias("suffix"), groups.alias("groups"))
+
+    case = rule(0, r"N(?<case>\d+)_S(?<slice>\d+)_(?<stain>[A-Z0-9]+)", F.col("home"), "slices/${slice}/${stain}", 1, ["case", "slice", "stain"])
+    return case.unionByName(rule(1, r"(?<kind>[A-Za-z]+)\d*_", F.when(F.col("group_id") == 2, "/gone").otherwise(F.col("home")), "other/${kind}", None, ["kind"]))
+
+
+def rule_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    """The bases, and below them two directories for most case numbers."""
+    r = D.table(spark, sf, "region").where("r_regionkey < 3").selectExpr("concat('/data/', r_name) AS base")
+    cases = D.slides(spark, sf).select(F.regexp_extract("image_name", r"^N(\d+)", 1).alias("n")).where("n <> '' AND n % 5 <> 0").distinct()
+    below = r.join(F.broadcast(cases)).select(F.explode(F.array(F.concat("base", F.lit("/b_"), "n"), F.concat("base", F.lit("/a_"), "n"), F.concat("base", F.lit("/.h"), "n"))).alias("path"))
+    return r.select(F.col("base").alias("path")).unionByName(below)
+
+
+@query(
+    D.with_base(
+        """SELECT image_id, CASE WHEN image_name LIKE 'N%' AND n % 5 <> 0 THEN '/data/' || r_name || '/a_' || n || '/slices/' || regexp_extract(image_name, '_S(\\d+)_', 1) || '/' || regexp_extract(image_name, '_S\\d+_([A-Z0-9]+)', 1)
+  WHEN group_id < 2 THEN '/data/' || r_name || '/other/' || regexp_extract(image_name, '^[A-Za-z]+', 0) END AS dir,
+  CASE WHEN image_name LIKE 'N%' AND n % 5 <> 0 OR group_id < 2 THEN 'found' ELSE 'no_base' END AS status
+FROM (SELECT *, try_cast(regexp_extract(image_name, '^N(\\d+)', 1) AS INTEGER) AS n FROM slides) JOIN region ON r_regionkey = group_id""",
+        "slides",
+    )
+)
+def directory_rules(spark, sf):
+    """Output directories by rules, templates and directories that are rows of tables."""
+    return RU.resolve_directories(D.slides(spark, sf), rule_table(spark, sf), rule_dirs(spark, sf))
+
+
 FILES = """files AS (SELECT image_id, CASE WHEN j % 5 = 0 THEN lower(split_part(image_name, '.', 1)) || '_roi' ELSE lower(split_part(image_name, '.', 1)) END AS stem, 'f' || image_id || '.geojson' AS path FROM slides)"""
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import manifests as M
+from ..operators import samples as SA
+from ..sources.merge import merge_run, read_part
 from ..sources.scratch import fresh_path, materialize
 from ..streaming.manifest import append_stream, read_manifest
 from . import derived as D
@@ -162,3 +164,89 @@ def stream_manifest_append(spark, sf):
         append_stream(stream, f"{base}/manifest", f"{base}/checkpoint{run}", f"run{run}", ["event_id"], ["user_id", "event_type"], ["event_id"])
     rows = read_manifest(spark, f"{base}/manifest", stream.select("event_id", "user_id", "event_type").schema)
     return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+#: Manifest rows of crops: the line's number gives the scale; every eleventh part has a plain file name, every seventh supplier none.
+CROPS = """rows_ AS (
+  SELECT l_orderkey AS image_id, l_partkey % 3 * 64 AS x, l_suppkey % 2 * 64 AS y, l_returnflag AS label, 32 AS size, CASE l_linenumber % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS mpp,
+    l_partkey % 11 = 0 AS plain, l_suppkey % 7 = 0 AS none, CASE WHEN l_partkey % 4 = 0 THEN -1 ELSE l_suppkey END AS roi_id,
+    'N' || l_orderkey || '/' || l_partkey || '_' || l_suppkey || '_' || l_linenumber AS stem,
+    row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem
+), read_ AS (
+  SELECT *, CASE WHEN plain THEN stem || '.png' ELSE stem || '_x' || x || '_y' || y || '_mpp' || mpp || '.png' END AS tile_path FROM rows_ WHERE NOT none
+), first_ AS (
+  SELECT image_id, x, y, label, size, mpp, arg_min(tile_path, pos) AS tile_path, arg_min(roi_id, pos) AS roi_id, count(*) - 1 AS again FROM read_ WHERE NOT plain AND {wanted} GROUP BY ALL
+), places AS (
+  SELECT image_id, x, y, label, size, list({{'mpp': mpp, 'tile_path': tile_path, 'roi_id': roi_id}} ORDER BY mpp) AS crops, sum(again) AS again FROM first_ GROUP BY ALL
+)"""
+
+
+def crop_rows(spark, sf):
+    """The rows as text, and their order."""
+    l = D.table(spark, sf, "lineitem")
+    t = l.selectExpr("*", "cast(l_partkey % 3 * 64 AS string) AS x", "cast(l_suppkey % 2 * 64 AS string) AS y", "CASE l_linenumber % 3 WHEN 0 THEN '0.5' WHEN 1 THEN '1.0' ELSE '2.0' END AS mpp")
+    stem = F.concat(F.lit("N"), "l_orderkey", F.lit("/"), F.concat_ws("_", "l_partkey", "l_suppkey", "l_linenumber"))
+    named = F.concat(stem, F.lit("_x"), "x", F.lit("_y"), "y", F.lit("_mpp"), "mpp", F.lit(".png"))
+    path = F.when(F.expr("l_suppkey % 7 = 0"), "").when(F.expr("l_partkey % 11 = 0"), F.concat(stem, F.lit(".png"))).otherwise(named)
+    roi = F.expr("CASE WHEN l_partkey % 4 = 0 THEN '' ELSE cast(l_suppkey AS string) END")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = t.select(F.col("l_orderkey").cast("string").alias("image_id"), "x", "y", F.col("l_returnflag").alias("label"), F.lit("32").alias("size"), "mpp", roi.alias("roi_id"), path.alias("tile_path"), order.alias("pos"))
+    return rows, F.col("pos")
+
+
+@query(
+    f"WITH {CROPS.format(wanted='mpp IN (0.5, 2)')} SELECT image_id, x, y, label, size::BIGINT AS size, crops[1].roi_id AS roi_id, crops[1].mpp AS mpp, crops[1].tile_path AS image, crops[2].tile_path AS second, "
+    "crops[1].mpp::VARCHAR || '|' || crops[2].mpp::VARCHAR AS scales FROM places WHERE len(crops) = 2"
+)
+def manifest_samples_scaled(spark, sf):
+    """Samples of two scales out of three: plain files and places that lack a crop are left out."""
+    rows, order = crop_rows(spark, sf)
+    s = SA.read_samples(rows, order, scales=[0.5, 2.0])
+    return s.select("image_id", "x", "y", "label", "size", "roi_id", "mpp", "image", F.get("images", F.lit(0)).alias("second"), F.array_join(F.transform("scales", lambda v: v.cast("string")), "|").alias("scales"))
+
+
+def report_sql(name: str, wanted: str, n_scales: int, where: str = "") -> str:
+    conflict = "CASE WHEN places > 0 AND singles > 0 THEN 'single crops beside crops at several scales' WHEN scale_sets > 1 THEN 'places with different scales' END" if not n_scales else "NULL::VARCHAR"
+    left = "CASE WHEN places > 0 AND singles > 0 THEN singles ELSE 0 END" if n_scales > 1 else "0"
+    short = f"count(*) FILTER (len(crops) <> {n_scales})" if n_scales else "0"
+    return f"""SELECT '{name}' AS mode, coords_only, other_classes, singles, places, repeated, incomplete, scale_sets, ({left})::BIGINT AS singles_left_out, {conflict} AS conflict FROM (
+  WITH {CROPS.format(wanted=wanted + where)}
+  SELECT (SELECT count(*) FROM rows_ WHERE none) AS coords_only, (SELECT count(*) FROM rows_ WHERE NOT none AND NOT (true {where})) AS other_classes,
+    (SELECT count(*) FROM read_ WHERE plain AND {wanted} {where}) AS singles, count(*) AS places, coalesce(sum(again), 0)::BIGINT AS repeated, ({short})::BIGINT AS incomplete,
+    count(DISTINCT list_transform(crops, lambda c: c.mpp)) AS scale_sets FROM places)"""
+
+
+@query(" UNION ALL ".join([report_sql("all", "true", 0), report_sql("one", "mpp = 1", 1), report_sql("two", "mpp IN (0.5, 2)", 2), report_sql("class", "mpp IN (0.5, 2)", 2, " AND label = 'R'")]))
+def manifest_sample_report(spark, sf):
+    """What reading the crops leaves out, and what forbids it, for four ways to ask."""
+    rows, order = crop_rows(spark, sf)
+    modes = {"all": {}, "one": {"scales": [1.0]}, "two": {"scales": [0.5, 2.0]}, "class": {"scales": [0.5, 2.0], "classes": ["R"]}}
+    parts = [SA.sample_report(rows, order, **m).select(F.lit(n).alias("mode"), "*") for n, m in modes.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(
+    f"""WITH {BLANK}, shard AS (SELECT *, l_suppkey % 5 = 0 AS bad, l_partkey % 2 AS run_ FROM keyed
+), one AS (SELECT key, arg_min(t, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS t FROM shard WHERE NOT bad AND run_ = 0 GROUP BY key
+), two AS (SELECT key, arg_min(t, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS t FROM shard WHERE NOT bad AND run_ = 1 AND key NOT IN (SELECT key FROM one) GROUP BY key
+), held AS (SELECT key, t, 'r0' AS run FROM one UNION ALL SELECT key, t, 'r1' FROM two)
+SELECT run, 'data' AS part, '' AS reason, count(*) AS n FROM held GROUP BY run
+UNION ALL SELECT 'r' || run_, 'rejected', 'malformed', count(*) FROM shard WHERE bad GROUP BY run_
+UNION ALL SELECT 'r' || run_, 'rejected', 'conflicts with the row that holds the key', count(*) FROM shard s JOIN held h ON s.key = h.key WHERE NOT bad AND s.t <> h.t GROUP BY run_"""
+)
+def manifest_merge_runs(spark, sf):
+    """Two runs merged into a manifest on disk, each of them sent twice: rows appended and rejected by run."""
+    path = F.expr("CASE l_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('p', l_orderkey, '_', l_linenumber % 2) END")
+    rows = D.table(spark, sf, "lineitem").withColumn("path", path)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    columns, fallback = ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]
+    base = fresh_path(spark, "merge")
+    for run in ("r0", "r1", "r0", "r1"):
+        merge_run(rows.where(F.expr(f"l_partkey % 2 = {run[1]}")), base, run, ["path"], columns, order, "l_suppkey % 5 = 0", fallback)
+    schema = rows.select("path", *columns, *fallback).schema
+    data = read_part(spark, base, "data", schema).select("run", F.lit("data").alias("part"), F.lit("").alias("reason"))
+    rejected = read_part(spark, base, "rejected", schema).select("run", F.lit("rejected").alias("part"), "reason")
+    return data.unionByName(rejected).groupBy("run", "part", "reason").agg(F.count(F.lit(1)).alias("n"))

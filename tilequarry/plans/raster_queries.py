@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rasters as R
 from ..operators import tissue as TI
+from ..operators import volumes as V
 from . import derived as D
 from .registry import registry
 
@@ -138,6 +139,44 @@ def affine_flip(spark, sf):
     return p.select("p_partkey", (-F.col("s")).alias("a"), (F.col("o") + F.col("s") * 7).alias("t"))
 
 
+#: A volume for each part: rows and columns along world axes that its key chooses, and in LPS; the reference is plain RAS.
+AFFINES = """v AS (
+  SELECT p_partkey, p_partkey % 3 AS a, (p_partkey + 1 + p_partkey // 3 % 2) % 3 AS b, CASE WHEN p_partkey % 5 < 2 THEN -1.0 ELSE 1.0 END AS sa, CASE WHEN p_partkey % 7 < 3 THEN -1.0 ELSE 1.0 END AS sb,
+    p_size::DOUBLE AS step, p_retailprice AS o, 5 + p_partkey % 4 AS n0, 6 AS n1, 7 AS n2 FROM part
+), d AS (
+  SELECT *, 3 - a - b AS c, (CASE WHEN (b - a + 3) % 3 = 1 THEN 1.0 ELSE -1.0 END) * sa * sb AS sc FROM v
+), m AS (
+  SELECT *, CASE WHEN a < 2 THEN -sa ELSE sa END AS ra, CASE WHEN b < 2 THEN -sb ELSE sb END AS rb, CASE WHEN c < 2 THEN -sc ELSE sc END AS rc FROM d
+), codes AS (
+  SELECT *, substr(['RL', 'AP', 'SI'][a + 1], CASE WHEN ra > 0 THEN 1 ELSE 2 END, 1) AS ca, substr(['RL', 'AP', 'SI'][b + 1], CASE WHEN rb > 0 THEN 1 ELSE 2 END, 1) AS cb,
+    substr(['RL', 'AP', 'SI'][c + 1], CASE WHEN rc > 0 THEN 1 ELSE 2 END, 1) AS cc FROM m
+), turned AS (SELECT *, ca <> 'R' AS fa, cb <> 'A' AS fb, cc <> 'S' AS fc FROM codes)"""
+
+
+def world(i: int) -> str:
+    origin = f"{'-' if i < 2 else ''}(o + {i})"
+    moved = " + ".join(f"CASE WHEN {x} = {i} AND f{x} THEN r{x} * {step} * ({n} - 1) ELSE 0 END" for x, step, n in (("a", "step", "n0"), ("b", "(step + 1)", "n1"), ("c", "2.0", "n2")))
+    return f"({origin} + {moved})::DOUBLE AS o{i}"
+
+
+@query(f"WITH {AFFINES} SELECT p_partkey, ca || cb || cc AS codes, fa::INTEGER || '' || fb::INTEGER || fc::INTEGER AS flips, {', '.join(world(i) for i in range(3))} FROM turned")
+def affine_orientation(spark, sf):
+    """Volumes in LPS brought to RAS and turned to a plain reference: their axes, which of them turn, and the new origins."""
+    p = D.table(spark, sf, "part").selectExpr(
+        "*", "p_partkey % 3 AS a", "(p_partkey + 1 + p_partkey div 3 % 2) % 3 AS b", "CASE WHEN p_partkey % 5 < 2 THEN -1D ELSE 1D END AS sa", "CASE WHEN p_partkey % 7 < 3 THEN -1D ELSE 1D END AS sb", "cast(p_size AS double) AS step"
+    )
+    unit = lambda axis, sign: F.array(*[F.when(F.col(axis) == i, F.col(sign)).otherwise(F.lit(0.0)) for i in range(3)])
+    rows, columns = unit("a", "sa"), unit("b", "sb")
+    origin = F.array(*[F.col("p_retailprice") + i for i in range(3)])
+    own = V.to_ras(V.from_directions(rows, columns, F.col("step"), F.col("step") + 1, V.cross(rows, columns, F.lit(2.0)), origin))
+    plain = F.array(*[F.lit(float(i in (0, 5, 10))) for i in range(12)])
+    lengths = F.array((F.col("p_partkey") % 4 + 5).cast("int"), F.lit(6), F.lit(7))
+    t = p.select("p_partkey", own.alias("m"), lengths.alias("n")).withColumn("f", V.flips(F.col("m"), plain))
+    t = t.withColumn("new", V.flip(F.col("m"), F.col("f"), F.col("n")))
+    marks = F.array_join(F.transform("f", lambda x: x.cast("int").cast("string")), "")
+    return t.select("p_partkey", V.axis_codes(F.col("m")).alias("codes"), marks.alias("flips"), *[(V.entry(F.col("new"), i, 3) + 0.0).alias(f"o{i}") for i in range(3)])
+
+
 @query("SELECT conv_id, round(regr_slope(z, turn), 6) AS step FROM (SELECT conv_id, turn, (turn * 3 + conv_id % 5)::DOUBLE AS z FROM conversations) GROUP BY conv_id HAVING count(DISTINCT turn) > 1")
 def slice_step_fit(spark, sf):
     c = D.table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("double").alias("turn"), (F.col("turn") * 3 + F.col("conv_id") % 5).cast("double").alias("z"))

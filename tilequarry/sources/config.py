@@ -47,10 +47,22 @@ def label_map(spark: SparkSession, folders: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(list(seen.items()), "alias string, folder string")
 
 
+RULES = "group_id int, pos int, pattern string, base string, template string, suffix int, groups array<struct<name:string,number:int>>"
+
+
+def java_pattern(pattern: str) -> tuple[str, list[tuple[str, int]]]:
+    """A pattern with named groups in Java's spelling, and their names and numbers."""
+    return re.sub(r"\(\?P<", "(?<", pattern), sorted(re.compile(pattern).groupindex.items(), key=lambda x: x[1])
+
+
 def directory_rules(spark: SparkSession, groups: dict[str, list[dict]]) -> DataFrame:
-    """(group_id, pos, pattern, base, template) of each group's ordered rules; named groups take Java's spelling."""
-    rows = [(int(g), i, re.sub(r"\(\?P<", "(?<", r["regex"]), r["base_dir"], r.get("formatted_dir", "")) for g, rules in groups.items() for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "group_id int, pos int, pattern string, base string, template string")
+    """Each group's ordered rules (RULES): regex, base_dir, formatted_dir and subject_glob, the named group that a directory's name must end with."""
+    rows = []
+    for g, rules in groups.items():
+        for i, r in enumerate(rules):
+            pattern, names = java_pattern(r["regex"])
+            rows.append((int(g), i, pattern, r["base_dir"], r.get("formatted_dir", ""), dict(names)[r["subject_glob"]] if r.get("subject_glob") else None, names))
+    return spark.createDataFrame(rows, RULES)
 
 
 def palette_of(entries: DataFrame) -> DataFrame:
