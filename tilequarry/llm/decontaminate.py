@@ -37,7 +37,7 @@ SHORT_MASKS = {
     6: (*MASKS, (0, 1, 3, 4)),
 }
 OVERLAP = 0.8
-#: Benchmark rows and seeds up to which that side is broadcast; beyond it Spark shuffles both sides.
+#: Benchmark rows, seeds and hits up to which that side is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
 
 
@@ -92,11 +92,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     hits = seed_rows(docs, "doc_id", masks).join(small(item_seeds, n_seeds), "seed")
     hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits)
+    n_hits = hits.count()
     item_words = items.select("item_id", words().alias("_item"))
     sized = hits.join(small(item_words.select("item_id", F.size("_item").alias("n")), n_seeds), "item_id")
     # An item_id with several texts has its alignments for each of their lengths.
     by_doc = sized.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "n")).alias("_hits"))
-    found = docs.join(by_doc, "doc_id").select("doc_id", "text", "_hits")
+    found = docs.join(small(by_doc, n_hits), "doc_id").select("doc_id", "text", "_hits")
     # The words are bound once for a document; a hit takes along only those beside its item, not the text.
     first = lambda h: F.greatest(h["shift"], F.lit(0))
     beside = lambda d, h: F.slice(d, first(h).cast("int") + 1, F.greatest(F.lit(0), h["n"] + F.least(h["shift"], F.lit(0))).cast("int"))
@@ -117,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
     keyed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("_text"))
     texts = keyed.where("text IS NOT NULL").select(F.col("_text").alias("doc_id"), "text")
     bad = materialize(contamination(texts, benchmark, overlap)).withColumnRenamed("doc_id", "_text")
-    out = keyed.select("doc_id", "_text").join(bad, "_text", "left")
+    out = keyed.select("doc_id", "_text").join(small(bad, bad.count()), "_text", "left")
     return out.select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
