@@ -465,6 +465,52 @@ def test_extraction(spark):
     assert extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+INLINE = [
+    ("<p>Text <span hidden>secret</span> goes on.</p>", "Text goes on."),
+    ('<p>Text <span style="display:none">secret <span>deep</span> more</span> goes on.</p>', "Text goes on."),
+    ('<p>Text <span class="ad">Buy</span> goes on.</p>', "Text goes on."),
+    ('<p>Text.</p><site-menu class="nav"><p>Home</p>Away</site-menu><p>End.</p>', "Text.\n\nEnd."),
+    ("<p>Text.</p><label>Your mail</label><p>End.</p>", "Text.\n\nEnd."),
+    ('<p>Text.</p><div class="article-comment-box"><p>I disagree.</p></div><p>End.</p>', "Text.\n\nEnd."),
+    ('<p>Text.</p><div class="post-footer-note"><p>Filed here.</p></div><p>End.</p>', "Text.\n\nEnd."),
+    ('<p>Text <a class="share-link" href="/x">Share</a> with <a href="/y">link</a>.</p>', "Text with link."),
+    ('<div class="content no-sidebar has-comments"><p>Text.</p></div>', "Text."),
+    ('<p>Text <span hidden>open<p>End <b>bold</b>.</p>', "Text"),
+    ('<p>Text <img class="ad" src="a"> goes <b class="x">on</b>.</p>', "Text goes on."),
+]
+
+
+@pytest.mark.parametrize(("inner", "text"), INLINE)
+def test_inline_parts_and_marked_words(inner, text):
+    assert extract.main_text(f"<html><body><article>{inner}</article></body></html>", None) == text
+
+
+def test_extraction_of_pages_made_with_their_text():
+    """Pages put together from parts of which it is known whether they belong to the article."""
+    rng = random.Random(21)
+    for _ in range(200):
+        html, want = [], []
+        for k in range(rng.randint(1, 8)):
+            words = " ".join(rng.choice(["river", "stone", "a &amp; b", "caf&eacute;", "x<b>y</b>z"]) for _ in range(rng.randint(3, 9)))
+            plain = words.replace("&amp;", "&").replace("&eacute;", "é").replace("<b>", "").replace("</b>", "")
+            kind = rng.randrange(5)
+            noise = rng.choice(['<span hidden>n{}</span>', '<i class="advert">n{}</i>', '<em style="visibility: hidden">n{}<em>m</em></em>', "<script>n{}</script>", "<!-- n{} -->"]).format(k)
+            if kind == 0:
+                html.append(f"<p>{words} {noise} end{k}</p>")
+                want.append(f"{plain} end{k}")
+            elif kind == 1:
+                html.append(f'<ul class="list"><li>{words}</li><li>{noise}item{k}</li></ul>')
+                want += [plain, f"item{k}"]
+            elif kind == 2:
+                html.append(f"<h2>{words}</h2>")
+                want.append(plain)
+            else:
+                tag, mark = rng.choice([("div", 'class="x-comments-y"'), ("nav", ""), ("aside", ""), ("section", 'id="newsletter-box"'), ("div", "hidden"), ("x-menu", 'class="menu"')])
+                html.append(f"<{tag} {mark}><p>{words}</p> loose</{tag}>")
+        page = f"<html><head><title>t</title></head><body><header>top</header><main><article>{''.join(html)}</article></main><footer>f</footer></body></html>"
+        assert extract.main_text(page, None) == "\n\n".join(want)
+
+
 def test_extraction_of_odd_pages(spark):
     """Hidden parts, forms, class words, deep and long pages, repeated and null rows, ids above 2^53 and clashing names."""
     hidden = '<body><div hidden>no</div><div style="color: red; DISPLAY:none">no, not this long text either, for it is hidden</div><p>short article'

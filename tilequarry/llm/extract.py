@@ -9,8 +9,9 @@ host's next paths, at last its own best container, else its body.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments are
 left out by tag, role, class or id wherever they stand, and so is what `hidden` or an inline style hides.
-A class marks such a part by its last word, or by its first one where that names a part of a page; a form
-that holds an article is none. A block is the text between the borders of
+A class marks such a part by its last word, or by its first one where that names a part of a page, and by any word that names
+comments, adverts, a footer or the like; a class that only says that a page has or lacks such a part marks nothing. An inline
+element is left out in the same way, within its block. A form that holds an article is none. A block is the text between the borders of
 block elements; its character references are decoded, its white space runs become one space, and
 blocks are joined by an empty line. Null html and pages without text give an empty text; a null url
 has the host ''. Extra columns are ignored, repeated pages are kept, each with the same text, and count
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_frames, materialize, spread_join
 
-#: Paths that a host hands to its pages, best first.
+#: Paths that a host hands to its pages, best first, unless asked for otherwise.
 PATHS_PER_HOST = 3
 #: Hosts up to which their paths are broadcast.
 BROADCAST_HOSTS = 200_000
@@ -52,7 +53,9 @@ BLOCK = frozenset(
     " table tbody td template tfoot th thead tr ul svg button".split()
 )
 VOID = frozenset({"hr"})
-DROPPED = frozenset("nav header footer aside head noscript template select option button menu dialog svg fieldset legend".split())
+#: Inline elements without an end.
+EMPTY = frozenset("area base br col embed img input link meta param source track wbr".split())
+DROPPED = frozenset("nav header footer aside head noscript template select option button menu dialog svg fieldset legend label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 #: Whole tokens of a class or id that mark what is no part of an article.
 MARKS = frozenset(
@@ -63,17 +66,21 @@ MARKS = frozenset(
 )
 #: Of these, words that mark a part of a page also where they begin a name.
 LEADS = MARKS - frozenset("social legal related skip notice notices alert reply replies respond discussion header subscribe".split())
+#: And words that mark one wherever they stand in a name.
+ANYWHERE = frozenset("comment comments commentlist disqus ad ads advert adverts advertisement advertising sponsored footer breadcrumb breadcrumbs cookie cookies newsletter".split())
+#: Words by which a name only says that a page has such a part, or how it is set up.
+ABOUT = frozenset("no not non has have with without open closed enabled disabled hide".split())
 KEPT = frozenset({"html", "body", "article", "main"})
 HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)")
 
 
 class Node:
-    """An open block element."""
+    """An open block element, or an inline one that is left out; `inside` counts the latter's own and those of its name within it."""
 
-    __slots__ = ("depth", "dropped", "form", "holds", "parent", "path", "score", "tag")
+    __slots__ = ("depth", "dropped", "form", "holds", "inside", "parent", "path", "score", "tag")
 
-    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped, self.score = tag, parent, dropped, 0.0
+    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool, inside: int = 0) -> None:
+        self.tag, self.parent, self.dropped, self.score, self.inside = tag, parent, dropped, 0.0, inside
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{self.depth} {step} {xxhash.xxh64_hexdigest(f'{parent.path}/{step}')}" if parent else ""
         # The outermost form around it, and whether a form holds an article.
@@ -85,8 +92,8 @@ def marked(names: str) -> set[str]:
     found: set[str] = set()
     for name in names.split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
-        if words:
-            found |= MARKS.intersection(words[-1:]) | LEADS.intersection(words[:1])
+        if words and ABOUT.isdisjoint(words):
+            found |= MARKS.intersection(words[-1:]) | LEADS.intersection(words[:1]) | ANYWHERE.intersection(words)
     return found
 
 
@@ -116,8 +123,12 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            if not node.dropped and (text := " ".join("".join(parts).split())):
-                out.append((node, text, min(linked, len(text))))
+            # What is left out never gets here; an inline element's block has the text before it.
+            owner = node
+            while owner.inside:
+                owner = owner.parent
+            if text := " ".join("".join(parts).split()):
+                out.append((owner, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -139,15 +150,17 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
         if not closing and name in RAW:
             close = RAW[name].search(html, pos)
             pos = close.start() if close else size
-        elif name == "a":
+        elif name == "a" and not (node.inside and node.tag == name):
             in_link = 0 if closing else 1
+            if not closing and not node.dropped and describe(name, m[3] or m[6] or "")[1]:
+                node = Node(name, name, node, True, 1)
         elif name == "br":
             parts.append(" ")
         elif name in BLOCK:
             flush()
             if closing:
                 at = node
-                while at.parent and at.tag != name:
+                while at.parent and (at.tag != name or at.inside):
                     at = at.parent
                 if at.parent:
                     node, in_link = at.parent, 0
@@ -160,6 +173,12 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
                     node = Node(name, step, node, dropped or node.dropped)
                     if name in {"article", "main"} and node.form and not node.dropped:
                         node.form.holds = True
+        elif node.inside and node.tag == name:
+            node.inside += -1 if closing else 1
+            if not node.inside:
+                node, in_link = node.parent, 0
+        elif not closing and not node.dropped and name not in EMPTY and describe(name, m[3] or m[6] or "")[1]:
+            node = Node(name, name, node, True, 1)
     flush()
     return [x for x in out if not x[0].form or x[0].form.holds]
 
@@ -216,7 +235,7 @@ def host(url: str = "url") -> Column:
     return F.lower(name)
 
 
-def host_paths(pages: DataFrame) -> DataFrame:
+def host_paths(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
     """(host, paths): the paths that most pages of a host voted for, best first."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,14 +248,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
     cast = map_frames(pages.select(host().alias("host"), "html"), vote, "host string, path string, votes long, score double")
     total = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum(F.floor("score")).alias("score"))
     place = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
-    top = total.withColumn("place", place).where(F.col("place") <= PATHS_PER_HOST)
+    top = total.withColumn("place", place).where(F.col("place") <= paths_per_host)
     return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, paths_per_host: int = PATHS_PER_HOST) -> DataFrame:
     """Per page: page_id, url, text, n_chars, host and paths (what its host agreed on)."""
     pages = pages.select("page_id", "url", "html")
-    agreed = materialize(host_paths(pages))
+    agreed = materialize(host_paths(pages, paths_per_host))
     joined = spread_join(pages.withColumn("host", host()), agreed, "host", agreed.count() <= BROADCAST_HOSTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
