@@ -120,24 +120,52 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     return label
 
 
-def pairs_between(fp: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All (left, right) rows within the radius whose labels differ and whose set sizes n allow SIMILAR."""
+def pairs_between(fp: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (left, right) rows within the radius whose labels differ and whose set sizes n allow SIMILAR, and their distances."""
     step = max(1, BLOCK_CELLS // max(1, len(right)))
     cols = fp[right].T.copy()
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    out_a, out_b, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(0, len(left), step):
         rows = left[i : i + step]
         near = np.bitwise_count(fp[rows, 0][:, None] ^ cols[0][None, :])
         for k in range(1, len(cols)):
             near += np.bitwise_count(fp[rows, k][:, None] ^ cols[k][None, :])
         a, b = np.nonzero(near <= radius)
+        d = near[a, b]
         a, b = rows[a], right[b]
         ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * SIMILAR[1] >= np.maximum(n[a], n[b]) * SIMILAR[0])
         if same:
             ok &= a < b
         out_a.append(a[ok])
         out_b.append(b[ok])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        out_d.append(d[ok])
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
+
+
+def closest_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b) those of a shortest spanning forest of the labels that they join."""
+    low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+    order = np.lexsort((distance, high, low))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    best = order[fresh]  # the closest pair of each two labels
+    best = best[np.argsort(distance[best], kind="stable")]
+    left = len(np.unique(np.concatenate([low, high]))) - 1
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    kept = []
+    for at, x, y in zip(best.tolist(), low[best].tolist(), high[best].tolist(), strict=True):
+        if (x := root(x)) != (y := root(y)):
+            parent[x] = y
+            kept.append(at)
+            if len(kept) == left:
+                break
+    return np.array(kept, np.int64)
 
 
 def tiles(prints: DataFrame, lanes: int, radius: int, extra: tuple[str, ...] = ()) -> DataFrame | None:
@@ -203,18 +231,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, radius: i
     return prints.join(groups, same).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def candidates(sets: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """All pairs (a, b) of ids within the radius whose `label` differs and whose sizes `n` allow SIMILAR."""
+def candidates(sets: DataFrame, lanes: int, radius: int, forest: bool = False, own: bool = False) -> DataFrame:
+    """Pairs (a, b) of ids within the radius whose `label` differs and whose sizes `n` allow SIMILAR.
+
+    All of them; with forest, in each tile the closest that join its labels to a forest; with own, only those of one chunk.
+    """
     names = [f"f{k}" for k in range(lanes)]
     rows = tiles(sets, lanes, radius, ("n", "label"))
     if rows is None:
         return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if own:
+        rows = rows.where("t0 = t1")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf[names].to_numpy(np.int64).view(np.uint64).reshape(len(pdf), lanes)
-        own, ids = pdf["own"].to_numpy(), pdf["id"].to_numpy()
-        left, right = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
-        a, b = pairs_between(fp, pdf["n"].to_numpy(), pdf["label"].to_numpy(), left, right, radius, key[0] == key[1])
+        chunk, ids, label = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["label"].to_numpy()
+        left, right = np.flatnonzero(chunk == key[0]), np.flatnonzero(chunk == key[1])
+        a, b, d = pairs_between(fp, pdf["n"].to_numpy(), label, left, right, radius, key[0] == key[1])
+        if forest and len(a):
+            at = closest_forest(label, a, b, d)
+            a, b = a[at], b[at]
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
     return rows.groupBy("t0", "t1").applyInPandas(run, "a long, b long")
@@ -255,9 +291,10 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int)
 def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: int) -> DataFrame:
     """(key, component): components of the rows whose sets of distinct shingles are SIMILAR.
 
-    Equal sets are one node. Close pairs are tried as a spanning forest first, so that a large group of near
-    copies is mostly joined by few verified links; then every pair within the radius that still lies
-    in two components is verified. Only verified links enter components. Node numbers are 64-bit hashes of sets.
+    Equal sets are one node. Spanning forests are tried first, so that a large group of near copies is joined by few
+    verified links: of close pairs, then of the closest pairs between components within each chunk, then within each
+    tile, components being taken anew each time. Every pair within the radius that still lies in two components
+    is verified last. Only verified links enter components. Node numbers are 64-bit hashes of sets.
     """
     names = [f"f{k}" for k in range(lanes)]
 
@@ -276,10 +313,14 @@ def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: in
     # Any row of an equal set serves as its text.
     sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key)))
     texts = docs.select(key, "text").join(sets.select(key, "id"), key).select("id", "text")
-    first = verified(links(sets, lanes, CLOSE), sets, texts, shingle)
-    label = components(first).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
-    label = materialize(sets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    second = verified(candidates(label, lanes, radius), sets, texts, shingle)
-    comp = components(first.unionByName(second))
+    found = verified(links(sets, lanes, CLOSE), sets, texts, shingle)
+
+    def labelled() -> DataFrame:
+        label = components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
+        return materialize(sets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+
+    for stage in ({"forest": True, "own": True}, {"forest": True}, {}):
+        found = found.unionByName(verified(candidates(labelled(), lanes, radius, **stage), sets, texts, shingle))
+    comp = components(found)
     groups = prints.select(key, "id").join(comp, F.col("id") == F.col("node"), "left")
     return groups.select(key, F.coalesce("component", "id").alias("component"))
