@@ -40,6 +40,10 @@ CHUNKS = 24
 SIMILAR = (4, 5)
 #: Distance up to which `similar_sets` tries a spanning forest before it looks at all pairs.
 CLOSE = 24
+#: Buckets of a set's hashes by whose counts a pair is ruled out.
+COUNTS = 128
+#: Sets in pairs up to which their keys are broadcast to find their texts; beyond it the texts are shuffled.
+BROADCAST_KEYS = 500_000
 #: Bytes of shingle sets that one side of a verifying task holds.
 SET_BYTES = 24 << 20
 #: Rows of one side that are compared with the other side at a time.
@@ -142,6 +146,22 @@ def pairs_between(fp: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.nda
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
 
 
+def counted(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall in each of COUNTS buckets; 255 stands for that many or more."""
+    return np.minimum(np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes()
+
+
+def can_be_similar(counts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs of rows can reach SIMILAR: two sets share at most the smaller count of every bucket."""
+    ok = np.ones(len(a), bool)
+    unknown = (counts == 255).any(axis=1)
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        both = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64)
+        ok[i : i + (1 << 16)] = (both * SIMILAR[1] >= (n[x] + n[y] - both) * SIMILAR[0]) | unknown[x] | unknown[y]
+    return ok
+
+
 def closest_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """Of the pairs (a, b) those of a shortest spanning forest of the labels that they join."""
     low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
@@ -168,7 +188,7 @@ def closest_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np
     return np.array(kept, np.int64)
 
 
-def tiles(prints: DataFrame, lanes: int, radius: int, extra: tuple[str, ...] = ()) -> DataFrame | None:
+def tiles(prints: DataFrame, lanes: int, radius: int, extra: tuple[str, ...] = (), chunks: int = CHUNKS) -> DataFrame | None:
     """Rows of every tile (t0, t1) with the chunk `own` they come from; None without rows."""
     names = [f"f{k}" for k in range(lanes)]
     bits = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
@@ -176,7 +196,7 @@ def tiles(prints: DataFrame, lanes: int, radius: int, extra: tuple[str, ...] = (
     rows = prints.select("id", *names, bits.cast("int").alias("bits"))
     size = {r["bits"]: r["n"] for r in rows.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(size.values())
-    chunk = min(CHUNK_ROWS, max(500, -(-total // CHUNKS)))
+    chunk = min(CHUNK_ROWS, max(500, -(-total // chunks)))
     # Chunks with the bit counts they hold: a large class is cut into several, small neighbours share one.
     first, pieces, spans = {}, {}, []
     held = chunk
@@ -232,12 +252,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, radius: i
 
 
 def candidates(sets: DataFrame, lanes: int, radius: int, forest: bool = False, own: bool = False) -> DataFrame:
-    """Pairs (a, b) of ids within the radius whose `label` differs and whose sizes `n` allow SIMILAR.
+    """Pairs (a, b) of ids within the radius whose `label` differs and whose sizes `n` and `counts` allow SIMILAR.
 
     All of them; with forest, in each tile the closest that join its labels to a forest; with own, only those of one chunk.
     """
     names = [f"f{k}" for k in range(lanes)]
-    rows = tiles(sets, lanes, radius, ("n", "label"))
+    rows = tiles(sets, lanes, radius, ("n", "label", "counts"), CHUNKS // 2)
     if rows is None:
         return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     if own:
@@ -247,7 +267,10 @@ def candidates(sets: DataFrame, lanes: int, radius: int, forest: bool = False, o
         fp = pdf[names].to_numpy(np.int64).view(np.uint64).reshape(len(pdf), lanes)
         chunk, ids, label = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["label"].to_numpy()
         left, right = np.flatnonzero(chunk == key[0]), np.flatnonzero(chunk == key[1])
-        a, b, d = pairs_between(fp, pdf["n"].to_numpy(), label, left, right, radius, key[0] == key[1])
+        n, counts = pdf["n"].to_numpy(), np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(-1, COUNTS)
+        a, b, d = pairs_between(fp, n, label, left, right, radius, key[0] == key[1])
+        ok = can_be_similar(counts, n, a, b)
+        a, b, d = a[ok], b[ok], d[ok]
         if forest and len(a):
             at = closest_forest(label, a, b, d)
             a, b = a[at], b[at]
@@ -256,7 +279,7 @@ def candidates(sets: DataFrame, lanes: int, radius: int, forest: bool = False, o
     return rows.groupBy("t0", "t1").applyInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, shingle: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILAR or more.
 
     Pairs are dealt to cells (bucket of a, bucket of b), and a set goes to the cells where it has a pair, so
@@ -265,7 +288,12 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int)
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     n_pairs = pairs.count()
-    held = ids.join(sets, "id").agg(F.sum("n")).first()[0] or 0
+    # Any row of an equal set serves as its text.
+    asked = materialize(ids.join(sets.select("id", "n", key), "id"))
+    n_sets, held = asked.agg(F.count(F.lit(1)), F.sum("n")).first()
+    held = held or 0
+    keys = asked.select("id", key)
+    texts = docs.select(key, "text").join(F.broadcast(keys) if n_sets <= BROADCAST_KEYS else keys, key).select("id", "text")
     buckets = max(1, -(-held * 8 // SET_BYTES), min(16, int((n_pairs / 5000) ** 0.5)))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,7 +311,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int)
 
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     cells = pairs.withColumn("c0", bucket("a")).withColumn("c1", bucket("b"))
-    packed = materialize(map_frames(texts.join(ids, "id").dropDuplicates(["id"]), pack, "id long, members binary", ("id",)))
+    packed = materialize(map_frames(texts.dropDuplicates(["id"]), pack, "id long, members binary", ("id",)))
     need = cells.select(F.col("a").alias("id"), F.col("c0").alias("d0"), F.col("c1").alias("d1")).union(cells.select("b", "c0", "c1")).distinct()
     return materialize(cells.groupBy("c0", "c1").cogroup(materialize(need).join(packed, "id").groupBy("d0", "d1")).applyInPandas(check, "a long, b long"))
 
@@ -294,7 +322,7 @@ def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: in
     Equal sets are one node. Spanning forests are tried first, so that a large group of near copies is joined by few
     verified links: of close pairs, then of the closest pairs between components within each chunk, then within each
     tile, components being taken anew each time. Every pair within the radius that still lies in two components
-    is verified last. Only verified links enter components. Node numbers are 64-bit hashes of sets.
+    is verified last. Pairs whose sets cannot be similar enough by what falls in COUNTS buckets are never proposed. Only verified links enter components. Node numbers are 64-bit hashes of sets.
     """
     names = [f"f{k}" for k in range(lanes)]
 
@@ -303,24 +331,23 @@ def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: in
             rows = [np.unique(shingles(t, shingle)) for t in pdf["text"]]
             f = np.array([majority(h, lanes) for h in rows], np.uint64).reshape(-1, lanes).view(np.int64)
             out = pd.DataFrame(f, columns=names)
+            out.insert(0, "counts", [counted(h) for h in rows])
             out.insert(0, "n", np.array([len(h) for h in rows], np.int64))
             out.insert(0, "id", np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in rows], np.uint64).view(np.int64))
             out.insert(0, key, pdf[key].array)
             yield out
 
     kind = docs.schema[key].dataType.simpleString()
-    prints = materialize(map_frames(docs.select(key, "text"), run, f"{key} {kind}, id long, n long, " + ", ".join(f"{x} long" for x in names), (key,)))
-    # Any row of an equal set serves as its text.
-    sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key)))
-    texts = docs.select(key, "text").join(sets.select(key, "id"), key).select("id", "text")
-    found = verified(links(sets, lanes, CLOSE), sets, texts, shingle)
+    prints = materialize(map_frames(docs.select(key, "text"), run, f"{key} {kind}, id long, n long, counts binary, " + ", ".join(f"{x} long" for x in names), (key,)))
+    sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key), F.min("counts").alias("counts")))
+    found = verified(links(sets, lanes, CLOSE), sets, docs, key, shingle)
 
     def labelled() -> DataFrame:
         label = components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
         return materialize(sets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
 
     for stage in ({"forest": True, "own": True}, {"forest": True}, {}):
-        found = found.unionByName(verified(candidates(labelled(), lanes, radius, **stage), sets, texts, shingle))
+        found = found.unionByName(verified(candidates(labelled(), lanes, radius, **stage), sets, docs, key, shingle))
     comp = components(found)
     groups = prints.select(key, "id").join(comp, F.col("id") == F.col("node"), "left")
     return groups.select(key, F.coalesce("component", "id").alias("component"))
