@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..operators.graphs import components as components
+from ..sources.scratch import materialize as materialize
+from ..sources.scratch import shared_dir as shared_dir
+
 #: ASCII white space, the only separators between words. bytes.split() splits at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -26,26 +27,6 @@ SALTS = 32
 FRAME_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in a local session without one."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tilequarry-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tilequarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut_batch(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of strings; one row at least."""
     size = np.zeros(batch.num_rows, np.int64)
@@ -110,33 +91,6 @@ def gapless_rank(df: DataFrame, keys: list[str], order: str, buckets: int, name:
     return inside.join(starts if keys else F.broadcast(starts), [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_s")).cast("long")).drop("_b", "_r", "_s")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, component), component the smallest node.
-
-    Alternating large-star and small-star rounds over joins and partial aggregates; each round is
-    cut off in the shared folder. Nodes without an edge do not appear.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = materialize(pairs)
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        small = small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = materialize(small.distinct())
-        changed = pairs.exceptAll(small).limit(1).count() + small.exceptAll(pairs).limit(1).count()
-        pairs = small
-        if not changed:
-            break
-    nodes = pairs.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    roots = nodes.select(F.col("component").alias("node"), "component").distinct()
-    return nodes.unionByName(roots)
-
-
 def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of pairs of 64-bit values."""
     x = a * np.uint64(0x9E3779B97F4A7C15)
