@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import jobs as J
 from ..operators import outlines as O
+from ..sources import files
 from . import derived as D
 from .registry import registry
 
@@ -56,3 +59,73 @@ def shape_outlines(spark, sf):
     o = O.outlines(s, D.slides(spark, sf), 4, 4, text_filter=("gleason 3", "hgpin", "weird label"))
     total = lambda c: F.when(F.size("points") > 0, F.aggregate(F.transform("points", lambda p, i: (i + 1) * p[c]), F.lit(0.0), lambda a, v: a + v))
     return o.select("image_id", "shape_id", "label", F.when(F.col("points").isNotNull(), F.size("points")).alias("points"), total("x").alias("sx"), total("y").alias("sy"), "warning")
+
+
+@query(D.with_base("SELECT image_id, roi_id, arg_min(CASE WHEN k % 3 > 0 THEN r * 65536 + g * 256 + b END, shape_id) FILTER (k % 3 > 0)::INTEGER AS colour FROM shapes GROUP BY ALL", "slides", "shapes"))
+def first_colour(spark, sf):
+    """The first colour that a ROI's shapes give; a third of the shapes have none."""
+    colour = F.when(F.col("k") % 3 > 0, F.col("r") * 65536 + F.col("g") * 256 + F.col("b"))
+    return D.shapes(spark, sf).groupBy("image_id", "roi_id").agg(F.min_by(colour, F.when(colour.isNotNull(), F.col("shape_id"))).alias("colour"))
+
+
+@query(
+    """WITH listed AS (SELECT 'a/d' || page_id % 50 || CASE WHEN page_id % 7 = 0 THEN '/sub' ELSE '' END || '/f' || page_id || CASE page_id % 3 WHEN 0 THEN '.geojson' WHEN 1 THEN '.json' ELSE '.txt' END AS path, page_id FROM pages),
+given AS (SELECT page_id AS pos, CASE page_id % 5 WHEN 0 THEN 'a/d' || page_id % 50 || '/' WHEN 1 THEN path WHEN 2 THEN 'a/none' || page_id WHEN 3 THEN 'a/d' || page_id % 50 || '/sub' ELSE 'a' END AS given FROM listed)
+SELECT pos, given, path, reason, (row_number() OVER (PARTITION BY pos ORDER BY CASE WHEN path LIKE '%.geojson' THEN 0 ELSE 1 END, path))::INTEGER AS place FROM (
+  SELECT pos, given, path, NULL AS reason FROM given JOIN listed ON given = path
+  UNION ALL SELECT pos, given, path, NULL FROM given JOIN listed ON rtrim(given, '/') || '/' || split_part(path, '/', -1) = path WHERE path NOT LIKE '%.txt'
+  UNION ALL SELECT pos, given, NULL, 'no such file or directory' FROM given WHERE NOT EXISTS (FROM listed WHERE path = given OR starts_with(path, rtrim(given, '/') || '/'))
+)"""
+)
+def files_chosen(spark, sf):
+    """Files that names of files and directories stand for, in order."""
+    p = D.table(spark, sf, "pages").select("page_id")
+    path = "concat('a/d', page_id % 50, CASE WHEN page_id % 7 = 0 THEN '/sub' ELSE '' END, '/f', page_id, CASE page_id % 3 WHEN 0 THEN '.geojson' WHEN 1 THEN '.json' ELSE '.txt' END)"
+    given = f"CASE page_id % 5 WHEN 0 THEN concat('a/d', page_id % 50, '/') WHEN 1 THEN {path} WHEN 2 THEN concat('a/none', page_id) WHEN 3 THEN concat('a/d', page_id % 50, '/sub') ELSE 'a' END"
+    c = files.chosen(p.selectExpr("page_id AS pos", f"{given} AS given"), p.selectExpr(f"{path} AS path"))
+    return c.select("pos", "given", "path", "reason", F.row_number().over(W.partitionBy("pos").orderBy("place")).alias("place"))
+
+
+JOBS = """jobs AS (
+  SELECT c_custkey AS k, c_custkey % 4 = 0 AS whole, c_custkey % 4 = 1 AS include_all, c_custkey % 8 IN (2, 5) AS texts, c_custkey % 11 = 0 AS no_background, (c_nationkey - 1) * 8 AS size,
+    CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 200 END AS stride, CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 40 END AS overlap, c_acctbal / 9000 AS cover,
+    CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '0.5, 2,1' WHEN 2 THEN ' 1e1,' WHEN 3 THEN '1,x' WHEN 4 THEN ',' WHEN 5 THEN '1,-2' ELSE '2,2.0' END AS scales,
+    CASE c_custkey % 13 WHEN 1 THEN 'Auto' WHEN 2 THEN '-1' WHEN 3 THEN '12d' WHEN 4 THEN '128' END AS erode, CASE WHEN c_custkey % 17 = 0 THEN 'stroma' END AS background_label
+  FROM customer
+)"""
+
+
+@query(
+    f"""WITH {JOBS}, o AS (SELECT *, CASE WHEN stride IS NOT NULL THEN size - stride ELSE coalesce(overlap, 0) END AS ov FROM jobs), judged AS (SELECT *, CASE
+  WHEN whole AND (include_all OR texts) THEN 'annotations are not read for whole slides'
+  WHEN whole AND (background_label IS NOT NULL OR erode IS NOT NULL OR no_background) THEN 'whole slides have no background'
+  WHEN NOT whole AND include_all AND texts THEN 'all annotations and a list of them'
+  WHEN NOT whole AND NOT include_all AND NOT texts THEN 'no annotations chosen'
+  WHEN no_background AND background_label IS NOT NULL THEN 'a background that is turned off'
+  WHEN size <= 0 THEN 'size is not positive' WHEN stride NOT BETWEEN 1 AND size THEN 'stride is not within the size' WHEN ov < 0 OR ov >= size THEN 'overlap is not below the size'
+  WHEN cover NOT BETWEEN 0 AND 1 THEN 'fraction is not within 0 and 1' WHEN scales = '1,x' THEN 'scale is no number' WHEN scales = ',' THEN 'no scale' WHEN scales = '1,-2' THEN 'scale is not positive'
+  WHEN scales = '2,2.0' THEN 'scale is repeated' WHEN erode = '12d' THEN 'erosion is no number' WHEN erode = '-1' THEN 'erosion is below zero' END AS reason FROM o)
+SELECT k, reason, CASE WHEN reason IS NULL THEN ov END AS overlap_px, CASE WHEN reason IS NULL THEN CASE scales WHEN ' 1e1,' THEN 10.0 ELSE 0.5 END END::DOUBLE AS mpp,
+  CASE WHEN reason IS NULL AND scales = '0.5, 2,1' THEN '0.5|1.0|2.0' END AS scale_list, CASE WHEN reason IS NULL THEN CASE WHEN whole THEN 0.0 WHEN erode = '128' THEN 128.0 END END::DOUBLE AS erode_um,
+  CASE WHEN reason IS NULL AND NOT whole AND NOT no_background THEN coalesce(background_label, 'benign') END AS background FROM judged"""
+)
+def jobs_settled(spark, sf):
+    """Written parameters of a job for each customer: the first rule broken, or what the job will do."""
+    j = D.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS k", "c_custkey % 4 = 0 AS whole", "c_custkey % 4 = 1 AS include_all", "CASE WHEN c_custkey % 8 IN (2, 5) THEN array('g3') END AS texts", "c_custkey % 11 = 0 AS no_background", "(c_nationkey - 1) * 8 AS size",
+        "CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 200 END AS stride", "CASE WHEN c_custkey % 3 = 1 THEN c_custkey % 40 END AS overlap", "c_acctbal / 9000 AS min_coverage", "0.5D AS tissue_thresh",
+        "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '0.5, 2,1' WHEN 2 THEN ' 1e1,' WHEN 3 THEN '1,x' WHEN 4 THEN ',' WHEN 5 THEN '1,-2' ELSE '2,2.0' END AS scales",
+        "CASE c_custkey % 13 WHEN 1 THEN 'Auto' WHEN 2 THEN '-1' WHEN 3 THEN '12d' WHEN 4 THEN '128' END AS erode", "CASE WHEN c_custkey % 17 = 0 THEN 'stroma' END AS background_label",
+    )
+    return J.settled(j).select("k", "reason", "overlap_px", "mpp", F.array_join("values", "|").alias("scale_list"), "erode_um", "background")
+
+
+@query(
+    """SELECT template_id, number, label, algorithm FROM (SELECT p_partkey AS template_id, unnest(range(1, p_partkey % 4 + 1))::INTEGER AS number,
+  CASE WHEN number = 1 THEN 'prostate' WHEN (p_partkey + number) % 2 = 0 THEN 'L' || p_size ELSE 'Segment ' || number END AS label, CASE WHEN number = 2 THEN 'AUTOMATIC' ELSE 'MANUAL' END AS algorithm FROM part)
+UNION ALL SELECT p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey % 4 = 0"""
+)
+def segment_descriptions(spark, sf):
+    """Numbered segments of a template for each part, the first one renamed."""
+    made = F.expr("transform(slice(array(1, 2, 3), 1, cast(p_partkey % 4 AS int)), n -> struct(CASE WHEN (p_partkey + n) % 2 = 0 THEN concat('L', p_size) END AS label, CASE WHEN n = 2 THEN 'AUTOMATIC' END AS algorithm))")
+    return J.segments(D.table(spark, sf, "part").select(F.col("p_partkey").alias("template_id"), made.alias("segments")), "prostate")

@@ -78,3 +78,21 @@ def image_map(lines: DataFrame) -> DataFrame:
     rows = lines.where((F.length(text) > 0) & ~text.startswith("#")).select("line", F.trim(parts[0]).alias("path"), number.alias("image_id"), F.size(parts).alias("_n"))
     good = F.col("image_id").isNotNull() & (F.col("_n") == 2)
     return rows.where(good | (F.col("line") > 1)).select("line", "path", F.when(good, F.col("image_id")).alias("image_id"), F.when(~good, "bad image id").alias("reason"))
+
+
+def chosen(given: DataFrame, listed: DataFrame) -> DataFrame:
+    """(pos, given, path, reason) for given (pos, given): a listed file stands for itself, a directory for the files right inside it, *.geojson before *.json, by name.
+
+    listed: (path) of every file. What is neither has a reason; a directory without such files has no row, if it holds others.
+    """
+    rank = F.when(F.col("path").endswith(".geojson"), 0).when(F.col("path").endswith(".json"), 1)
+    files = listed.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), rank.alias("rank"))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/"))
+    known = files.select("path", F.lit(False).alias("is_dir")).unionByName(listed.select(F.explode(above).alias("path"), F.lit(True).alias("is_dir"))).distinct()
+    named = given.select("pos", "given", F.regexp_replace("given", "(?<=.)/+$", "").alias("at")).join(known.withColumnRenamed("path", "at"), "at", "left")
+    inside = files.where("rank IS NOT NULL").select(F.col("parent").alias("at"), "path", "rank")
+    dirs = named.where("is_dir").join(inside, "at").select("pos", "given", "path", "rank", F.lit(None).cast("string").alias("reason"))
+    plain = named.where("is_dir IS NULL OR NOT is_dir")
+    plain = plain.select("pos", "given", F.when(F.col("is_dir").isNotNull(), F.col("at")).alias("path"), F.lit(0).alias("rank"), F.when(F.col("is_dir").isNull(), "no such file or directory").alias("reason"))
+    place = F.struct("rank", "path").alias("place")
+    return dirs.unionByName(plain).select("pos", "given", "path", "reason", place)
