@@ -80,3 +80,15 @@ def test_empty_and_missing_blocks(spark, rasters):
     assert bytes(B.regions(windows, none, "id", "n", SIDE, 2).first()["data"]) == bytes(9 * 9 * 2)
     dark = B.whole_at(none, extents, "id", SIDE, 2, 2)
     assert dark.count() > 0 and not any(any(bytes(r["data"])) for r in dark.collect())
+
+
+def test_plane_blocks(spark):
+    rows = [(1, [4, 9], [0, 2, 1], [0], 23, 11), (2, [0], [0], [0], 5, 5), (3, [], [0], [0], 5, 5), (4, [0], [0], [0], 0, 5), (5, None, [0], [0], 5, 5)]
+    images = spark.createDataFrame(rows, "id long, zs array<int>, channels array<int>, times array<int>, width long, height long")
+    got = {}
+    for r in B.plane_blocks(images, 10, 10, 4).orderBy("id", "number").collect():
+        got.setdefault(r["id"], []).append(r)
+    want = [(z, c, 0, x, y, min(10, 23 - x), min(10, 11 - y)) for z in (4, 9) for c in (0, 2, 1) for y in (0, 10) for x in (0, 10, 20)]
+    assert sorted(got) == [1, 2]
+    assert [tuple(r[n] for n in ("z", "c", "t", "x", "y", "w", "h")) for r in got[1]] == want
+    assert [r["part"] for r in got[1]] == [i // 9 for i in range(36)] and [r["part"] for r in got[2]] == [0]

@@ -165,3 +165,20 @@ def whole_at(store: DataFrame, extents: DataFrame, key: str, side: int, factor:
     every = sized.withColumn("by", F.explode(F.expr(f"sequence(0, cast((oh - 1) div {side} AS int))"))).withColumn("bx", F.explode(F.expr(f"sequence(0, cast((ow - 1) div {side} AS int))")))
     none = every.select("*", (F.col("by") * side).alias("ya"), (F.col("bx") * side).alias("xa"), F.lit(0).alias("ph"), F.lit(0).alias("pw"), F.unhex(F.lit("")).alias("part"))
     return parts.unionByName(none).groupBy(key, "by", "bx").applyInPandas(gather, BLOCK.format(key=key))
+
+
+def plane_blocks(images: DataFrame, block_w: int, block_h: int, parts: int) -> DataFrame:
+    """Every block of every plane of each image, numbered from 0 by z, channel, time, row and column, and dealt to runs of ceil(n / parts) blocks.
+
+    images: zs, channels, times (arrays of indexes), width and height, and any other columns. Numbers are arithmetic on places, so nothing is sorted
+    or shuffled. Edge blocks are cut at the image; an image without planes or area has no block.
+    """
+    across, down = f"((width + {block_w - 1}) div {block_w})", f"((height + {block_h - 1}) div {block_h})"
+    out = images.where("width > 0 AND height > 0")
+    for name, column in (("zs", "z"), ("channels", "c"), ("times", "t")):
+        out = out.select("*", F.posexplode(name).alias(f"_{column}", column))
+    out = out.withColumn("_y", F.explode(F.expr(f"sequence(0L, {down} - 1)"))).withColumn("_x", F.explode(F.expr(f"sequence(0L, {across} - 1)")))
+    out = out.withColumn("number", F.expr(f"(((_z * size(channels) + _c) * size(times) + _t) * {down} + _y) * {across} + _x"))
+    out = out.withColumn("part", F.expr(f"number div ((size(zs) * size(channels) * size(times) * {down} * {across} + {parts - 1}) div {parts})"))
+    place = {"x": f"_x * {block_w}", "y": f"_y * {block_h}", "w": f"least({block_w}, width - _x * {block_w})", "h": f"least({block_h}, height - _y * {block_h})"}
+    return out.withColumns({n: F.expr(e) for n, e in place.items()}).drop("_z", "_c", "_t", "_y", "_x", "zs", "channels", "times", "width", "height")

@@ -42,6 +42,11 @@ def open_ring(ring: Column) -> Column:
     return F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
 
 
+def drop_repeats(ring: Column) -> Column:
+    """The ring without points that equal the one before them."""
+    return bound(ring, lambda r: F.filter(r, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(r, i - 1))))
+
+
 def signed_area(ring: Column) -> Column:
     """Half the sum over consecutive points; the closing edge counts only if the ring is closed."""
     cross = lambda r: F.transform(r, lambda p, i: p["x"] * F.get(r, i + 1)["y"] - F.get(r, i + 1)["x"] * p["y"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..operators import rings as R
 from . import derived as D
 from .raster_queries import GREY, grey
 from .registry import registry
@@ -101,3 +102,34 @@ def block_store(spark, sf):
     """What is stored of each mosaic, and whether it is a colour image."""
     s = mosaics(spark, sf, False)
     return s.groupBy("raster").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("data")).alias("size"), F.bool_and(B.is_rgb(F.col("bands"))).alias("rgb"))
+
+
+@query(
+    D.with_base(
+        """SELECT image_id, z, c, t, x, y, w, h, number, number // ((count(*) OVER (PARTITION BY image_id) + 4) // 5) AS part FROM (
+  SELECT *, least(256, width0 - x) AS w, least(200, height0 - y) AS h, row_number() OVER (PARTITION BY image_id ORDER BY z, ci, t DESC, y, x) - 1 AS number FROM (
+    SELECT image_id, width0, height0, z, ci, [7, 2][ci] AS c, t, y, unnest(range(0, width0, 256)) AS x FROM (
+      SELECT *, unnest(range(0, height0, 200)) AS y FROM slides, unnest([0, 1, 2]) AS a(z), unnest([1, 2]) AS b(ci), unnest([3, 1]) AS d(t) WHERE z <= j % 3)))""",
+        "slides",
+    )
+)
+def plane_blocks(spark, sf):
+    """Blocks of all planes of each slide in five runs; channels and times in the order they are asked for."""
+    s = D.slides(spark, sf).selectExpr("image_id", "width0 AS width", "height0 AS height", "sequence(0, cast(j % 3 AS int)) AS zs", "array(7, 2) AS channels", "array(3, 1) AS times")
+    return B.plane_blocks(s, 256, 200, 5)
+
+
+@query(
+    D.with_base(
+        "SELECT shape_id, string_agg(px || ',' || py, ' ' ORDER BY i) AS points FROM (SELECT *, lag(px) OVER w AS lx, lag(py) OVER w AS ly FROM ("
+        "SELECT shape_id, i, [x, x, x + k % 2 * bw, x, x][i + 1] AS px, [y, y, y, y, y + k % 3][i + 1] AS py FROM shapes, unnest(range(5)) AS t(i)) WINDOW w AS (PARTITION BY shape_id ORDER BY i)) "
+        "WHERE i = 0 OR px <> lx OR py <> ly GROUP BY ALL",
+        "slides",
+        "shapes",
+    )
+)
+def repeats_dropped(spark, sf):
+    """Points of which some equal the one before."""
+    ring = F.expr("array(struct(x, y), struct(x, y), struct(x + k % 2 * bw AS x, y), struct(x, y), struct(x, y + k % 3 AS y))")
+    text = F.transform(R.drop_repeats(ring), lambda p: F.concat_ws(",", p["x"], p["y"]))
+    return D.shapes(spark, sf).select("shape_id", F.array_join(text, " ").alias("points"))
