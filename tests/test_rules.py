@@ -135,3 +135,11 @@ def test_turned_volumes_keep_places(spark):
     row = d.withColumn("new", V.flip(F.col("r"), F.col("f"), F.col("n"))).withColumn("to", V.flip_voxel(F.col("at"), F.col("f"), F.col("n"))).select("*", V.axis_codes(F.col("r")).alias("codes"), V.transposed(F.col("at")).alias("t")).first()
     place = lambda m, at: [sum(m[4 * i + j] * at[j] for j in range(3)) + m[4 * i + 3] for i in range(3)]
     assert row["codes"] == "ALS" and row["t"] == [3, 2, 1] and place(row["r"], row["at"]) == place(row["new"], row["to"])
+
+
+def test_a_stem_that_many_files_and_images_share(spark):
+    n = 60_000
+    images = spark.range(n).select(F.col("id").alias("image_id"), F.when(F.col("id") == 7, "other_7").otherwise("slide").alias("istem"))
+    files = spark.range(n).select(F.when(F.col("id") == 7, "other_7_roi").otherwise("slide").alias("stem"), F.format_string("f%d", "id").alias("path"))
+    got = {tuple(r) for r in RU.match_names(files, images).groupBy("candidates", "image_id", "status").agg(F.count(F.lit(1))).collect()}
+    assert got == {(n - 1, None, "problem", n - 1), (1, 7, "pair", 1)}

@@ -54,3 +54,22 @@ def resolve_directories(images: DataFrame, rules: DataFrame, dirs: DataFrame, st
     if strict:
         status = F.when(status == "no_base", F.raise_error(F.concat(F.lit("no such base directory: "), F.col("r.base")))).otherwise(status)
     return images.select("image_id").join(first, "image_id", "left").select("image_id", F.col("r.dir").alias("dir"), status.alias("status"))
+
+
+def match_names(files: DataFrame, images: DataFrame) -> DataFrame:
+    """(path, candidates, image_id, status): files (path, stem) paired with the only image (image_id, istem) of their stem.
+
+    A file whose stem no image has goes by stems that begin its own or that its own begins, found by equality of beginnings.
+    Files and images meet as distinct stems with their counts, so the pairs of a stem that many share are never made.
+    """
+    total = [F.sum("n").alias("n"), F.min("m").alias("m")]
+    begin = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
+    held = images.groupBy(F.col("istem").alias("stem")).agg(F.count("image_id").alias("n"), F.min("image_id").alias("m"))
+    asked = files.select("stem").distinct()
+    rest = asked.join(held, "stem", "left_anti")
+    shorter = rest.select(F.col("stem").alias("own"), begin("stem").alias("stem")).join(held, "stem").select(F.col("own").alias("stem"), "n", "m")
+    longer = rest.join(held.select(begin("stem").alias("stem"), "n", "m").groupBy("stem").agg(*total), "stem")
+    found = asked.join(held, "stem").unionByName(shorter).unionByName(longer).groupBy("stem").agg(*total)
+    out = files.join(found, "stem", "left").groupBy("path").agg(*total).withColumn("candidates", F.coalesce("n", F.lit(0)).cast("long"))
+    one = F.col("candidates") == 1
+    return out.select("path", "candidates", F.when(one, F.col("m")).alias("image_id"), F.when(one, "pair").otherwise("problem").alias("status"))

@@ -167,17 +167,10 @@ FILES = """files AS (SELECT image_id, CASE WHEN j % 5 = 0 THEN lower(split_part(
     )
 )
 def name_match_unique(spark, sf):
-    """Files to images by stem; without an equal stem by a stem that begins the other. The prefixes of a stem are looked up by equality."""
+    """Files to images by stem; without an equal stem by a stem that begins the other."""
     images = D.slides(spark, sf).select("image_id", "j", F.lower(F.substring_index("image_name", ".", 1)).alias("istem"))
     files = images.select(F.when(F.expr("j % 5 = 0"), F.concat("istem", F.lit("_roi"))).otherwise(F.col("istem")).alias("stem"), F.format_string("f%d.geojson", "image_id").alias("path"))
-    exact = files.join(images, F.col("stem") == F.col("istem")).select("path", "image_id")
-    rest = files.join(exact.select("path").distinct(), "path", "left_anti")
-    begin = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
-    shorter = rest.select("path", begin("stem").alias("istem")).join(images, "istem").select("path", "image_id")
-    longer = rest.join(images.select("image_id", begin("istem").alias("stem")), "stem").select("path", "image_id")
-    found = exact.unionByName(shorter).unionByName(longer).distinct()
-    out = files.join(found, "path", "left").groupBy("path").agg(F.count("image_id").alias("candidates"), F.min("image_id").alias("m"))
-    return out.select("path", "candidates", F.when(F.col("candidates") == 1, F.col("m")).alias("image_id"), F.when(F.col("candidates") == 1, "pair").otherwise("problem").alias("status"))
+    return RU.match_names(files, images)
 
 
 @query("SELECT o_orderkey AS image_id, arg_max(l_partkey, (size, -pos)) AS source FROM (SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_quantity END AS size, l_partkey * 100000000 + l_suppkey * 1000 + l_linenumber AS pos FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY o_orderkey")
