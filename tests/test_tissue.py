@@ -52,3 +52,12 @@ def test_stained_square_on_glass(spark):
     grey = px.withColumn("s", TI.inverse_grey(F.when(F.col("r") == 180, 40).otherwise(250)))
     assert len(pixels(TI.tissue_mask(grey, "image", "s", 4))) == 400
     assert scratch.release(spark) > 0
+
+
+def test_pixels_that_a_raster_lacks_are_there_unset(spark):
+    rng, h, w = random.Random(5), 24, 130
+    present = {(y, x) for y in range(h) for x in range(w) if y % 5 != 2 or x % 7 != 3}
+    on = {p for p in sorted(present) if rng.random() < 0.4}
+    px = spark.createDataFrame([(1, *p, 0.9 if p in on else 0.1) for p in sorted(present)], "image long, y int, x int, s double")
+    want = {(1, *p) for p in large(closed(on, h, w), 16)}
+    assert pixels(TI.tissue_mask(px, "image", "s")) == want and any((y, x) not in present for _, y, x in want)

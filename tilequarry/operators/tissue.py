@@ -16,6 +16,7 @@ from ..sources.scratch import materialize
 from .erosion import WORD, merged
 from .graphs import components
 from .rasters import otsu
+from .tiles import bits
 
 BINS = 256
 #: A raster whose signal spans less has no tissue.
@@ -44,11 +45,18 @@ def threshold(px: DataFrame, key: str, signal: str) -> DataFrame:
 
 
 def mask_words(px: DataFrame, key: str, signal: str) -> DataFrame:
-    """(key, y, word, c, there): set pixels and pixels there at all, for every word of every row of a raster that is not flat."""
+    """(key, y, word, c, there): set pixels and pixels there at all, for every word of every row of a raster that is not flat.
+
+    A raster is the whole rectangle from (0, 0) to its last row and column; a pixel that px lacks is there, but not set.
+    """
+    limits, none = threshold(px, key, signal), F.lit(0).cast("long")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("x") % WORD).cast("int"))
-    on = px.join(threshold(px, key, signal), key).withColumn("bit", bit)
-    on = on.groupBy(key, "y", F.expr(f"x div {WORD}").alias("word"))
-    return on.agg(F.bit_or(F.when(F.col(signal) > F.col("limit"), F.col("bit")).otherwise(0)).alias("c"), F.bit_or("bit").alias("there"))
+    on = px.join(limits, key).where(F.col(signal) > F.col("limit")).select(key, F.col("y").cast("int").alias("y"), F.expr(f"x div {WORD}").alias("word"), bit.alias("c"), none.alias("there"))
+    sides = px.groupBy(key).agg(F.max("y").cast("int").alias("bottom"), F.max("x").cast("long").alias("right")).join(limits.select(key), key)
+    rows = sides.withColumn("y", F.explode(F.sequence(F.lit(0), "bottom"))).withColumn("word", F.explode(F.sequence(none, F.expr(f"right div {WORD}"))))
+    there = bits(none, F.least(F.lit(WORD), F.col("right") + 1 - F.col("word") * WORD))
+    every = on.unionByName(rows.select(key, "y", "word", none.alias("c"), there.alias("there")))
+    return every.groupBy(key, "y", "word").agg(F.bit_or("c").alias("c"), F.bit_or("there").alias("there"))
 
 
 def close_words(words: DataFrame, key: str) -> DataFrame:
