@@ -1,5 +1,6 @@
 """Tile selection on a hand-made slide: population, rules and the pinned seeded sample."""
 
+import re
 import time
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tilequarry.operators import rings as R
 from tilequarry.operators import tiles as T
+from tilequarry.plans import derived as D
+from tilequarry.plans import suite
 
 PINNED = """benign 56 8 | G3 16 16 | G3 24 16 | G3 32 16 | benign 48 16 | G3 16 24 | G3 32 24 | G3 16 32
 benign 64 32 | G5 40 48 | G5 48 48 | G5 56 48 | benign 16 56 | G5 40 56 | G5 48 56 | G5 56 56 | benign 8 64"""
@@ -123,3 +126,19 @@ def test_background_takes_the_cap_of_labels(spark):
     kept = spark.range(10).selectExpr("1L AS image_id", "cast(id AS int) AS col", "0 AS row", "'benign' AS outcome")
     assert T.cap_labels_exact(kept, 3, "benign", None, None, 7).count() == T.cap_labels(kept, 3, "benign", None, None, 7).count() == 3
     assert T.cap_labels(kept, None, "benign", None, None, 7).count() == 10
+
+
+@pytest.mark.parametrize("name", ["tile_labels_roi", "tile_labels_whole", "ring_labels", "labels_overlap_eroded", "manifest_rows", "concentric_scales", "scale_edge_drop", "background_margin_um", "grid_cells"])
+def test_tiles_are_made_where_their_slide_was_dealt(spark, name):
+    plan = suite.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"Exchange hashpartitioning\([^)]*\bcol#", plan)
+
+
+def test_whole_grids_and_given_tiles_get_the_same_labels(spark):
+    sf, p = "/root/testdata/sf0.001", T.TileParams(mpp=0.73, size=36, overlap=12, erode_um=9.0, margin_um=20.0, tissue_thresh=0.0)
+    slides, shapes = D.slides(spark, sf), D.ring_shapes(spark, sf)
+    alias = spark.createDataFrame([("gleason 3", "G3"), ("hgpin", "HGPIN")], "alias string, folder string")
+    whole = T.label_slides(slides, shapes, alias, p, F.lit(64)).select("image_id", "col", "row", "outcome", "coverage")
+    given = T.label_tiles(T.grid(slides, p).withColumn("tissue_px", F.lit(64)), shapes, slides, None, alias, p).select(*whole.columns)
+    a, b = ({tuple(r) for r in d.collect()} for d in (whole, given))
+    assert a == b and {r[3] for r in a} >= {"G3", "benign", "dropped_unlabeled"}

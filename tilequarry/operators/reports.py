@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 NAMES = {"dropped_no_tissue": "no tissue", "dropped_excluded": "exclusion", "dropped_roi_edge": "edge of a ROI", "dropped_unlabeled": "no label"}
 
 
-def slide_report(flagged: DataFrame) -> DataFrame:
+def slide_report(tiles: DataFrame, kept: DataFrame) -> DataFrame:
     """(image_id, name, kept, available) for each outcome of a slide: its tiles, and those kept after the caps; drops keep none."""
     names = F.coalesce(*[F.when(F.col("outcome") == k, v) for k, v in NAMES.items()], F.col("outcome"))
-    counts = flagged.groupBy("image_id", "outcome").agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("available"))
-    return counts.select("image_id", names.alias("name"), "kept", "available")
+    counts = tiles.groupBy("image_id", "outcome").agg(F.count(F.lit(1)).alias("available"))
+    counts = counts.join(kept.groupBy("image_id", "outcome").agg(F.count(F.lit(1)).alias("kept")), ["image_id", "outcome"], "left")
+    return counts.select("image_id", names.alias("name"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "available")
 
 
 def roi_report(rois: DataFrame, tiles: DataFrame) -> DataFrame:

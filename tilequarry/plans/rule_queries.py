@@ -235,7 +235,8 @@ KEPT = """kept AS (SELECT image_id, outcome FROM (
     )
 )
 def slide_report(spark, sf):
-    return P.slide_report(T.cap_flags(labelled(spark, sf), "outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'", 6, "benign", 5, 12, 7))
+    tiles = labelled(spark, sf)
+    return P.slide_report(tiles, T.cap_labels(tiles.where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'").select("image_id", "col", "row", "outcome"), 6, "benign", 5, 12, 7))
 
 
 @query(
@@ -300,8 +301,7 @@ FROM labelled JOIN slides USING (image_id) WHERE outcome NOT LIKE 'dropped%' AND
     )
 )
 def manifest_rows(spark, sf):
-    kept = labelled(spark, sf).where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'").withColumnRenamed("outcome", "label")
-    names = D.slides(spark, sf).select("image_id", F.regexp_extract("image_name", r"^N\d+", 0).alias("case_id"), F.substring_index("image_name", ".", 1).alias("slide_id"))
+    kept = labelled(spark, sf, "image_name").where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'").withColumnRenamed("outcome", "label")
     none = F.lit(None).cast("long")
-    t = kept.join(names, "image_id").withColumn("roi_id", none).withColumn("shape_id", none)
+    t = kept.withColumn("case_id", F.regexp_extract("image_name", r"^N\d+", 0)).withColumn("slide_id", F.substring_index("image_name", ".", 1)).withColumn("roi_id", none).withColumn("shape_id", none)
     return C.manifest_rows(t, 32, F.lit(0.5), F.lit(0), F.lit("local"))
