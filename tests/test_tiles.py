@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilequarry.operators import rings as R
+from tilequarry.operators import shapes as S
 from tilequarry.operators import tiles as T
 from tilequarry.plans import derived as D
 from tilequarry.plans import suite
@@ -142,3 +143,13 @@ def test_whole_grids_and_given_tiles_get_the_same_labels(spark):
     given = T.label_tiles(T.grid(slides, p).withColumn("tissue_px", F.lit(64)), shapes, slides, None, alias, p).select(*whole.columns)
     a, b = ({tuple(r) for r in d.collect()} for d in (whole, given))
     assert a == b and {r[3] for r in a} >= {"G3", "benign", "dropped_unlabeled"}
+
+
+def test_pixels_are_settled_by_rows(spark):
+    rows = [(1, 3, -20, 5, 7), (1, 3, 2, 40, 9), (1, 3, 30, 30, 11), (1, 4, 0, 1, 2)]
+    got = S.row_owners(spark.createDataFrame(rows, "image_id long, y long, x_from long, x_to long, v long"), "v", 3)
+    want = {(1, 3, x): 7 for x in range(-20, 2)} | {(1, 3, x): 9 for x in range(2, 40)} | {(1, 4, 0): 2}
+    assert {tuple(r)[:3]: r["v"] for r in got.collect()} == want
+    for name in ("polygon_fill", "mask_rgb"):
+        plan = suite.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*\bx#", plan)

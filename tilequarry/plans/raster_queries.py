@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rasters as R
+from ..operators import shapes as S
+from ..operators import tiles as T
 from ..operators import tissue as TI
 from ..operators import volumes as V
 from . import derived as D
@@ -107,9 +109,9 @@ def components_filter(spark, sf):
 @query(D.with_base("SELECT image_id, y, x, max(shape_id) AS shape_id FROM (SELECT image_id, shape_id, y, unnest(range(x // 16, (x + bw) // 16)) AS x FROM (SELECT image_id, shape_id, x, bw, unnest(range(y // 16, (y + bh) // 16)) AS y FROM shapes)) GROUP BY ALL", "slides", "shapes"))
 def polygon_fill(spark, sf):
     """Boxes as pixels at a sixteenth; the later shape owns a shared pixel."""
-    s = D.shapes(spark, sf).selectExpr("image_id", "shape_id", "x", "bw", "explode(sequence(y div 16, (y + bh) div 16 - 1)) AS py")
-    s = s.selectExpr("image_id", "shape_id", "py AS y", "explode(sequence(x div 16, (x + bw) div 16 - 1)) AS x")
-    return s.groupBy("image_id", "y", "x").agg(F.max("shape_id").alias("shape_id"))
+    shapes = D.shapes(spark, sf)
+    s = shapes.selectExpr("image_id", "shape_id", "explode(sequence(y div 16, (y + bh) div 16 - 1)) AS y", "x div 16 AS x_from", "(x + bw) div 16 AS x_to")
+    return S.row_owners(s, "shape_id", T.tasks_of(shapes))
 
 
 @query(D.with_base("SELECT image_id, v, count(*) AS pixels FROM (SELECT image_id, y, x, arg_max(v, shape_id) AS v FROM (SELECT image_id, shape_id, v, y, unnest(range(x // 16, (x + bw) // 16)) AS x FROM (SELECT image_id, shape_id, x, bw, unnest(range(y // 16, (y + bh) // 16)) AS y, CASE text WHEN 'Gleason 3' THEN 1 WHEN 'g4 cg' THEN 2 ELSE 3 END AS v FROM shapes WHERE text IN ('Gleason 3', 'g4 cg', 'hgpin'))) GROUP BY ALL) GROUP BY ALL", "slides", "shapes"))

@@ -176,8 +176,11 @@ def ring_fill(spark, sf):
 )
 def mask_rgb(spark, sf):
     """Colours of a mask as pixel counts; the later shape owns a shared pixel, and what no shape has stays white."""
-    m = S.last_writer(S.fill(rings(spark, sf), "ring", "image_id", "shape_id", "r", "g", "b"), "shape_id", "r", "g", "b")
-    return m.groupBy("image_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("pixels"))
+    shapes = rings(spark, sf)
+    # The colour rides below the shape's number in one whole number, so that the greatest is the later shape's.
+    spans = shapes.select("image_id", (F.col("shape_id") * (1 << 24) + F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("code"), F.explode(S.ring_spans(F.col("ring"))).alias("s")).select("image_id", "code", "s.*")
+    m = S.row_owners(spans, "code", T.tasks_of(shapes)).groupBy("image_id", F.expr("code & 16777215").alias("c")).agg(F.count(F.lit(1)).alias("pixels"))
+    return m.select("image_id", *[F.expr(f"cast(shiftright(c, {n}) & 255 AS int)").alias(k) for k, n in (("r", 16), ("g", 8), ("b", 0))], "pixels")
 
 
 @query(D.with_base("SELECT image_id, shape_id FROM shapes WHERE shape_id IN (SELECT shape_id FROM filled)", "slides", "shapes", RINGS))
