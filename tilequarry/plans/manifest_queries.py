@@ -219,13 +219,8 @@ def report_sql(name: str, wanted: str, n_scales: int, where: str = "") -> str:
 @query(" UNION ALL ".join([report_sql("all", "true", 0), report_sql("one", "mpp = 1", 1), report_sql("two", "mpp IN (0.5, 2)", 2), report_sql("class", "mpp IN (0.5, 2)", 2, " AND label = 'R'")]))
 def manifest_sample_report(spark, sf):
     """What reading the crops leaves out, and what forbids it, for four ways to ask."""
-    rows, order = crop_rows(spark, sf)
-    modes = {"all": {}, "one": {"scales": [1.0]}, "two": {"scales": [0.5, 2.0]}, "class": {"scales": [0.5, 2.0], "classes": ["R"]}}
-    parts = [SA.sample_report(rows, order, **m).select(F.lit(n).alias("mode"), "*") for n, m in modes.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows, _ = crop_rows(spark, sf)
+    return SA.sample_reports(rows, {"all": (None, None), "one": ([1.0], None), "two": ([0.5, 2.0], None), "class": ([0.5, 2.0], ["R"])})
 
 
 @query(
