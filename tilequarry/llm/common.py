@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..operators.graphs import components as components
+from ..sources.scratch import discard as discard
 from ..sources.scratch import materialize as materialize
 from ..sources.scratch import shared_dir as shared_dir
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, materialize, mix64
+from .common import discard, map_frames, materialize, mix64
 
 WIDTH = 200
 GRAM = 64
@@ -200,11 +200,15 @@ def windows(ctx: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(rk, th, spans): byte ranges [from, to) of each document that repeated windows cover."""
+    """(rk, th, spans): byte ranges [from, to) of each document that repeated windows cover; a stored table.
+
+    Tables are deleted as soon as what is made of them is stored, so that the disk holds one step's at a time.
+    """
     # Counts are written before they are joined: a join of two shuffles can be split where an anchor is very frequent.
     every = materialize(all_runs(docs))
     again = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     kept = materialize(every.join(again, "anchor"))
+    discard(every, again)
     place = F.struct("rk", "th", "lo")
     kinds = kept.groupBy("anchor", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.min("nw").alias("nw"), F.min("rel").alias("rel"))
     kinds = materialize(kinds)
@@ -235,7 +239,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     together = spans.unionByName(block_spans).unionByName(window_spans)
     # Equal rows share a key and bring the same spans; a set holds them once.
-    return together.groupBy("rk", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    out = materialize(together.groupBy("rk", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
+    discard(kept, kinds, is_open, ctx, hulls, window)
+    return out
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -251,7 +257,7 @@ def merged(spans) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, columns, text (what is left), n_bytes, n_removed, n_spans, kept_sha256."""
     docs = keyed(docs.select("doc_id", "text", *columns))
-    spans = materialize(repeated_spans(docs)).withColumnRenamed("rk", "_rk").withColumnRenamed("th", "_th")
+    spans = repeated_spans(docs).withColumnRenamed("rk", "_rk").withColumnRenamed("th", "_th")
     joined = docs.join(spans, (F.col("rk") == F.col("_rk")) & (F.col("th") == F.col("_th")), "left")
     joined = joined.select("doc_id", *columns, "text", "spans")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +35,28 @@ def materialize(df: DataFrame) -> DataFrame:
     path = fresh_path(spark)
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a table of this process."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` gave and that nothing reads any more; what was made of them must have been stored."""
+    for t in tables:
+        path = _path_of.pop(t)
+        _written.remove(path)
+        delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete what `materialize` wrote in this process; results that still read from it must have been stored. The number of tables."""
-    conf, n = spark._jsc.hadoopConfiguration(), 0
+    n = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += delete(spark, _written.pop())
     return n
