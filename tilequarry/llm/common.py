@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -26,6 +26,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SALTS = 32
 #: Bytes of text that a batch of `map_frames` holds; a longer text is a batch of its own.
 FRAME_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, which both sides hold; Spark's default is 64 MB.
+ARROW_BYTES = 4 << 20
 
 
 def cut_batch(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -43,11 +45,21 @@ def cut_batch(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
-def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType, exact: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """mapInPandas with small batches, in which the columns `exact` stay Arrow arrays.
+def small_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to ARROW_BYTES, unless it has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
+def map_frames(
+    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType, exact: tuple[str, ...] = ("doc_id",), most: int = FRAME_BYTES
+) -> DataFrame:
+    """mapInPandas with batches of about `most` bytes of strings, in which the columns `exact` stay Arrow arrays.
 
     A 64-bit id beside a null would otherwise pass through a float and lose its last digits.
     """
+    small_batches(df.sparkSession)
     fields = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def frame(batch: pa.RecordBatch) -> pd.DataFrame:
@@ -55,7 +67,7 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         return pd.DataFrame(held)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in run(frame(part) for batch in batches for part in cut_batch(batch, FRAME_BYTES)):
+        for out in run(frame(part) for batch in batches for part in cut_batch(batch, most)):
             yield from pa.Table.from_pandas(out, schema=fields, preserve_index=False).to_batches()
 
     return df.mapInArrow(frames, schema)

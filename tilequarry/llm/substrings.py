@@ -45,6 +45,10 @@ SPAN = WIDTH - GRAM + 1
 WINDOW_AT = (0, 64, 128, WIDTH - GRAM)
 CORE_AT = (0, 64, WIDTH - BLOCK + 1 - GRAM)
 HULL_AT = (0, 64, 128, WIDTH + BLOCK - 1 - GRAM)
+#: Bytes of contexts that a batch holds; bucket identifiers and what they are mixed from take some 50 times that.
+CONTEXT_BYTES = 256 << 10
+#: Windows whose least buckets are looked for at a time.
+LEAST_ROWS = 2_000
 
 
 def buckets(raw: bytes) -> np.ndarray:
@@ -73,9 +77,9 @@ def rightmost_least(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each window start the rightmost position of its least bucket."""
     out = np.empty(len(at), np.int64)
     back = np.arange(SPAN - 1, -1, -1)
-    for i in range(0, len(at), 20_000):
-        part = at[i : i + 20_000]
-        out[i : i + 20_000] = part + (SPAN - 1) - np.argmin(x[part[:, None] + back], axis=1)
+    for i in range(0, len(at), LEAST_ROWS):
+        part = at[i : i + LEAST_ROWS]
+        out[i : i + LEAST_ROWS] = part + (SPAN - 1) - np.argmin(x[part[:, None] + back], axis=1)
     return out
 
 
@@ -149,7 +153,7 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     schema = "rk long, th long, lo int, nw int, rel int, anchor long, weight int, bytes binary"
     # Copies with equal rk and th would give the same context again; one of them is enough.
-    return one.mapInPandas(run, schema).dropDuplicates(["rk", "th", "lo"])
+    return map_frames(one, run, schema, ()).dropDuplicates(["rk", "th", "lo"])
 
 
 def joined_bytes(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +183,8 @@ def blocks(ctx: DataFrame) -> DataFrame:
             out = pdf[["rk", "th", "lo", "anchor", "weight"]].iloc[row].reset_index(drop=True)
             yield out.assign(blk=blk, start=lo[row] + a, cnt=b - a + 1, core=core.view(np.int64), hull=hull.view(np.int64), whole=whole)
 
-    return ctx.mapInPandas(run, "rk long, th long, lo int, anchor long, weight int, blk int, start int, cnt int, core long, hull long, whole boolean")
+    schema = "rk long, th long, lo int, anchor long, weight int, blk int, start int, cnt int, core long, hull long, whole boolean"
+    return map_frames(ctx, run, schema, (), CONTEXT_BYTES)
 
 
 def windows(ctx: DataFrame, requests: DataFrame) -> DataFrame:
@@ -196,7 +201,7 @@ def windows(ctx: DataFrame, requests: DataFrame) -> DataFrame:
             yield out.assign(start=start, name=names(x, at, WINDOW_AT).view(np.int64))
 
     both = ctx.select("rk", "th", "lo", "anchor", "bytes").join(requests, ["rk", "th", "lo"])
-    return both.mapInPandas(run, "rk long, th long, w int, anchor long, start int, name long")
+    return map_frames(both, run, "rk long, th long, w int, anchor long, start int, name long", (), CONTEXT_BYTES)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
