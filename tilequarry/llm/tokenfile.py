@@ -48,7 +48,10 @@ SLOT_BITS = 11
 #: Shares of an id's coding: orders 2, 1 and 0, then the class of its rank in order 0. With 17 bits for the place in a
 #: class these make 38 bits, and a range has 39 at least. A frame may hold 2 ** RANK_BITS distinct ids.
 ONE, CLASS_ONE, RANK_BITS = 1 << 10, 1 << 11, 18
+#: Words, and pre-tokens, that one of two caches holds.
 CACHE_WORDS = 300_000
+#: Stands between the ids of words; no id below 2 ** 16 has these bytes, nor have two of them where they meet.
+LINE = b"\xff\xff\xff\xff"
 
 U = np.uint64
 #: The coder's digits are 16 bits wide: the leading one is settled, or the range is cut to settle it.
@@ -66,9 +69,11 @@ CLASS_LAST = (U(1) << CLASS_WIDTH_BITS) - U(1)
 CLASS_OF = np.searchsorted(CLASS_START, np.arange(1 << RANK_BITS), "right") - 1
 #: Cumulative shares: equal ones at the start, and for each class those that give it all but a little for every other.
 N_CLASSES = len(CLASS_START)
-START_CLASSES = (np.arange(N_CLASSES + 1) * CLASS_ONE // N_CLASSES).astype(np.int32)
+START_CLASSES = (np.arange(N_CLASSES + 1) * CLASS_ONE // N_CLASSES).astype(np.int16)
 LEAST_SHARE = 4
-CLASS_GOALS = np.array([[LEAST_SHARE * j + (CLASS_ONE - LEAST_SHARE * N_CLASSES) * (j > k) for j in range(N_CLASSES + 1)] for k in range(N_CLASSES)], np.int32)
+#: A lane's shares as one value, which is copied whole.
+CLASS_ROW = f"V{START_CLASSES.nbytes}"
+CLASS_GOALS = np.array([[LEAST_SHARE * j + (CLASS_ONE - LEAST_SHARE * N_CLASSES) * (j > k) for j in range(N_CLASSES + 1)] for k in range(N_CLASSES)], np.int16)
 
 
 class Model:
@@ -82,6 +87,7 @@ class Model:
         self.weight_base = np.arange(lanes)
         self.lanes = lanes
         self.classes = np.repeat(START_CLASSES[None], lanes, axis=0)
+        self.class_rows = self.classes.view(CLASS_ROW).ravel()
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> None:
@@ -112,7 +118,11 @@ class Model:
         self.last[:n] = ids
 
     def learn_classes(self, rows: np.ndarray, own: np.ndarray, kind: np.ndarray) -> None:
-        self.classes[rows] = own + (CLASS_GOALS[kind] - own >> 5)
+        new = CLASS_GOALS.take(kind, axis=0)
+        new -= own
+        new >>= 5
+        new += own
+        self.class_rows[rows] = new.view(CLASS_ROW).ravel()
 
 
 def lanes_of(ids: np.ndarray) -> tuple[np.ndarray, int]:
@@ -237,8 +247,8 @@ def decode_blocks(payload: list[bytes], total: int, distinct: int) -> np.ndarray
             unit = size[rows] >> CLASS_BITS
             own_low = low[rows]
             ahead = code[rows] - own_low
-            value = np.minimum(ahead // unit, U(CLASS_ONE - 1)).astype(np.int32)
-            kind = (own[:, 1:-1] <= value[:, None]).sum(axis=1)
+            value = np.minimum(ahead // unit, U(CLASS_ONE - 1)).astype(np.int16)
+            kind = (own[:, 1:-1] <= value[:, None]).view(np.int8).sum(axis=1, dtype=np.int8).astype(np.int64)
             at = lane[: len(rows)] * (N_CLASSES + 1) + kind
             start = own.take(at)
             skipped = unit * start.astype(U)
@@ -302,6 +312,16 @@ def read_frame(frame: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
     return [None if z else int(k) for k, z in zip(keys, null, strict=True)], lengths.tolist(), ids
 
 
+def byte_signs() -> dict[int, str]:
+    """The signs by which byte-level models know the UTF-8 bytes of each Latin-1 letter."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+BYTE_SIGNS = byte_signs()
+
+
 class Tokens:
     """Encodes texts word by word with a tokenizer that never joins across ASCII white space.
 
@@ -312,29 +332,37 @@ class Tokens:
 
     #: Words that may be cut; "<" could begin a special token.
     PLAIN = re.compile(r"[!-;=-~À-ÿ]+")
+    PLAIN_LINES = re.compile(r"[!-;=-~À-ÿ\n]+")
     PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+|\n")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         self.cuts = self.splits_alike()
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old_known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": LINE}
+        self.old_parts: dict[str, bytes] = {}
 
     def splits_alike(self) -> bool:
         """Whether this tokenizer cuts and ends words as `PRE_TOKEN` does; if not, no word is cut."""
         steps, normalizer = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
         sample = "".join(map(chr, [*range(0x21, 0x3C), *range(0x3D, 0x7F), *range(0xC0, 0x100)])) + " don't we'll i'd 3x+1 a'b 'sa ''s"
         low = sample.lower()
-        if steps is None or normalizer is None or normalizer.normalize_str(sample) != low:
+        if steps is None or normalizer is None or len(self.ends) > 1 << 16 or normalizer.normalize_str(sample) != low:
             return False
         if [low[a:b] for _, (a, b) in steps.pre_tokenize_str(low)] != self.PRE_TOKEN.findall(low):
             return False
         found = list(dict.fromkeys(self.PRE_TOKEN.findall(low)))
+        if self.joined_ids(found).tolist() != self.tokenizer.encode_batch_fast([" ".join(found)], add_special_tokens=False)[0].ids:
+            return False
         return all(self.ends[e.ids].tolist() == [False] * (len(e.ids) - 1) + [True] for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False))
 
     def ids_of(self, words: list[str]) -> list[bytes]:
@@ -344,36 +372,53 @@ class Tokens:
             out += [np.array(e.ids, "<i4").tobytes() for e in got]
         return out
 
+    def joined_ids(self, parts: list[str]) -> np.ndarray:
+        """The ids of pre-tokens by the tokenizer's model, which takes the bytes of a letter as signs of their own."""
+        return np.array(self.model.encode_batch_fast([" ".join(parts).translate(BYTE_SIGNS)], add_special_tokens=False)[0].ids, "<i4")
+
     def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [bool(self.cuts and self.PLAIN.fullmatch(t)) for t in texts]
-        odd = [w for w, p in zip(words, plain, strict=True) if not p]
-        self.known.update(zip(odd, self.ids_of([w.decode() for w in odd]), strict=True))
-        whole = list(compress(words, plain))
-        if not whole:
+        text = b"\n".join(words).decode()
+        if not (self.cuts and self.PLAIN_LINES.fullmatch(text)):
+            plain = [bool(self.cuts and self.PLAIN.fullmatch(w)) for w in text.split("\n")]
+            odd = [w for w, p in zip(words, plain, strict=True) if not p]
+            self.known.update(zip(odd, self.ids_of([w.decode() for w in odd]), strict=True))
+            words = list(compress(words, plain))
+            text = b"\n".join(words).decode()
+        if not words:
             return
-        found = self.PRE_TOKEN.findall("\n".join(compress(texts, plain)).lower())
-        new = [p for p in set(found) if p not in self.parts and p != "\n"]
+        found = self.PRE_TOKEN.findall(text.lower())
+        new = self.unknown(set(found), self.parts, self.old_parts)
         for i in range(0, len(new), 5_000):
             part = new[i : i + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            ids = self.joined_ids(part)
             stops = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             self.parts.update(zip(part, [raw[a:b] for a, b in pairwise(stops)], strict=True))
-        at = 0
-        for w in whole:
-            stop = found.index("\n", at) if at < len(found) and w is not whole[-1] else len(found)
-            self.known[w] = b"".join([self.parts[p] for p in found[at:stop]]) if stop - at > 1 else self.parts[found[at]]
-            at = stop + 1
+        self.known.update(zip(words, b"".join(map(self.parts.__getitem__, found)).split(LINE), strict=True))
+
+    @staticmethod
+    def unknown(keys: set, fresh: dict, old: dict) -> list:
+        """The keys that neither cache holds; those of the old one are put into the fresh one."""
+        out = []
+        for k in keys:
+            if k not in fresh:
+                if (got := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    fresh[k] = got
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
+        # What a full cache held is kept until the next one is full, so that frequent words are not learnt again.
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.old_known = {}, self.known
         if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        self.learn([w for w in set(chain.from_iterable(split)) if w not in self.known])
-        return [b"".join([self.known[w] for w in words]) for words in split]
+            self.parts, self.old_parts = {"\n": LINE}, self.parts
+        if new := self.unknown(set(chain.from_iterable(split)), self.known, self.old_known):
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @cache
