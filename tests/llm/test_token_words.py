@@ -105,3 +105,15 @@ def test_damaged_lists():
         with pytest.raises(ValueError):
             tokenfile.read_frame(bytes(bad))
     assert tokenfile.read_frame(tokenfile.write_frame([5], [0], np.zeros(0, np.int32)))[:2] == ([5], [0])
+
+
+@pytest.mark.parametrize("words, symbols", [(3, 1 << 19), (1 << 18, 49_408 + 2), (1 << 18, 60_000)])
+def test_words_beyond_the_most_are_spelled(monkeypatch, words, symbols):
+    """A frame has room for few words as symbols, or for few symbols beside the single ids: the rest is spelled, none refused."""
+    monkeypatch.setattr(tokenfile, "MOST_WORDS", words)
+    monkeypatch.setattr(tokenfile, "MOST_SYMBOLS", symbols)
+    w, r = tokenfile.Words(tokenfile.Tokens(P.path("word_bpe_49k.json"))), random.Random(2)
+    some = ["".join(r.choice("qxzjkw") for _ in range(12)) for _ in range(200)]
+    text = " ".join(x for i, x in enumerate(some) for _ in range(2 + i % 3))
+    ((data, _),) = frames_of([text], w)
+    assert tokenfile.read_frame(data)[2].tolist() == [*w.t.tokenizer.encode(text, add_special_tokens=False).ids, 2]

@@ -300,9 +300,9 @@ def write_frame(doc_ids: list[int | None], lengths: list[int], words: np.ndarray
     # A word of several ids that comes again is a symbol of its own, after those of single ids; others are spelled.
     often = np.bincount(words, minlength=len(size))
     own = np.flatnonzero((often > 1) & (size > 1) & (size < 256))
-    if len(own) > MOST_WORDS:
-        own = np.sort(own[np.argsort(-often[own], kind="stable")[:MOST_WORDS]])
     singles = int(ids.max()) + 1 if len(ids) else 0
+    if len(own) > (most := max(0, min(MOST_WORDS, MOST_SYMBOLS - singles))):
+        own = np.sort(own[np.argsort(-often[own], kind="stable")[:most]])
     spelling, at, many = np.concatenate([ids, singles + np.arange(len(own), dtype=np.int32)]), begin[:-1].copy(), size.copy()
     at[own], many[own] = len(ids) + np.arange(len(own)), 1
     symbols = spelling[ragged(at[words], many[words])]
