@@ -636,6 +636,35 @@ def test_near_duplicates_of_the_corpus(spark, docs, texts):
     assert {r["doc_id"] for r in C.stage_near_duplicates(spark, docs, SF).collect()} == set(want.values())
 
 
+def test_similar_sets_meet_at_a_first_shingle():
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.choice(300, 40, replace=False).astype(np.uint64))
+    rank = rng.permutation(40)
+    seen = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 40))
+        x = rng.choice(300, n, replace=False)
+        keep = x[: max(1, n - int(rng.integers(0, 4)))]
+        y = np.union1d(keep, rng.choice(300, int(rng.integers(0, 3)), replace=False))
+        both = len(np.intersect1d(x, y))
+        if both * 5 >= (len(x) + len(y) - both) * 4:
+            seen += 1
+            a, b = (simhash.prefix(np.sort(v).astype(np.uint64), common, rank) for v in (x, y))
+            at = [(i, list(b).index(h)) for i, h in enumerate(a) if h in b]
+            assert at and min(len(x) - at[0][0], len(y) - at[0][1]) * 9 >= 4 * (len(x) + len(y))
+    assert seen > 1000
+
+
+def test_near_duplicates_never_meet_all_other_texts(spark, docs, monkeypatch):
+    import corpus_pipeline as C
+
+    def refuse(*a, **b):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(simhash, "tiles", refuse)
+    assert C.stage_near_duplicates(spark, docs, SF).count() > 0
+
+
 def test_near_duplicates_without_or_with_repeated_ids(spark):
     import corpus_pipeline as C
 

@@ -19,7 +19,8 @@ fall into one group. Rows without a doc_id take part; a group of only such rows
 2^62. Extra columns are ignored.
 
 `similar_sets` is the stricter form for the corpus pipeline: fingerprints of the distinct shingles only
-propose pairs, and a link counts once the shingle sets themselves have the wanted Jaccard similarity.
+propose pairs, and a link counts once the shingle sets themselves have the wanted Jaccard similarity. There only
+sets that share one of their first shingles are compared, which leaves no similar pair out, so its work does not grow with all pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, map_frames, materialize, mix64
@@ -38,10 +40,8 @@ CHUNK_ROWS = 1_000_000
 CHUNKS = 24
 #: The Jaccard similarity that `similar_sets` demands, as a fraction.
 SIMILAR = (4, 5)
-#: Distance up to which `similar_sets` tries a spanning forest before it looks at all pairs.
-CLOSE = 24
-#: Buckets of a set's hashes by whose counts a pair is ruled out.
-COUNTS = 128
+#: Documents from which common shingles are learnt, how many of these there are at most, and shingles of a prefix that `similar_sets` tries first.
+SAMPLE, COMMON, FIRST = 10_000, 200_000, 8
 #: Sets in pairs up to which their keys are broadcast to find their texts; beyond it the texts are shuffled.
 BROADCAST_KEYS = 500_000
 #: Bytes of shingle sets that one side of a verifying task holds.
@@ -124,68 +124,35 @@ def forest(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) ->
     return label
 
 
-def pairs_between(fp: np.ndarray, n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (left, right) rows within the radius whose labels differ and whose set sizes n allow SIMILAR, and their distances."""
-    step = max(1, BLOCK_CELLS // max(1, len(right)))
-    cols = fp[right].T.copy()
-    out_a, out_b, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in range(0, len(left), step):
-        rows = left[i : i + step]
-        near = np.bitwise_count(fp[rows, 0][:, None] ^ cols[0][None, :])
-        for k in range(1, len(cols)):
-            near += np.bitwise_count(fp[rows, k][:, None] ^ cols[k][None, :])
-        a, b = np.nonzero(near <= radius)
-        d = near[a, b]
-        a, b = rows[a], right[b]
-        ok = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * SIMILAR[1] >= np.maximum(n[a], n[b]) * SIMILAR[0])
-        if same:
-            ok &= a < b
-        out_a.append(a[ok])
-        out_b.append(b[ok])
-        out_d.append(d[ok])
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_d)
-
-
-def counted(hashes: np.ndarray) -> bytes:
-    """How many of a set's hashes fall in each of COUNTS buckets; 255 stands for that many or more."""
-    return np.minimum(np.bincount((hashes % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes()
-
-
-def can_be_similar(counts: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the pairs of rows can reach SIMILAR: two sets share at most the smaller count of every bucket."""
-    ok = np.ones(len(a), bool)
-    unknown = (counts == 255).any(axis=1)
-    for i in range(0, len(a), 1 << 16):
-        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-        both = np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64)
-        ok[i : i + (1 << 16)] = (both * SIMILAR[1] >= (n[x] + n[y] - both) * SIMILAR[0]) | unknown[x] | unknown[y]
-    return ok
-
-
-def closest_forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Of the pairs (a, b) those of a shortest spanning forest of the labels that they join."""
-    low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-    order = np.lexsort((distance, high, low))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-    best = order[fresh]  # the closest pair of each two labels
-    best = best[np.argsort(distance[best], kind="stable")]
-    left = len(np.unique(np.concatenate([low, high]))) - 1
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    kept = []
-    for at, x, y in zip(best.tolist(), low[best].tolist(), high[best].tolist(), strict=True):
-        if (x := root(x)) != (y := root(y)):
-            parent[x] = y
-            kept.append(at)
-            if len(kept) == left:
-                break
-    return np.array(kept, np.int64)
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, in the order of all shingles, of which two SIMILAR sets share one at least.
+
+    The order is that of the hashes, with the `common` ones (sorted, with their rank) last. A set of n shares at least
+    SIMILAR of its n with any set SIMILAR to it, so the first shingle that the two share is among its n - that + 1 first.
+    """
+    n = len(hashes)
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    often = common[at] == hashes if len(common) else np.zeros(n, bool)
+    last = hashes[often][np.argsort(rank[at[often]])] if often.any() else hashes[:0]
+    return np.concatenate([hashes[~often], last])[: n - -(-n * SIMILAR[0] // SIMILAR[1]) + 1]
+
+
+def common_shingles(docs: DataFrame, key: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, sorted, and their rank from the rarest on.
+
+    Any list gives the same links: it only says which shingles come last in `prefix`. So it is taken from some SAMPLE documents.
+    """
+    part = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.uint64), *[np.unique(shingles(t, shingle)) for t in pdf["text"]]]).view(np.int64)})
+
+    some = docs.where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).select("text")
+    counts = map_frames(some, run, "h long", ()).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    held = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(held)
+    return held[order], len(held) - order
 
 
 def tiles(prints: DataFrame, lanes: int, radius: int, extra: tuple[str, ...] = (), chunks: int = CHUNKS) -> DataFrame | None:
@@ -251,32 +218,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, lanes: int = 1, radius: i
     return prints.join(groups, same).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def candidates(sets: DataFrame, lanes: int, radius: int, forest: bool = False, own: bool = False) -> DataFrame:
-    """Pairs (a, b) of ids within the radius whose `label` differs and whose sizes `n` and `counts` allow SIMILAR.
+def may_be_similar(a: str, b: str) -> str:
+    """Whether sets of n shingles that first share those at places `at` of their order can reach SIMILAR."""
+    x, y = SIMILAR
+    return f"least({a}.n - {a}.at, {b}.n - {b}.at) * {x + y} >= {x} * ({a}.n + {b}.n)"
 
-    All of them; with forest, in each tile the closest that join its labels to a forest; with own, only those of one chunk.
-    """
-    names = [f"f{k}" for k in range(lanes)]
-    rows = tiles(sets, lanes, radius, ("n", "label", "counts"), CHUNKS // 2)
-    if rows is None:
-        return sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    if own:
-        rows = rows.where("t0 = t1")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf[names].to_numpy(np.int64).view(np.uint64).reshape(len(pdf), lanes)
-        chunk, ids, label = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["label"].to_numpy()
-        left, right = np.flatnonzero(chunk == key[0]), np.flatnonzero(chunk == key[1])
-        n, counts = pdf["n"].to_numpy(), np.frombuffer(b"".join(pdf["counts"]), np.uint8).reshape(-1, COUNTS)
-        a, b, d = pairs_between(fp, n, label, left, right, radius, key[0] == key[1])
-        ok = can_be_similar(counts, n, a, b)
-        a, b, d = a[ok], b[ok], d[ok]
-        if forest and len(a):
-            at = closest_forest(label, a, b, d)
-            a, b = a[at], b[at]
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that share a shingle but no label: of each shingle the sets that stand beside each other by size, and each with the first. Their number grows with the rows."""
+    order = W.partitionBy("h").orderBy("n", "id")
+    me = F.struct("id", "n", "at", "label")
+    beside = rows.withColumn("me", me).withColumn("other", F.array(F.lag(me).over(order), F.first(me).over(order)))
+    found = beside.select("me", F.explode("other").alias("you")).where("me.label <> you.label").where(may_be_similar("me", "you"))
+    return found.select(F.least("me.id", "you.id").alias("a"), F.greatest("me.id", "you.id").alias("b")).distinct()
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of sets that share a shingle but no label and can be SIMILAR."""
+    of = W.partitionBy("h")
+    rows = rows.withColumn("low", F.min("label").over(of)).withColumn("high", F.max("label").over(of)).where("low < high").drop("low", "high")
+    rows = materialize(rows)  # shingles whose sets are joined already are gone
+    a, b = rows.alias("x"), rows.alias("y")
+    found = a.join(b, F.expr(f"x.h = y.h AND x.id < y.id AND x.label <> y.label AND {may_be_similar('x', 'y')}"))
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
-    return rows.groupBy("t0", "t1").applyInPandas(run, "a long, b long")
+
+def within(pairs: DataFrame, sets: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """The pairs whose fingerprints differ in at most `radius` bits."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), *[F.col(f"f{k}").alias(f"{side}{k}") for k in range(lanes)]), side)
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(lanes)), F.lit(0))
+    return pairs.where(apart <= radius).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, shingle: int) -> DataFrame:
@@ -288,6 +260,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, shing
     pairs = materialize(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs
     # Any row of an equal set serves as its text.
     asked = materialize(ids.join(sets.select("id", "n", key), "id"))
     n_sets, held = asked.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -319,35 +293,35 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, shing
 def similar_sets(docs: DataFrame, key: str, shingle: int, lanes: int, radius: int) -> DataFrame:
     """(key, component): components of the rows whose sets of distinct shingles are SIMILAR.
 
-    Equal sets are one node. Spanning forests are tried first, so that a large group of near copies is joined by few
-    verified links: of close pairs, then of the closest pairs between components within each chunk, then within each
-    tile, components being taken anew each time. Every pair within the radius that still lies in two components
-    is verified last. Pairs whose sets cannot be similar enough by what falls in COUNTS buckets are never proposed. Only verified links enter components. Node numbers are 64-bit hashes of sets.
+    Equal sets are one node, numbered by a 64-bit hash. Two SIMILAR sets share a shingle of their `prefix`, so only sets that
+    meet at one are looked at, never all pairs. Of these, fingerprints within the radius propose a link, which counts once the
+    sets themselves are compared. Neighbours at a shingle are tried first, so that a large group of near copies is joined by few
+    links; every pair that still lies in two components comes last.
     """
     names = [f"f{k}" for k in range(lanes)]
+    common, rank = common_shingles(docs, key, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [np.unique(shingles(t, shingle)) for t in pdf["text"]]
             f = np.array([majority(h, lanes) for h in rows], np.uint64).reshape(-1, lanes).view(np.int64)
             out = pd.DataFrame(f, columns=names)
-            out.insert(0, "counts", [counted(h) for h in rows])
+            out.insert(0, "first", [prefix(h, common, rank).view(np.int64) for h in rows])
             out.insert(0, "n", np.array([len(h) for h in rows], np.int64))
             out.insert(0, "id", np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in rows], np.uint64).view(np.int64))
             out.insert(0, key, pdf[key].array)
             yield out
 
     kind = docs.schema[key].dataType.simpleString()
-    prints = materialize(map_frames(docs.select(key, "text"), run, f"{key} {kind}, id long, n long, counts binary, " + ", ".join(f"{x} long" for x in names), (key,)))
-    sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key), F.min("counts").alias("counts")))
-    found = verified(links(sets, lanes, CLOSE), sets, docs, key, shingle)
-
-    def labelled() -> DataFrame:
+    prints = materialize(map_frames(docs.select(key, "text"), run, f"{key} {kind}, id long, n long, first array<long>, " + ", ".join(f"{x} long" for x in names), (key,)))
+    sets = materialize(prints.groupBy("id", "n", *names).agg(F.min(key).alias(key)))
+    met = prints.select("id", "n", "first").dropDuplicates(["id"]).select("id", "n", F.posexplode("first").alias("at", "h"))
+    met = materialize(met.withColumn("sets", F.count(F.lit(1)).over(W.partitionBy("h"))).where("sets > 1").drop("sets"))
+    found = verified(within(neighbours(met.where(f"at < {FIRST}").withColumn("label", F.col("id"))), sets, lanes, radius), sets, docs, key, shingle)
+    for pairs in (neighbours, all_pairs):
         label = components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "label")
-        return materialize(sets.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
-
-    for stage in ({"forest": True, "own": True}, {"forest": True}, {}):
-        found = found.unionByName(verified(candidates(labelled(), lanes, radius, **stage), sets, docs, key, shingle))
+        rows = materialize(met.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+        found = found.unionByName(verified(within(pairs(rows), sets, lanes, radius), sets, docs, key, shingle))
     comp = components(found)
     groups = prints.select(key, "id").join(comp, F.col("id") == F.col("node"), "left")
     return groups.select(key, F.coalesce("component", "id").alias("component"))
