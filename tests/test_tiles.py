@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tilequarry.operators import catalog as C
 from tilequarry.operators import rings as R
 from tilequarry.operators import shapes as S
 from tilequarry.operators import tiles as T
@@ -153,3 +154,23 @@ def test_pixels_are_settled_by_rows(spark):
     for name in ("polygon_fill", "mask_rgb"):
         plan = suite.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Exchange hashpartitioning\([^)]*\bx#", plan)
+
+
+def test_no_step_makes_a_method_that_is_not_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    plan = suite.QUERIES["manifest_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(key) == "8000"
+    # Names are made for slides, before they are dealt to panels.
+    assert "regexp_extract" not in plan[: plan.index("Exchange")]
+    spark.conf.set(key, "60000")
+    suite.QUERIES["manifest_rows"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(key) == "60000"
+    spark.conf.unset(key)
+
+
+def test_shares_as_text(spark):
+    shares = [None, 0.0, -0.0, 1 / 3, 2 / 3, 1.0, 1.5, 65.0, -0.5, 1e-7, 1e12, float("nan"), *[k / 64 for k in range(1, 64)], *[k / 144 for k in range(144)]]
+    d = spark.createDataFrame([(s,) for s in shares], "s double")
+    got = d.select(C.share_text(F.col("s")).alias("a"), F.coalesce(F.round("s", 6).cast("string"), F.lit("")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got if r["b"] != "-0.0") and {r["a"] for r in got} >= {"", "0.0", "0.015625", "0.333333", "65.0"}

@@ -82,10 +82,20 @@ def has_scale(scales: Column, wanted: Column) -> Column:
     return F.exists(scales, lambda s: F.abs(s - wanted) <= 1e-6 * F.greatest(F.abs(s), F.abs(wanted)))
 
 
+#: Texts of the shares of 64 pixels, which all have six places at most.
+SHARES = [str(k / 64) for k in range(65)]
+
+
+def share_text(share: Column) -> Column:
+    """A share rounded to six places as text. Shares of 64 pixels are looked up, as rounding and printing doubles take most of a row's time."""
+    of_64 = share.cast("double") * 64
+    place = of_64.try_cast("int")
+    return F.when((of_64 == place) & place.between(0, 64), F.get(F.array(*[F.lit(t) for t in SHARES]), place)).otherwise(F.coalesce(F.round(share, 6).cast("string"), F.lit("")))
+
+
 def manifest_rows(tiles: DataFrame, size: int, mpp: Column, level: Column, tier: Column) -> DataFrame:
     """The 19 columns of a manifest as text, null as blank. tiles: label, coverage, tissue_frac, roi_id, shape_id, case_id, slide_id, x0, y0, w0, h0 and grid place."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    share = lambda c: text(F.round(c, 6))
     place = F.concat_ws("/", "case_id", "label", F.concat_ws("_", "slide_id", F.concat(F.lit("x"), F.col("x0")), F.concat(F.lit("y"), F.col("y0"))))
     plain = {"image_id": "image_id", "case_id": "case_id", "slide_id": "slide_id", "roi_id": "roi_id", "label": "label"}
     return tiles.select(
@@ -93,11 +103,11 @@ def manifest_rows(tiles: DataFrame, size: int, mpp: Column, level: Column, tier:
         *[text(F.col(c)).alias(n) for n, c in plain.items()],
         text(F.expr("x0 + w0 div 2")).alias("x"),
         text(F.expr("y0 + h0 div 2")).alias("y"),
-        share(mpp).alias("mpp"),
+        text(F.round(mpp, 6)).alias("mpp"),
         F.lit(str(size)).alias("size"),
         *[text(F.col(c)).alias(c) for c in ("shape_id", "x0", "y0", "w0", "h0")],
         text(level).alias("level"),
-        share(F.col("coverage")).alias("coverage"),
-        share(F.col("tissue_frac")).alias("tissue_frac"),
+        share_text(F.col("coverage")).alias("coverage"),
+        share_text(F.col("tissue_frac")).alias("tissue_frac"),
         text(tier).alias("tier"),
     )

@@ -304,7 +304,9 @@ FROM labelled JOIN slides USING (image_id) WHERE outcome NOT LIKE 'dropped%' AND
     )
 )
 def manifest_rows(spark, sf):
-    kept = labelled(spark, sf, "image_name").where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'").withColumnRenamed("outcome", "label")
+    # A slide's names are made once, before it becomes tiles.
+    names = {"case_id": F.regexp_extract("image_name", r"^N\d+", 0), "slide_id": F.substring_index("image_name", ".", 1)}
+    slides = D.slides(spark, sf).withColumns(names)
+    kept = labelled(spark, sf, *names, slides=slides).where("outcome NOT LIKE 'dropped%' AND outcome <> 'unannotated'").withColumnRenamed("outcome", "label")
     none = F.lit(None).cast("long")
-    t = kept.withColumn("case_id", F.regexp_extract("image_name", r"^N\d+", 0)).withColumn("slide_id", F.substring_index("image_name", ".", 1)).withColumn("roi_id", none).withColumn("shape_id", none)
-    return C.manifest_rows(t, 32, F.lit(0.5), F.lit(0), F.lit("local"))
+    return C.manifest_rows(kept.withColumn("roi_id", none).withColumn("shape_id", none), 32, F.lit(0.5), F.lit(0), F.lit("local"))
