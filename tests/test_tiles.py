@@ -1,5 +1,6 @@
 """Tile selection on a hand-made slide: population, rules and the pinned seeded sample."""
 
+import random
 import re
 import time
 
@@ -174,3 +175,26 @@ def test_shares_as_text(spark):
     d = spark.createDataFrame([(s,) for s in shares], "s double")
     got = d.select(C.share_text(F.col("s")).alias("a"), F.coalesce(F.round("s", 6).cast("string"), F.lit("")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got if r["b"] != "-0.0") and {r["a"] for r in got} >= {"", "0.0", "0.015625", "0.333333", "65.0"}
+
+
+@pytest.mark.parametrize("per_slide", [None, 9])
+def test_exact_caps_draw_as_one_generator_a_slide(spark, per_slide):
+    rng, rows = random.Random(3), []
+    for image in [None, 2**60 + 1, 5, 6, 7, 8]:
+        places = rng.sample([(c, r) for c in range(30) for r in range(21)], rng.randint(1, 80))
+        rows += [(image, c, r, rng.choice(["benign", "G3", "é", "Z"])) for c, r in places]
+    want = set()
+    for image in {r[0] for r in rows}:
+        own, draw, out = sorted((r for r in rows if r[0] == image), key=lambda r: (r[2], r[1])), random.Random(7), []
+        for label in sorted({r[3] for r in own}):
+            some = [r for r in own if r[3] == label]
+            cap = 5 if label == "benign" else 6
+            out += draw.sample(some, cap) if len(some) > cap else some
+        out.sort(key=lambda r: (r[2], r[1]))
+        want |= set(draw.sample(out, per_slide) if per_slide and len(out) > per_slide else out)
+    kept = spark.createDataFrame(rows, "image_id long, col int, row int, outcome string")
+    got = T.cap_labels_exact(kept, 6, "benign", 5, per_slide, 7)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # A slide goes to its task as bits of panels, and no group of rows is handed to Python one by one.
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
