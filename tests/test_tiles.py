@@ -4,12 +4,14 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tilequarry.operators import catalog as C
 from tilequarry.operators import rings as R
 from tilequarry.operators import shapes as S
+from tilequarry.operators import spans as SP
 from tilequarry.operators import tiles as T
 from tilequarry.plans import derived as D
 from tilequarry.plans import suite
@@ -198,3 +200,26 @@ def test_exact_caps_draw_as_one_generator_a_slide(spark, per_slide):
     plan = got._jdf.queryExecution().executedPlan().toString()
     # A slide goes to its task as bits of panels, and no group of rows is handed to Python one by one.
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("crossings", [1, 50, 1_000_000])
+def test_spans_of_many_rings_are_those_of_each(spark, monkeypatch, crossings):
+    rng = random.Random(4)
+    rings = [[(rng.choice([rng.uniform(-9, 40), float(rng.randint(-9, 40))]), rng.choice([rng.uniform(-9, 40), float(rng.randint(-9, 40))])) for _ in range(rng.randint(0, 9))] for _ in range(150)]
+    d = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)], "i long, ring array<struct<x:double,y:double>>")
+    clipped = {r["i"]: [(s["y"], max(0, s["x_from"]), min(25, s["x_to"])) for s in r["s"] or [] if 0 <= s["y"] < 30] for r in d.select("i", S.ring_spans(F.col("ring")).alias("s")).collect()}
+    want = {i: [s for s in v if s[1] < s[2]] for i, v in clipped.items()}
+    monkeypatch.setattr(SP, "CROSSINGS", crossings)
+    x, y = (np.array([q[k] for r in rings for q in r]) for k in (0, 1))
+    size = np.array([len(r) for r in rings])
+    got = {}
+    for i, j, lists in SP.span_lists(x, y, size, np.full(150, 25), np.full(150, 30)):
+        got |= dict(zip(range(i, j), [[tuple(s.values()) for s in v] for v in lists.to_pylist()], strict=True))
+    assert got == want and sum(map(len, want.values())) > 500
+
+
+@pytest.mark.parametrize("name", ["ring_labels", "dominant_ring", "background_margin_um"])
+def test_spans_are_not_searched_where_panels_were_dealt(spark, name):
+    plan = suite.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("REPARTITION_BY_NUM", plan.index("explode(spans"))
+    assert "MapInArrow" in plan and "spans" not in re.sub(r"explode\(spans#\d+\)|\bspans#\d+", "", plan[:dealt])
